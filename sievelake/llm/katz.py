@@ -29,26 +29,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import Stored, pick
 
-ORDER, GT_MOST, CHUNK_BYTES = 2, 5, 16 << 20
+ORDER, GT_MOST, CHUNK_BYTES = 2, 5, 12 << 20
 #: Tokens that no word can equal, as words hold no white space.
-START, END, SEPARATOR = b"\x0b", b"\t", b"\n"
+START, END = "\x0b", "\t"
+#: n-grams are dealt to parts by a polynomial in their words' CRC-32, modulo a prime.
+HASH_STEP, HASH_PRIME = 31, 2147483647
 
 
 @dataclass
 class Chunk:
-    """Token ids of a run of documents (each START, words, END), ids in the words' sorted order."""
+    """Token ids of a run of documents (each START, words, END); ids follow the words' sorted order."""
 
     number: int
-    rids: list
+    rids: np.ndarray
     lengths: np.ndarray
     train: np.ndarray
     ids: np.ndarray
-    words: list[bytes]
+    words: pa.Array
 
     def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """See grams_of."""
@@ -70,38 +73,52 @@ def grams_of(ids: np.ndarray, lengths: np.ndarray, size: int, order: int) -> lis
     return out
 
 
+def to_chunk(number: int, rids: np.ndarray, train: np.ndarray, texts: pa.Array) -> Chunk:
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, sizes = cut.flatten(), np.diff(cut.offsets.to_numpy())
+    blank = pc.equal(flat, "").to_numpy(zero_copy_only=False)  # white space at the ends of a text
+    if blank.any():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~blank], minlength=len(sizes))
+        flat = flat.filter(pa.array(~blank))
+    coded = flat.dictionary_encode()
+    words = pa.concat_arrays([coded.dictionary, pa.array([START, END], flat.type)])
+    order = pc.sort_indices(words)
+    rank = np.empty(len(words), np.int64)
+    rank[order.to_numpy()] = np.arange(len(words))
+    lengths = sizes.astype(np.int64) + 2
+    ends = np.cumsum(lengths)
+    ids = np.full(int(ends[-1]), -1, np.int64)
+    ids[ends - lengths], ids[ends - 1] = rank[-2], rank[-1]
+    ids[ids < 0] = rank[coded.indices.to_numpy()]
+    return Chunk(number, rids, lengths, train, ids, words.take(order))
+
+
 def read_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[Chunk]:
-    """Batches of (rid, train, text)."""
+    """Batches of (rid, train, text). The same rows in the same task always make the same chunks."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 20
-    rids, train, lengths, ids, seen, held = [], [], [], [], {START: 0, END: 1}, 0
+    held: list[pa.RecordBatch] = []
+    size = 0
 
     def close() -> Chunk:
-        words = sorted(seen)
-        rank = np.empty(len(words), np.int64)
-        rank[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
-        return Chunk(number, rids, np.array(lengths, np.int64), np.array(train, bool), rank[np.concatenate(ids)], words)
+        rids, train, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+        return to_chunk(number, rids.to_numpy(), train.to_numpy(zero_copy_only=False).astype(bool), pc.fill_null(texts, ""))
 
     for batch in batches:
-        for rid, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            words = (text.as_py() or "").encode().lower().split()
-            for w in set(words).difference(seen):
-                seen[w] = len(seen)
-            own = np.empty(len(words) + 2, np.int64)
-            own[0], own[-1] = 0, 1
-            own[1:-1] = list(map(seen.__getitem__, words))
-            ids.append(own)
-            lengths.append(len(own))
-            rids.append(rid)
-            train.append(bool(flag))
-            held += sum(map(len, words))
-            if held >= chunk_bytes:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy())
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(sizes[begin - 1]) if begin else 0
+            end = min(batch.num_rows, int(np.searchsorted(sizes, before + chunk_bytes - size)) + 1)
+            held.append(batch.slice(begin, end - begin))
+            size += int(sizes[end - 1]) - before
+            begin = end
+            if size >= chunk_bytes:
                 yield close()
-                number += 1
-                rids, train, lengths, ids, seen, held = [], [], [], [], {START: 0, END: 1}, 0
-    if rids:
+                number, held, size = number + 1, [], 0
+    if held:
         yield close()
 
 
@@ -121,30 +138,40 @@ def _array(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(_unpack(data), kind)
 
 
-_BLOCK = "part int, chunk bigint, ord int, items binary, places binary, counts binary"
+def _strings(lengths: np.ndarray, data: bytes) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+_BLOCK = "part int, chunk bigint, ord int, items binary, sizes binary, places binary, counts binary"
 
 
 def _blocks(chunk: Chunk, order: int, parts: int, train_only: bool) -> Iterator[tuple]:
     """A block for each order and part: the n-grams, their places in the chunk, their training counts."""
     in_train = np.repeat(chunk.train, chunk.lengths)
-    texts = chunk.words
+    words = chunk.words.cast(pa.large_string())
+    crc = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words))
+    texts, hashes = words, crc % HASH_PRIME
     for n, (place, distinct) in enumerate(chunk.grams(order), 1):
         if n > 1:
-            size = len(chunk.words)
-            last = chunk.words
-            texts = [texts[a] + b" " + last[b] for a, b in zip((distinct // size).tolist(), (distinct % size).tolist())]
-        used = place[in_train & (place >= 0)]
-        counts = np.bincount(used, minlength=len(texts))
-        part = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts)) % parts
-        if train_only:
-            part = np.where(counts > 0, part, -1)
+            before, last = distinct // len(words), distinct % len(words)
+            texts = pc.binary_join_element_wise(texts.take(pa.array(before)), words.take(pa.array(last)), pa.scalar(" ", pa.large_string()))
+            hashes = (hashes[before] * HASH_STEP + crc[last]) % HASH_PRIME
+        counts = np.bincount(place[in_train & (place >= 0)], minlength=len(texts))
+        chosen = np.flatnonzero(counts) if train_only else np.arange(len(texts))
+        part = hashes[chosen] % parts
         by = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[by], np.arange(parts + 1))
-        for p in range(parts):
-            at = by[bounds[p] : bounds[p + 1]]
-            if len(at):
-                places = np.diff(at, prepend=0).astype(np.int32)
-                yield p, chunk.number, n, _pack(SEPARATOR.join([texts[i] for i in at.tolist()])), _pack(places.tobytes()), _pack(counts[at].astype(np.int32).tobytes())
+        by = chosen[by]
+        items = texts.take(pa.array(by))
+        sizes = pc.binary_length(items).to_numpy().astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        data = items.buffers()[2]
+        data = data.to_pybytes() if data else b""
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = bounds[p], bounds[p + 1]
+            places = np.diff(by[a:b], prepend=0).astype(np.int32)
+            yield p, chunk.number, n, _pack(data[offsets[a] : offsets[b]]), _pack(sizes[a:b].tobytes()), _pack(places.tobytes()), _pack(counts[by[a:b]].astype(np.int32).tobytes())
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -153,8 +180,8 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _block_table(docs: DataFrame, order: int, parts: int, chunk_bytes: int, train_only: bool) -> DataFrame:
-    names = ["part", "chunk", "ord", "items", "places", "counts"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["part", "chunk", "ord", "items", "sizes", "places", "counts"]
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
     def run(batches):
         for chunk in read_chunks(batches, chunk_bytes):
@@ -172,30 +199,27 @@ def _block_table(docs: DataFrame, order: int, parts: int, chunk_bytes: int, trai
 
 def count_grams(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> DataFrame:
     """ord, item, c of training rows, items of order 2 and more only from count 2; and (-ord, null, c, how many have it) rows."""
-    names, types = ["ord", "item", "c", "n"], [pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    names, types = ["ord", "item", "c", "n"], [pa.int32(), pa.large_string(), pa.int64(), pa.int64()]
 
     def add(table: pa.Table) -> pa.Table:
-        totals: dict[int, dict[bytes, int]] = {}
-        for ord_, items, counts in zip(table["ord"].to_pylist(), table["items"], table["counts"]):
-            own = totals.setdefault(ord_, {})
-            get = own.get
-            for item, c in zip(_unpack(items.as_py()).split(SEPARATOR), _array(counts.as_py(), np.int32).tolist()):
-                own[item] = get(item, 0) + c
         out = []
-        for ord_, own in totals.items():
-            start = own.pop(START, None) if ord_ == 1 else None
-            values = np.fromiter(own.values(), np.int64, len(own))
-            least = 1 if ord_ == 1 else 2
-            keep = [(k, c) for k, c in own.items() if c >= least] + ([(START, start)] if start else [])
-            if keep:
-                out.append(pa.table([pa.array([ord_] * len(keep), types[0]), pa.array([k for k, _ in keep], types[1]), pa.array([c for _, c in keep], types[2]), pa.array([None] * len(keep), types[3])], names=names))
-            stats = [(-ord_, None, r, int((values == r).sum())) for r in range(1, GT_MOST + 2)]
-            stats += [(-ord_, None, 0, len(values)), (-ord_, None, -1, int(values.sum()))]
-            out.append(pa.Table.from_batches([_batch(stats, names, types)]))
+        for n in range(1, order + 1):
+            own = table.filter(pc.equal(table["ord"], n))
+            if not len(own):
+                continue
+            items = pa.concat_arrays([_strings(_array(z.as_py(), np.int32), _unpack(x.as_py())) for x, z in zip(own["items"], own["sizes"])]).dictionary_encode()
+            counts = np.concatenate([_array(c.as_py(), np.int32) for c in own["counts"]])
+            totals = np.bincount(items.indices.to_numpy(), counts, len(items.dictionary)).astype(np.int64)
+            real = pc.not_equal(items.dictionary, START).to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(totals >= (1 if n == 1 else 2))
+            out.append(pa.table([pa.array(np.full(len(keep), n, np.int32)), items.dictionary.take(pa.array(keep)), pa.array(totals[keep]), pa.nulls(len(keep), pa.int64())], names=names))
+            values = totals[real]
+            stats = [(-n, None, r, int((values == r).sum())) for r in range(1, GT_MOST + 2)]
+            out.append(pa.Table.from_batches([_batch([*stats, (-n, None, 0, len(values)), (-n, None, -1, int(values.sum()))], names, types)]))
         return pa.concat_tables(out) if out else pa.Table.from_batches([_batch([], names, types)])
 
-    blocks = _block_table(docs.where("train"), order, parts, chunk_bytes, True).select("part", "ord", "items", "counts")
-    return blocks.groupBy("part").applyInArrow(add, "ord int, item binary, c bigint, n bigint")
+    blocks = _block_table(docs.where("train"), order, parts, chunk_bytes, True).select("part", "ord", "items", "sizes", "counts")
+    return blocks.groupBy("part").applyInArrow(add, "ord int, item string, c bigint, n bigint")
 
 
 def good_turing(n: dict[int, int], most: int = GT_MOST) -> dict[int, float]:
@@ -230,8 +254,7 @@ def fit_katz(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> KatzM
     for n in range(2, order + 1):
         discounts = good_turing({r: stats.get((n, r), 0) for r in range(1, GT_MOST + 2)})
         d = F.coalesce(*[F.when(F.col("c") == r, F.lit(x)) for r, x in discounts.items()], F.lit(1.0))
-        text = F.col("item").cast("string")
-        grams = raw.where(F.col("ord") == n).select("item", "c", F.regexp_extract(text, "^(.*) [^ ]*$", 1).cast("binary").alias("ctx"), F.regexp_extract(text, "^[^ ]* (.*)$", 1).cast("binary").alias("rest"))
+        grams = raw.where(F.col("ord") == n).select("item", "c", F.regexp_extract("item", "(?s)^(.*) [^ ]*$", 1).alias("ctx"), F.regexp_extract("item", "(?s)^[^ ]* (.*)$", 1).alias("rest"))
         grams = grams.join(low.select(F.col("item").alias("rest"), F.pow(F.lit(10.0), F.col("logp")).alias("p_low")), "rest").drop("rest")
         histories = low.select(F.col("item").alias("ctx"), F.col("c").alias("c_ctx"))
         grams = Stored(grams.join(histories, "ctx").withColumn("p", d * F.col("c") / F.col("c_ctx")), f"grams-{n}").df
@@ -252,23 +275,27 @@ def _answers(blocks: DataFrame, model: KatzModel, parts: int) -> DataFrame:
     names, types = ["chunk", "ord", "places", "c", "logp", "loga"], [pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        where: dict[int, dict[bytes, int]] = {}
-        for i, (n, item) in enumerate(zip(held["ord"].to_pylist(), held["item"].to_pylist())):
-            where.setdefault(n, {})[item] = i
-        c = held["c"].to_numpy()
-        logp, loga = (held[k].fill_null(0.0).to_numpy() for k in ("logp", "loga"))
         rows = []
-        for chunk, n, items, places in zip(asked["chunk"].to_pylist(), asked["ord"].to_pylist(), asked["items"], asked["places"]):
-            own = where.get(n, {})
-            found = np.array([own.get(x, -1) for x in _unpack(items.as_py()).split(SEPARATOR)], np.int64)
-            hit = found >= 0
-            if hit.any():
-                at = found[hit]
-                where_to = np.cumsum(_array(places.as_py(), np.int32))[hit].astype(np.int32)
-                rows.append((chunk, n, *(_pack(x.tobytes()) for x in (where_to, c[at].astype(np.int64), logp[at], loga[at]))))
+        for n in range(1, model.order + 1):
+            own, known = asked.filter(pc.equal(asked["ord"], n)), held.filter(pc.equal(held["ord"], n))
+            if not len(own) or not len(known):
+                continue
+            values = known["item"].combine_chunks().cast(pa.large_string())
+            c, logp, loga = (known[k].fill_null(0).to_numpy() for k in ("c", "logp", "loga"))
+            items = [_strings(_array(z.as_py(), np.int32), _unpack(x.as_py())) for x, z in zip(own["items"], own["sizes"])]
+            every = pc.fill_null(pc.index_in(pa.concat_arrays(items), value_set=values), -1).to_numpy()  # one hash table for all
+            bounds = np.cumsum([0, *map(len, items)])
+            for chunk, places, a, b in zip(own["chunk"].to_pylist(), own["places"], bounds, bounds[1:]):
+                found = every[a:b]
+                hit = found >= 0
+                if hit.any():
+                    at = found[hit]
+                    where_to = np.cumsum(_array(places.as_py(), np.int32))[hit].astype(np.int32)
+                    rows.append((chunk, n, *(_pack(x.tobytes()) for x in (where_to, c[at].astype(np.int64), logp[at], loga[at]))))
         return pa.Table.from_batches([_batch(rows, names, types)])
 
-    held = model.table.select(F.pmod(F.crc32("item"), F.lit(parts)).cast("int").alias("part"), "ord", "item", "c", "logp", "loga")
+    fold = F.aggregate(F.split("item", " "), F.lit(0).cast("bigint"), lambda h, w: (h * HASH_STEP + F.crc32(w.cast("binary"))) % HASH_PRIME)
+    held = model.table.select(F.pmod(fold, F.lit(parts)).cast("int").alias("part"), "ord", "item", "c", "logp", "loga")
     schema = "chunk bigint, ord int, places binary, c binary, logp binary, loga binary"
     return blocks.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(answer, schema)
 
@@ -279,7 +306,7 @@ def _streams(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
     def run(batches):
         for c in read_chunks(batches, chunk_bytes):
-            yield _batch([(c.number, _pack(np.array(c.rids, np.int64).tobytes()), _pack(c.lengths.tobytes()), len(c.words), _pack(c.ids.astype(np.int32).tobytes()))], names, types)
+            yield _batch([(c.number, _pack(c.rids.tobytes()), _pack(c.lengths.tobytes()), len(c.words), _pack(c.ids.astype(np.int32).tobytes()))], names, types)
 
     return docs.mapInArrow(run, "chunk bigint, rids binary, lengths binary, size bigint, ids binary")
 
@@ -322,7 +349,7 @@ def score_katz(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
             out.append(pa.table([pa.array(_array(row["rids"], np.int64)), pa.array(lengths - 1), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(lengths), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names))
         return pa.concat_tables(out) if out else pa.Table.from_batches([_batch([], names, types)])
 
-    blocks = _block_table(docs, order, parts, chunk_bytes, False).select("part", "chunk", "ord", "items", "places")
+    blocks = _block_table(docs, order, parts, chunk_bytes, False).select("part", "chunk", "ord", "items", "sizes", "places")
     answers = _answers(blocks, model, parts)
     schema = "rid bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scored = _streams(docs, chunk_bytes).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, schema)

@@ -199,7 +199,7 @@ def _block_table(docs: DataFrame, order: int, parts: int, chunk_bytes: int, trai
 
 def count_grams(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> DataFrame:
     """ord, item, c of training rows, items of order 2 and more only from count 2; and (-ord, null, c, how many have it) rows."""
-    names, types = ["ord", "item", "c", "n"], [pa.int32(), pa.large_string(), pa.int64(), pa.int64()]
+    names, types = ["ord", "item", "c", "n"], [pa.int32(), pa.string(), pa.int64(), pa.int64()]
 
     def add(table: pa.Table) -> pa.Table:
         out = []
@@ -212,7 +212,7 @@ def count_grams(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> Da
             totals = np.bincount(items.indices.to_numpy(), counts, len(items.dictionary)).astype(np.int64)
             real = pc.not_equal(items.dictionary, START).to_numpy(zero_copy_only=False)
             keep = np.flatnonzero(totals >= (1 if n == 1 else 2))
-            out.append(pa.table([pa.array(np.full(len(keep), n, np.int32)), items.dictionary.take(pa.array(keep)), pa.array(totals[keep]), pa.nulls(len(keep), pa.int64())], names=names))
+            out.append(pa.table([pa.array(np.full(len(keep), n, np.int32)), items.dictionary.take(pa.array(keep)).cast(pa.string()), pa.array(totals[keep]), pa.nulls(len(keep), pa.int64())], names=names))
             values = totals[real]
             stats = [(-n, None, r, int((values == r).sum())) for r in range(1, GT_MOST + 2)]
             out.append(pa.Table.from_batches([_batch([*stats, (-n, None, 0, len(values)), (-n, None, -1, int(values.sum()))], names, types)]))
@@ -272,11 +272,12 @@ def fit_katz(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> KatzM
 
 
 def _answers(blocks: DataFrame, model: KatzModel, parts: int) -> DataFrame:
+    order = model.order  # not the model: its table belongs to the driver
     names, types = ["chunk", "ord", "places", "c", "logp", "loga"], [pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         rows = []
-        for n in range(1, model.order + 1):
+        for n in range(1, order + 1):
             own, known = asked.filter(pc.equal(asked["ord"], n)), held.filter(pc.equal(held["ord"], n))
             if not len(own) or not len(known):
                 continue

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import Stored, pick
 
-ORDER, GT_MOST, CHUNK_BYTES = 2, 5, 12 << 20
+ORDER, GT_MOST, CHUNK_BYTES = 2, 5, 6 << 20
 #: Tokens that no word can equal, as words hold no white space.
 START, END = "\x0b", "\t"
 #: n-grams are dealt to parts by a polynomial in their words' CRC-32, modulo a prime.

@@ -4,12 +4,13 @@
    set, ``bands * rows`` minima, a key for each band of minima, and the low ``bits`` bits of all minima packed as
    bit planes.
 2. Documents with one and the same set form a class at once; only one member of each goes on.
-3. Members of a band's bucket are compared with the bucket's hub, the member that meets most others over all bands:
-   linear in the bucket, and enough where a group surrounds one text. Pairs whose collision-corrected similarity,
+3. Members of a band's bucket are compared with the bucket's hub: first the member that meets most others over all
+   bands, then, in buckets still open, members drawn at random for each bucket. Each round is linear in the bucket
+   and joins groups around one text or with dense links. Pairs whose collision-corrected similarity,
    estimated by counting equal bits of the planes, is too far below the threshold are left out; the others are
    confirmed on full sets.
-4. Whatever remains of a bucket, pairs of members in different components, is estimated the same way inside the join
-   (a pair leaves the join only if its estimate passes) and confirmed on full sets. No bucket or partner is capped.
+4. Whatever remains of a bucket, pairs of members in different components, is estimated and confirmed on full sets
+   inside the join, so that only links leave it. No bucket or partner is capped.
 5. Confirmed links are joined to components by star contraction.
 
 A pair at the threshold shares some band with probability 1 - (1 - t^rows)^bands; for 0.85, 6 and 24 that is
@@ -35,6 +36,9 @@ from sievelake.llm.common import Stored, pick
 from sievelake.operators.components import connected_components
 
 BANDS, ROWS, BITS = 24, 6, 4
+#: Rounds of comparison with hubs before the rest of the buckets is joined: the best connected member, then members
+#: drawn anew in every bucket, which join densely linked groups by a few comparisons a member.
+HUB_ROUNDS = 3
 #: Members of buckets whose ids may be sent to every task (8 bytes each); beyond it the texts are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -147,7 +151,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     company = members.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = Stored(members.join(company, ["band", "key"]), "buckets").df
     meets = Stored(buckets.groupBy("rep").agg(F.sum("m").alias("meets")), "meets").df
-    known = Stored(reps.join(meets, "rep").select("rep", "n", "sig", "meets"), "members").df
+    known = Stored(reps.join(meets, "rep").select("rep", "n", "sig", "keys", "meets"), "members").df
 
     # the full sets of documents that share any bucket
     wanted = known.select(F.col("rep").alias("rid"))
@@ -156,10 +160,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cache = _WordHash()
-            sets = [shingle_hashes(t.as_py() or "", shingle, cache).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rid", "s"])
+            sets = [shingle_hashes(t.as_py() or "", shingle, cache).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "s"])
 
-    sets = Stored(docs.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(full_sets, "rid bigint, s binary"), "shingle-sets").df
+    sets = Stored(docs.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(full_sets, "rid bigint, s array<bigint>"), "shingle-sets").df
 
     limit = most_differing(percent / 100, bands * rows, bits)
 
@@ -172,7 +176,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = (v.values.to_numpy() for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             kept = batch.filter(pa.array(ok, pa.bool_()))
@@ -182,22 +186,38 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         with_sets = pairs.join(sets.select(F.col("rid").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("rid").alias("dst"), F.col("s").alias("s2")), "dst")
         return Stored(with_sets.select("src", "dst", "s1", "s2").mapInArrow(confirm, "src bigint, dst bigint"), label).df
 
-    hubs = buckets.join(known.select("rep", "meets"), "rep").groupBy("band", "key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("r"))).alias("h"))
-    hubs = hubs.select("band", "key", (-F.col("h.r")).alias("hub"))
-    tried = buckets.select("band", "key", "rep").join(hubs, ["band", "key"]).where("rep != hub").select("rep", "hub").distinct()
-    a, b = known.alias("a"), known.alias("b")
-    passed = tried.join(a, F.col("a.rep") == tried["rep"]).join(b, F.col("b.rep") == F.col("hub")).where(near("a", "b"))
-    first = links(passed.select(F.col("a.rep").alias("src"), F.col("hub").alias("dst")), "hub-links")
-
-    comps = Stored(connected_components(first).select(F.col("node").alias("rep"), "component"), "hub-components").df
-    placed = buckets.select("band", "key", "rep").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band", "key")
-    rest = placed.join(mixed, ["band", "key"]).join(known.select("rep", "n", "sig"), "rep")
-    rest = Stored(rest, "open-buckets").df
-    a, b = rest.alias("a"), rest.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-    open_pairs = a.join(b, same & (F.col("a.component") < F.col("b.component")) & near("a", "b")).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct()
-    second = links(open_pairs, "rest-links")
+    def placed(found: DataFrame | None) -> DataFrame:
+        """Rows of buckets with members in more than one component so far."""
+        if found is None:
+            return buckets.select("band", "key", "rep", F.col("rep").alias("component"))
+        comps = connected_components(found).select(F.col("node").alias("rep"), "component")
+        now = buckets.select("band", "key", "rep").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = Stored(now, "placed").df
+        mixed = now.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band", "key")
+        return Stored(now.join(mixed, ["band", "key"]), "open-buckets").df
+
+    found = None
+    rest = placed(None)
+    for turn in range(HUB_ROUNDS):
+        rank = F.col("meets") if turn == 0 else F.xxhash64(F.lit(turn), "band", "rep")
+        ranked = rest.join(known.select("rep", "meets"), "rep").groupBy("band", "key").agg(F.max(F.struct(rank.alias("x"), (-F.col("rep")).alias("r"), F.col("component").alias("hub_component"))).alias("h"))
+        hubs = ranked.select("band", "key", (-F.col("h.r")).alias("hub"), "h.hub_component")
+        tried = rest.join(hubs, ["band", "key"]).where("component != hub_component").select("rep", "hub").distinct()
+        a, b = known.alias("a"), known.alias("b")
+        passed = tried.join(a, F.col("a.rep") == tried["rep"]).join(b, F.col("b.rep") == F.col("hub")).where(near("a", "b"))
+        confirmed = links(passed.select(F.col("a.rep").alias("src"), F.col("hub").alias("dst")), "hub-links")
+        found = confirmed if found is None else found.unionByName(confirmed)
+        rest = placed(found)
+
+    # what is left is confirmed within the join, so that it gives links only; each pair in its first shared band
+    full_rows = rest.join(known.select("rep", "n", "sig", "keys"), "rep").join(sets.select(F.col("rid").alias("rep"), "s"), "rep")
+    a, b = full_rows.alias("a"), full_rows.alias("b")
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
+    first_shared = F.array_position(F.zip_with(F.col("a.keys"), F.col("b.keys"), lambda x, y: x == y), True) == F.col("a.band") + 1
+    both = F.size(F.array_intersect(F.col("a.s"), F.col("b.s")))
+    linked = F.when(near("a", "b") & first_shared, 100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)).otherwise(False)
+    second = Stored(a.join(b, same & linked).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")), "rest-links").df
+    first = found
 
     parts = Stored(connected_components(first.unionByName(second)).select(F.col("node").alias("rep"), "component"), "components").df
     heads = classes.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -1,6 +1,329 @@
-"""Registered queries of the leak-detection engine, with the SQL they are held against."""
+"""Registered queries of the leak-detection engine, with the SQL they are held against. Whole tables, no limits."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelake.functions import text as T
+from sievelake.operators import documents as D
+from sievelake.operators import lexical as L
+from sievelake.operators import retrieval as R
+from sievelake.operators.components import connected_components
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in the docs schema: a family per text, keyed by its hash."""
+    d = _read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("dataset"), F.substring(F.md5("text"), 1, 12).alias("family_id"), "text")
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# Python's white space as an SQL pattern, and words by it.
+_WS = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda w: w <> '')"
+_DOCS = f"docs AS (SELECT doc_id::VARCHAR AS doc_id, source AS dataset, substr(md5(text), 1, 12) AS family_id, text, {_WORDS} AS words FROM documents)"
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, dataset, family_id, coalesce(text, '') AS text, NULL::INTEGER AS version_index, 'original' AS variant_type, NULL::VARCHAR AS variant_level, NULL::INTEGER AS variant_seed, NULL::VARCHAR AS source_doc_id, length(coalesce(text, ''))::INTEGER AS num_chars, len(words)::INTEGER AS num_words, '{{}}' AS meta_json FROM docs")
+def normalize_docs(spark, sf_dir):
+    return D.normalize_docs(_docs(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT doc_id, regexp_replace(replace(trim(lower(source || ' ' || lang)), ' ', '_'), '[^a-zA-Z0-9_@.:-]', '', 'g') AS a FROM documents)
+SELECT doc_id, a || ':' || doc_id AS family_id, a || ':' || doc_id || ':v1' AS new_doc_id FROM p""")
+def sanitize_ids(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("ds"), F.col("doc_id").cast("string").alias("key"))
+    return D.build_ids(d, "ds", "key").select("doc_id", "family_id", "new_doc_id")
+
+
+@query(f"WITH {_DOCS} SELECT dataset, count(*) AS n_docs, count(DISTINCT family_id) AS n_families, sum(len(words))::BIGINT AS n_words, sum(length(text))::BIGINT AS n_chars FROM docs GROUP BY dataset")
+def list_dataset_stats(spark, sf_dir):
+    d = D.normalize_docs(_docs(spark, sf_dir))
+    return d.groupBy("dataset").agg(F.count("*").alias("n_docs"), F.countDistinct("family_id").alias("n_families"), F.sum("num_words").alias("n_words"), F.sum("num_chars").cast("bigint").alias("n_chars"))
+
+
+@query("""WITH u AS (SELECT md5(text) AS doc_id, 0 AS set_no, doc_id AS row_no, lang FROM documents WHERE lang = 'en' UNION ALL SELECT md5(text), 1, doc_id, lang FROM documents)
+SELECT doc_id, set_no, row_no, lang FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY set_no, row_no) = 1""")
+def concat_keep_first(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select(F.md5("text").alias("doc_id"), F.col("doc_id").alias("row_no"), "lang")
+    return D.concat_keep_first([d.where("lang = 'en'"), d], "row_no").select("doc_id", "set_no", "row_no", "lang")
+
+
+def _word_chunk_sql(size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""WITH {_DOCS}, n AS (SELECT *, len(words) AS n FROM docs WHERE len(words) > 0),
+    c AS (SELECT *, unnest(range(0, CASE WHEN n <= {size} THEN 1 ELSE ceil((n - {size}) / {step}.0)::BIGINT + 1 END)) AS i FROM n),
+    t AS (SELECT *, array_to_string(words[i * {step} + 1 : i * {step} + {size}], ' ') AS chunk_text FROM c)
+    SELECT doc_id || '::c' || i AS chunk_id, doc_id, family_id, dataset, i::INTEGER AS chunk_index, length(chunk_text)::INTEGER AS chunk_len, 'word{size}o{overlap}' AS chunk_spec, chunk_text FROM t"""
+
+
+@query(_word_chunk_sql(50, 0))
+def chunk_word(spark, sf_dir):
+    return D.build_chunks(_docs(spark, sf_dir), 50, 0)
+
+
+@query(_word_chunk_sql(50, 10))
+def chunk_word_overlap(spark, sf_dir):
+    return D.build_chunks(_docs(spark, sf_dir), 50, 10)
+
+
+@query(f"""WITH {_DOCS}, n AS (SELECT *, length(text) AS n FROM docs WHERE length(text) > 0),
+c AS (SELECT *, unnest(range(0, CASE WHEN n <= 300 THEN 1 ELSE ceil((n - 300) / 300.0)::BIGINT + 1 END)) AS j FROM n),
+t AS (SELECT *, regexp_replace(substr(text, j * 300 + 1, 300), '^{_WS}+|{_WS}+$', '', 'g') AS chunk_text FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i FROM t WHERE chunk_text <> '')
+SELECT doc_id || '::c' || i AS chunk_id, doc_id, family_id, dataset, i::INTEGER AS chunk_index, length(chunk_text)::INTEGER AS chunk_len, 'char300o0' AS chunk_spec, chunk_text FROM k""")
+def chunk_char(spark, sf_dir):
+    return D.build_chunks(_docs(spark, sf_dir), 300, 0, "char")
+
+
+_SPLIT = f"""{_DOCS}, fam AS (SELECT DISTINCT family_id FROM docs),
+split AS (SELECT family_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || family_id), family_id) <= round_even((SELECT count(*) FROM fam) * 0.5, 0) THEN 'confidential' ELSE 'benign' END AS partition FROM fam)"""
+
+
+@query(f"WITH {_SPLIT} SELECT family_id, partition FROM split")
+def split_families_hash(spark, sf_dir):
+    return D.split_families(_docs(spark, sf_dir))
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id, family_id FROM docs WHERE family_id IN (SELECT family_id FROM split WHERE partition = 'confidential')")
+def apply_split_reference(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return D.apply_split(d, D.split_families(d), "confidential").select("doc_id", "family_id")
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id AS query_doc_id, partition = 'confidential' AS is_positive, CASE WHEN partition = 'confidential' THEN family_id END AS target_family_id FROM docs JOIN split USING (family_id)")
+def query_manifest(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    s = D.split_families(d)
+    one = lambda part, positive: D.apply_split(d, s, part).select(F.col("doc_id").alias("query_doc_id"), F.lit(positive).alias("is_positive"), F.col("family_id").alias("target_family_id") if positive else F.lit(None).cast("string").alias("target_family_id"))
+    return one("confidential", True).unionByName(one("benign", False))
+
+
+# Vectors: queries are every row whose id is divisible by 50, against all other rows; documents are runs of five.
+_RETRIEVAL = """r AS (SELECT q.vec_id AS query_id, q.vec_id // 5 AS query_doc_id, e.vec_id AS ref_id, e.vec_id // 5 AS ref_doc_id,
+    list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id % 50 <> 0),
+ret AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS rank FROM r QUALIFY rank <= 5)"""
+
+
+def _retrieval(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    doc = F.expr("vec_id div 5")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), doc.alias("query_doc_id"), F.col("embedding").alias("qv"))
+    r = e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("ref_id"), doc.alias("ref_doc_id"), F.col("embedding").alias("rv"))
+    return R.top_k(q, r, 5)
+
+
+@query(f"WITH {_RETRIEVAL} SELECT query_id, query_doc_id, ref_id, ref_doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ret")
+def topk_retrieval(spark, sf_dir):
+    return _retrieval(spark, sf_dir).withColumn("score", _r("score"))
+
+
+def _vote_sql(value: str, confidence: str) -> str:
+    return f"""WITH {_RETRIEVAL}, per AS (SELECT query_doc_id, ref_doc_id, {value} AS v, count(*) AS hits FROM ret GROUP BY ALL),
+    t AS (SELECT *, sum(v) OVER w AS total, row_number() OVER (PARTITION BY query_doc_id ORDER BY v DESC, ref_doc_id) AS rn FROM per WINDOW w AS (PARTITION BY query_doc_id)),
+    p AS (SELECT *, CASE WHEN total > 0 THEN v / total ELSE v END AS p FROM t)
+    SELECT query_doc_id, max(ref_doc_id) FILTER (WHERE rn = 1) AS pred_doc_id, sum(hits)::BIGINT AS n_votes, max(hits) FILTER (WHERE rn = 1) AS best_votes,
+      round({confidence}, 6) AS confidence,
+      round(CASE WHEN count(*) FILTER (WHERE p > 0) <= 1 THEN 0 ELSE -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(count(*) FILTER (WHERE p > 0)) END, 6) AS vote_entropy,
+      round(var_pop(p), 6) AS vote_variance, round(1 - sum(p * p), 6) AS vote_gini FROM p GROUP BY query_doc_id"""
+
+
+def _votes(spark, sf_dir, how):
+    v = R.votes(_retrieval(spark, sf_dir), how)
+    return v.select("query_doc_id", "pred_doc_id", "n_votes", "best_votes", *[_r(c).alias(c) for c in ("confidence", "vote_entropy", "vote_variance", "vote_gini")])
+
+
+@query(_vote_sql("count(*)::DOUBLE", "max(v) FILTER (WHERE rn = 1) / max(total)"))
+def vote_count(spark, sf_dir):
+    return _votes(spark, sf_dir, "count")
+
+
+@query(_vote_sql("sum(score)", "CASE WHEN max(total) > 0 THEN max(v) FILTER (WHERE rn = 1) / max(total) ELSE 0 END"))
+def vote_score_weight(spark, sf_dir):
+    return _votes(spark, sf_dir, "weight")
+
+
+@query(_vote_sql("max(score)", "max(v) FILTER (WHERE rn = 1)"))
+def vote_maxsim(spark, sf_dir):
+    return _votes(spark, sf_dir, "maxsim")
+
+
+_POOL = """e AS (SELECT vec_id // 5 AS doc, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT doc, pos, avg(x) AS m FROM e GROUP BY ALL), n AS (SELECT doc, sqrt(sum(m * m)) + 1e-12 AS norm FROM m GROUP BY doc)"""
+
+
+@query(f"WITH {_POOL} SELECT doc, (pos - 1)::INTEGER AS pos, round(m / norm, 6) AS x FROM m JOIN n USING (doc)")
+def mean_pool_vectors(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "embedding")
+    return R.mean_pool(e, "doc", "embedding").select("doc", F.posexplode("vector").alias("pos", "x")).withColumn("x", _r("x"))
+
+
+# Labelled scores with ties: share of distinct words, for every labelled document.
+_SCORED = f"""{_DOCS}, scored AS (SELECT l.doc_id, l.quality = 0 AS is_positive, round(1 - len(list_distinct(words)) / greatest(len(words), 1)::DOUBLE, 2) AS score
+FROM labels l JOIN docs ON l.doc_id::VARCHAR = docs.doc_id)"""
+
+
+def _scored(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", T.py_words(F.col("text")).alias("w"))
+    score = F.round(1 - F.size(F.array_distinct("w")) / F.greatest(F.size("w"), F.lit(1)).cast("double"), 2)
+    return _read(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", (F.col("quality") == 0).alias("is_positive"), score.alias("score"))
+
+
+_CONF = "count(*) FILTER (WHERE is_positive AND score >= 0.5) AS tp, count(*) FILTER (WHERE NOT is_positive AND score >= 0.5) AS fp, count(*) FILTER (WHERE NOT is_positive AND score < 0.5) AS tn, count(*) FILTER (WHERE is_positive AND score < 0.5) AS fn"
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT {_CONF} FROM scored), q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c)
+SELECT tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, round(coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0), 6) AS accuracy FROM q""")
+def detection_metrics(spark, sf_dir):
+    c = R.confusion(_scored(spark, sf_dir), 0.5)
+    return c.select("tp", "fp", "tn", "fn", *[_r(x).alias(x) for x in ("precision", "recall", "f1", "accuracy")])
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, CASE WHEN is_positive THEN CASE WHEN score >= 0.5 THEN 'TP' ELSE 'FN' END ELSE CASE WHEN score >= 0.5 THEN 'FP' ELSE 'TN' END END AS category FROM scored")
+def case_categories(spark, sf_dir):
+    hit = F.col("score") >= 0.5
+    return _scored(spark, sf_dir).select("doc_id", F.when(F.col("is_positive"), F.when(hit, "TP").otherwise("FN")).otherwise(F.when(hit, "FP").otherwise("TN")).alias("category"))
+
+
+_CURVE = f"""{_SCORED}, g AS (SELECT score, count(*) FILTER (WHERE is_positive) AS p, count(*) FILTER (WHERE NOT is_positive) AS n FROM scored GROUP BY score),
+cum AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM g)"""
+
+
+@query(f"WITH {_CURVE} SELECT score AS threshold, round(2 * tp / (tp + fp + ps), 6) AS f1 FROM cum ORDER BY round(2 * tp / (tp + fp + ps), 12) DESC, score LIMIT 1")
+def best_f1_sweep(spark, sf_dir):
+    return R.best_f1(_scored(spark, sf_dir)).withColumn("f1", _r("f1"))
+
+
+@query(f"WITH {_CURVE} SELECT round(sum(p / ps * tp / (tp + fp)), 6) AS average_precision, round(sum(p * (ns - fp + n / 2) / ps / ns), 6) AS roc_auc FROM cum")
+def average_precision_roc_auc(spark, sf_dir):
+    return R.areas(_scored(spark, sf_dir)).select(_r("average_precision").alias("average_precision"), _r("roc_auc").alias("roc_auc"))
+
+
+_SHINGLES = f"{_DOCS}, s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS s FROM docs)"
+
+
+@query(f"WITH {_SHINGLES} SELECT doc_id, count(*) AS n_shingles, min(md5(s)) AS first_md5 FROM s GROUP BY doc_id")
+def word_shingles(spark, sf_dir):
+    s = _docs(spark, sf_dir).select("doc_id", F.explode(T.shingles(F.col("text"), 5)).alias("s"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_shingles"), F.min(F.md5("s")).alias("first_md5"))
+
+
+@query(f"""WITH {_SHINGLES}, h AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 7))::BIGINT AS x FROM s)
+SELECT doc_id::BIGINT AS id, (i - 1)::INTEGER AS slot, min((x * (i * 40503 + 12345) + i * 7919) % 2147483647) AS h FROM h, range(1, 17) t(i) GROUP BY ALL""")
+def minhash_signature(spark, sf_dir):
+    return L.minhash_signatures(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+_BM25 = """tok AS (SELECT item_id AS ref_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)) AS term FROM benchmark),
+post AS (SELECT ref_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT ref_id, sum(tf) AS dl FROM post GROUP BY ref_id),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT (SELECT count(*) FROM benchmark) AS n, (SELECT sum(dl) FROM dl) AS len),
+w AS (SELECT ref_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / (len / n))) AS w FROM post JOIN dl USING (ref_id) JOIN df USING (term), st),
+qt AS (SELECT doc_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)) AS term FROM documents),
+qc AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
+sc AS (SELECT query_id, ref_id, sum(qtf * w) AS score FROM qc JOIN w USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH {_BM25} SELECT query_id, ref_id, round(score, 5) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, ref_id) = 1")
+def bm25_votes(spark, sf_dir):
+    refs = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return L.best_reference(L.bm25_scores(refs, docs)).withColumn("score", _r("score", 5))
+
+
+# Pairs of consecutive turns stand for originals and variants.
+_PAIRS = """pr AS (SELECT a.conv_id, a.turn, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS r, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS h
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+def _pairs(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    a = c.select("conv_id", "turn", T.quality_tokens(F.col("text")).alias("r"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), T.quality_tokens(F.col("text")).alias("h"))
+    return a.join(b, ["conv_id", "turn"])
+
+
+def _grams(name: str, n: int) -> str:
+    return f"list_distinct(CASE WHEN len({name}) >= {n} THEN list_transform(range(1, len({name}) - {n - 2}), lambda i: array_to_string({name}[i : i + {n - 1}], ' ')) ELSE [] END)"
+
+
+@query(f"WITH {_PAIRS}, g AS (SELECT conv_id, turn, {', '.join(f'{_grams(c, n)} AS {c}{n}' for c in 'rh' for n in (1, 2, 3))} FROM pr) SELECT conv_id, turn, {', '.join(f'round(coalesce(len(list_intersect(r{n}, h{n})) / nullif(len(h{n}), 0), 0), 6) AS overlap_{n}' for n in (1, 2, 3))}, round(coalesce(len(list_intersect(r1, h1)) / nullif(len(list_distinct(list_concat(r1, h1))), 0), 0), 6) AS jaccard FROM g")
+def lexical_overlap(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    r, h = F.col("r"), F.col("h")
+    return p.select("conv_id", "turn", *[_r(T.ngram_overlap(r, h, n)).alias(f"overlap_{n}") for n in (1, 2, 3)], _r(T.jaccard(r, h)).alias("jaccard"))
+
+
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INTEGER AS version_index FROM conversations QUALIFY max(version_index) OVER (PARTITION BY conv_id) >= 2".replace("QUALIFY max(version_index) OVER (PARTITION BY conv_id) >= 2", "QUALIFY count(*) OVER (PARTITION BY conv_id) >= 2"))
+def version_rank_eligible(spark, sf_dir):
+    v = D.version_rank(_read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return D.eligible_families(v, "conv_id").select("conv_id", "turn", "role", "version_index")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1")
+def latest_revision(spark, sf_dir):
+    v = D.version_rank(_read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return D.latest_revision(v, "conv_id").select("conv_id", "turn", "role", "text")
+
+
+# Entity resolution: documents are joined to the first with the same prefix fingerprint or the same text.
+@query("""WITH f AS (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 200) AS fp FROM documents),
+a AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS first FROM f WHERE length(fp) >= 18)
+SELECT doc_id AS src, first AS dst FROM a WHERE doc_id <> first""")
+def fingerprint_edges(spark, sf_dir):
+    f = _read(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 200).alias("fp")).where(F.length("fp") >= 18)
+    first = f.groupBy("fp").agg(F.min("doc_id").alias("dst"))
+    return f.join(first, "fp").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst")
+
+
+@query("""WITH RECURSIVE f AS (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 200) AS fp FROM documents),
+a AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS first FROM f WHERE length(fp) >= 18),
+e AS (SELECT doc_id AS s, first AS d FROM a WHERE doc_id <> first),
+b AS (SELECT s, d FROM e UNION SELECT d, s FROM e),
+r(node, seen) AS (SELECT s, s FROM b UNION SELECT r.node, b.d FROM r JOIN b ON r.seen = b.s)
+SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def connected_components_query(spark, sf_dir):
+    return connected_components(fingerprint_edges(spark, sf_dir))
+
+
+@query("""WITH f AS (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 200) AS fp FROM documents),
+d AS (SELECT fp, min(doc_id) AS id FROM f WHERE length(fp) >= 18 GROUP BY fp)
+SELECT a.id AS src, b.id AS dst, round(1 - levenshtein(a.fp, b.fp) / greatest(length(a.fp), length(b.fp)), 6) AS similarity FROM d a JOIN d b ON substr(a.fp, 1, 18) = substr(b.fp, 1, 18) AND a.id < b.id
+WHERE 1 - levenshtein(a.fp, b.fp) / greatest(length(a.fp), length(b.fp)) >= 0.82""")
+def prefix_levenshtein_pairs(spark, sf_dir):
+    """Distinct fingerprints only, so that copies do not multiply; blocked by their first 18 characters."""
+    f = _read(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 200).alias("fp")).where(F.length("fp") >= 18)
+    d = f.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("block", F.substring("fp", 1, 18))
+    a, b = d.alias("a"), d.alias("b")
+    similarity = 1 - F.levenshtein(F.col("a.fp"), F.col("b.fp")) / F.greatest(F.length("a.fp"), F.length("b.fp"))
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & (similarity >= 0.82))
+    return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), _r(similarity).alias("similarity"))
+
+
+@query("SELECT lang, max(CASE WHEN source = 'src0' THEN n_chars END) AS src0, max(CASE WHEN source = 'src1' THEN n_chars END) AS src1, max(CASE WHEN source = 'src2' THEN n_chars END) AS src2 FROM documents GROUP BY lang")
+def metrics_pivot(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.max("n_chars"))
+
+

@@ -81,30 +81,31 @@ class OrdinalModel:
         return [1 / (1 + math.exp(-max(-50.0, min(50.0, z - t)))) for t in self.thresholds]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing thresholds by full-batch Adam; thresholds are a first one and positive steps."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing thresholds by full-batch Adam over weighted rows; thresholds are a first one and positive steps."""
     n, d = x.shape
-    rest = [float(np.mean(grade >= k)) for k in range(1, grades)]
+    total = float(weight.sum())
+    rest = [float(weight[grade >= k].sum()) / total for k in range(1, grades)]
     start = [np.log((1 - p + 1e-6) / (p + 1e-6)) for p in rest]
     theta = np.concatenate([np.zeros(d), [start[0]], np.log(np.maximum(np.diff(start), 0.1))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         w, cuts = theta[:d], np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]))
-        z = x @ w
+        z = x @ w.astype(x.dtype)
         above = 1 / (1 + np.exp(-np.clip(z[:, None] - cuts[None, :], -50, 50)))  # P(y >= k), k = 1..
         edge = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
         p = np.maximum(edge[np.arange(n), grade] - edge[np.arange(n), grade + 1], 1e-9)
         slope = np.hstack([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))])
-        up, down = slope[np.arange(n), grade] / p, slope[np.arange(n), grade + 1] / p
+        up, down = weight * slope[np.arange(n), grade] / p, weight * slope[np.arange(n), grade + 1] / p
         dz = up - down
         dcut = np.zeros(grades - 1)
         for k in range(1, grades):
             dcut[k - 1] = -up[grade == k].sum() + down[grade == k - 1].sum()
         dtheta = np.empty_like(theta)
-        dtheta[:d] = x.T @ dz / n - l2 * w
-        dtheta[d] = dcut.sum() / n
+        dtheta[:d] = x.T @ dz.astype(x.dtype) / total - l2 * w
+        dtheta[d] = dcut.sum() / total
         for j in range(1, grades - 1):
-            dtheta[d + j] = np.exp(theta[d + j]) * dcut[j:].sum() / n
+            dtheta[d + j] = np.exp(theta[d + j]) * dcut[j:].sum() / total
         m, v = 0.9 * m + 0.1 * dtheta, 0.999 * v + 0.001 * dtheta**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta[:d], np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]))
@@ -147,18 +148,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             n = pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), at, n], names=["toxic", "at", "n"])
 
-    data = rows.select("toxic", "text").mapInArrow(featured, "toxic int, at array<int>, n array<int>").orderBy("toxic", "at", "n").collect()  # bounded by max_rows
+    data = rows.select("toxic", "text").mapInArrow(featured, "toxic int, at array<int>, n array<int>").groupBy("toxic", "at", "n").count().orderBy("toxic", "at", "n").collect()  # bounded by max_rows
     counts = np.zeros((len(data), len(names)), np.float32)
     for r, row in enumerate(data):
         counts[r, row["at"]] = row["n"]
-    toxic = np.array([row["toxic"] for row in data])
+    toxic, weight = np.array([row["toxic"] for row in data]), np.array([row["count"] for row in data])
     hits = counts.sum(axis=1)
-    some = hits[(toxic == 1) & (hits > 0)]
+    own = (toxic == 1) & (hits > 0)
+    some = np.repeat(hits[own], weight[own])
     cut = float(np.median(some)) if len(some) else 0.0
     grade = np.where(toxic == 0, 0, np.where(hits > cut, 2, 1))
     if not (grade == 2).any() or not (grade == 1).any():
         grade = np.where(toxic == 0, 0, np.where(np.arange(len(toxic)) % 2, 2, 1))
-    weights, cuts = fit_ordinal(np.log1p(counts), grade, GRADES)
+    weights, cuts = fit_ordinal(np.log1p(counts), grade, weight, GRADES)
     return OrdinalModel({w: float(x) for w, x in zip(names, weights)}, tuple(float(c) for c in cuts))
 
 

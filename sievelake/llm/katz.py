@@ -23,6 +23,7 @@ unknown, of probability one; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -244,9 +245,10 @@ class KatzModel:
     types: int
 
 
-def fit_katz(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> KatzModel:
-    """From (rid, train, text)."""
-    raw = Stored(count_grams(docs, order, parts, chunk_bytes), "gram-counts", ("ord",)).df
+def _fit(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> tuple[KatzModel, list[Stored]]:
+    """The model and the tables it no longer needs, as it is written."""
+    scratch = [Stored(count_grams(docs, order, parts, chunk_bytes), "gram-counts", ("ord",))]
+    raw = scratch[0].df
     stats = {(-r["ord"], r["c"]): r["n"] for r in raw.where("ord < 0").groupBy("ord", "c").agg(F.sum("n").alias("n")).collect()}  # GT_MOST + 3 rows per order
     types, tokens = stats.get((1, 0), 0), stats.get((1, -1), 0)
     low = raw.where("ord = 1").select("item", "c", F.log10((F.col("c") + 1) / F.lit(float(tokens + types + 1))).alias("logp"))
@@ -257,18 +259,30 @@ def fit_katz(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> KatzM
         grams = raw.where(F.col("ord") == n).select("item", "c", F.regexp_extract("item", "(?s)^(.*) [^ ]*$", 1).alias("ctx"), F.regexp_extract("item", "(?s)^[^ ]* (.*)$", 1).alias("rest"))
         grams = grams.join(low.select(F.col("item").alias("rest"), F.pow(F.lit(10.0), F.col("logp")).alias("p_low")), "rest").drop("rest")
         histories = low.select(F.col("item").alias("ctx"), F.col("c").alias("c_ctx"))
-        grams = Stored(grams.join(histories, "ctx").withColumn("p", d * F.col("c") / F.col("c_ctx")), f"grams-{n}").df
+        scratch.append(Stored(grams.join(histories, "ctx").withColumn("p", d * F.col("c") / F.col("c_ctx")), f"grams-{n}"))
+        grams = scratch[-1].df
         sums = grams.groupBy("ctx").agg(F.sum("p").alias("hi"), F.least(F.sum("p_low"), F.lit(1 - 1e-12)).alias("lo"), F.first("c_ctx").alias("c_ctx"))
         # histories whose kept successors leave nothing: half a count is set aside for the others
         scale = F.when(1 - F.col("hi") < 0.5 / F.col("c_ctx"), (1 - 0.5 / F.col("c_ctx")) / F.col("hi")).otherwise(1.0)
-        sums = Stored(sums.withColumn("scale", scale).select("ctx", "scale", F.log10((1 - F.col("hi") * scale) / (1 - F.col("lo"))).alias("loga")), f"histories-{n}").df
+        scratch.append(Stored(sums.withColumn("scale", scale).select("ctx", "scale", F.log10((1 - F.col("hi") * scale) / (1 - F.col("lo"))).alias("loga")), f"histories-{n}"))
+        sums = scratch[-1].df
         tables.append(low.join(sums.select(F.col("ctx").alias("item"), "loga"), "item", "left").select(F.lit(n - 1).alias("ord"), "item", "c", "logp", "loga"))
         low = grams.join(sums, "ctx").select("item", "c", F.log10(F.col("p") * F.col("scale")).alias("logp"))
     tables.append(low.select(F.lit(order).alias("ord"), "item", "c", "logp", F.lit(None).cast("double").alias("loga")))
     table = tables[0]
     for t in tables[1:]:
         table = table.unionByName(t)
-    return KatzModel(Stored(table, "katz-model", ("ord",)).df, order, tokens, types)
+    return KatzModel(Stored(table, "katz-model", ("ord",)).df, order, tokens, types), scratch
+
+
+def fit_katz(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> KatzModel:
+    """From (rid, train, text). Frees the disk of the fit: its tables, and the shuffle files of plans that the JVM collects."""
+    model, scratch = _fit(docs, order, parts, chunk_bytes)
+    for s in scratch:
+        s.drop()
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    return model
 
 
 def _answers(blocks: DataFrame, model: KatzModel, parts: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import text as T
 from sievelake.operators import documents as D
+from sievelake.operators import evaluation as E
 from sievelake.operators import lexical as L
 from sievelake.operators import retrieval as R
 from sievelake.operators.components import connected_components
@@ -237,6 +238,74 @@ def minhash_signature(spark, sf_dir):
     return L.minhash_signatures(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+# Evaluation: families are the least label of a document's vectors, those with even numbers are the confidential ones.
+_EVAL = f"""v AS ({_vote_sql("count(*)::DOUBLE", "max(v) FILTER (WHERE rn = 1) / max(total)")}),
+fam AS (SELECT vec_id // 5 AS doc, min(label) AS family FROM embeddings GROUP BY 1),
+ev AS (SELECT q.doc AS query_doc_id, q.family % 2 = 0 AS is_positive, CASE WHEN q.family % 2 = 0 THEN q.family END AS target_family, coalesce(v.confidence, 0) AS confidence,
+  coalesce(v.confidence >= 0.4, false) AS pred_detected, CASE WHEN v.confidence >= 0.4 THEN v.pred_doc_id END AS pred_doc_id, CASE WHEN v.confidence >= 0.4 THEN p.family END AS pred_family
+  FROM fam q LEFT JOIN v ON v.query_doc_id = q.doc LEFT JOIN fam p ON p.doc = v.pred_doc_id WHERE q.doc IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 25 = 0))"""
+
+
+def _eval(spark, sf_dir):
+    """Queries are documents with a vector whose id is divisible by 25; every other one of them has no vote."""
+    e = _read(spark, sf_dir, "embeddings").withColumn("doc", F.expr("vec_id div 5"))
+    families = e.groupBy("doc").agg(F.min("label").alias("family"))
+    asked = families.join(e.where("vec_id % 25 = 0").select("doc").distinct(), "doc", "left_semi")
+    positive = F.col("family") % 2 == 0
+    manifest = asked.select(F.col("doc").alias("query_doc_id"), positive.alias("is_positive"), F.when(positive, F.col("family")).alias("target_family"))
+    return E.evaluate(manifest, R.votes(_retrieval(spark, sf_dir)), families, 0.4)
+
+
+@query(f"WITH {_EVAL} SELECT query_doc_id, is_positive, target_family, pred_doc_id, pred_family, round(confidence, 6) AS confidence, pred_detected FROM ev")
+def apply_threshold(spark, sf_dir):
+    return _eval(spark, sf_dir).withColumn("confidence", _r("confidence"))
+
+
+@query(f"""WITH {_EVAL}, c AS (SELECT count(*) FILTER (WHERE is_positive) AS n_positive, count(*) FILTER (WHERE is_positive AND pred_detected) AS n_detected,
+count(*) FILTER (WHERE is_positive AND pred_detected AND pred_family = target_family) AS n_correct FROM ev)
+SELECT *, round(coalesce(n_correct / nullif(n_positive, 0), 0), 6) AS rate_all, round(coalesce(n_correct / nullif(n_detected, 0), 0), 6) AS rate_detected FROM c""")
+def attribution_metrics(spark, sf_dir):
+    return E.attribution(_eval(spark, sf_dir)).withColumn("rate_all", _r("rate_all")).withColumn("rate_detected", _r("rate_detected"))
+
+
+@query(f"""WITH {_EVAL}, p AS (SELECT target_family AS family_id, count(*) AS n, count(*) FILTER (WHERE pred_detected) AS d, count(*) FILTER (WHERE pred_detected AND pred_family = target_family) AS a FROM ev WHERE is_positive GROUP BY 1),
+f AS (SELECT pred_family AS family_id, count(*) AS x FROM ev WHERE NOT is_positive AND pred_detected GROUP BY 1)
+SELECT family_id, coalesce(n, 0) AS n_positive_total, coalesce(d, 0) AS n_positive_detected, coalesce(a, 0) AS n_attribution_correct, coalesce(x, 0) AS n_false_attraction,
+round(coalesce(d / nullif(n, 0), 0), 6) AS detection_rate, round(coalesce(a / nullif(d, 0), 0), 6) AS attribution_rate FROM p FULL JOIN f USING (family_id)""")
+def errors_by_family(spark, sf_dir):
+    return E.errors_by_family(_eval(spark, sf_dir)).withColumn("detection_rate", _r("detection_rate")).withColumn("attribution_rate", _r("attribution_rate"))
+
+
+@query(f"WITH {_EVAL} SELECT query_doc_id, pred_doc_id, pred_family, round(confidence, 6) AS confidence FROM ev WHERE NOT is_positive AND pred_detected")
+def false_positive_pairs(spark, sf_dir):
+    return E.false_positives(_eval(spark, sf_dir)).withColumn("confidence", _r("confidence"))
+
+
+@query(f"""WITH {_EVAL}, t AS (SELECT CASE WHEN is_positive THEN 'positive' ELSE 'negative' END AS actual, pred_detected FROM ev UNION ALL SELECT 'total', pred_detected FROM ev)
+SELECT actual, count(*) FILTER (WHERE pred_detected) AS detected, count(*) FILTER (WHERE NOT pred_detected) AS passed, count(*) AS total FROM t GROUP BY actual""")
+def confusion_matrix(spark, sf_dir):
+    return E.confusion_matrix(_eval(spark, sf_dir))
+
+
+@query(f"WITH {_SPLIT}, part AS (SELECT family_id FROM docs WHERE dataset = 'src0') SELECT DISTINCT family_id FROM docs WHERE family_id NOT IN (SELECT family_id FROM part)")
+def family_coverage_gap(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return E.uncovered_families(d, D.split_families(d.where("dataset = 'src0'")))
+
+
+_BANDS = f"""{_SHINGLES}, every AS (SELECT 'q' || doc_id AS id, s FROM s UNION SELECT 'r' || item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)
+  FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+h AS (SELECT id, ('0x' || substr(md5(s), 1, 7))::BIGINT AS x FROM every),
+sg AS (SELECT id, (i - 1)::INTEGER AS slot, min((x * (i * 40503 + 12345) + i * 7919) % 2147483647) AS h FROM h, range(1, 17) t(i) GROUP BY ALL),
+bd AS (SELECT id, slot // 2 AS band, string_agg(h::VARCHAR, '-' ORDER BY slot) AS key FROM sg GROUP BY ALL)"""
+
+
+@query(f"WITH {_BANDS} SELECT DISTINCT substr(q.id, 2)::BIGINT AS query_id, substr(r.id, 2)::BIGINT AS ref_id FROM bd q JOIN bd r USING (band, key) WHERE q.id[1] = 'q' AND r.id[1] = 'r'")
+def lsh_candidates(spark, sf_dir):
+    sign = lambda name, key: L.minhash_signatures(_read(spark, sf_dir, name).select(F.col(key).alias("id"), "text"))
+    return L.band_candidates(sign("documents", "doc_id"), sign("benchmark", "item_id"))
+
+
 _BM25 = """tok AS (SELECT item_id AS ref_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)) AS term FROM benchmark),
 post AS (SELECT ref_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT ref_id, sum(tf) AS dl FROM post GROUP BY ref_id),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT (SELECT count(*) FROM benchmark) AS n, (SELECT sum(dl) FROM dl) AS len),

@@ -13,6 +13,11 @@ def py_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), PYWS + "+"), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with ``value`` evaluated once a row: inside a higher-order function it would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_space(text: Column) -> Column:
     """Words joined by single spaces; null becomes empty."""
     return F.array_join(py_words(text), " ")
@@ -28,8 +33,7 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 
 def word_chunks(text: Column, size: int, overlap: int = 0) -> Column:
-    words = py_words(text)
-    return F.transform(window_starts(F.size(words), size, overlap), lambda at: F.array_join(F.slice(words, at + 1, size), " "))
+    return bound(py_words(text), lambda words: F.transform(window_starts(F.size(words), size, overlap), lambda at: F.array_join(F.slice(words, at + 1, size), " ")))
 
 
 def char_chunks(text: Column, size: int, overlap: int = 0) -> Column:
@@ -46,9 +50,12 @@ def ngrams(words: Column, n: int) -> Column:
 
 def shingles(text: Column, k: int) -> Column:
     """Distinct k-word shingles; a shorter text is one shingle, an empty one has none."""
-    words = py_words(text)
-    whole = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(words) < k, whole).otherwise(F.array_distinct(ngrams(words, k)))
+
+    def cut(words: Column) -> Column:
+        whole = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(words) < k, whole).otherwise(F.array_distinct(ngrams(words, k)))
+
+    return bound(py_words(text), cut)
 
 
 def quality_tokens(text: Column) -> Column:

@@ -88,3 +88,20 @@ def hash28(text: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def clean_variant_source(text: Column) -> Column:
+    """Lower case without apostrophes; letters, digits and ``<>=,.:-`` stay, commas stand alone, single spaces."""
+    t = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "'", "")), "[^a-z0-9 <>=,.:\\-]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, " *, *", " , "), " +", " "))
+
+
+def join_commas(text: Column) -> Column:
+    """A comma follows its word at once, and one space follows it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "\\s+,", ","), ",\\s*", ", "))
+
+
+def record_text(title: Column, abstract: Column, body: Column) -> Column:
+    """Title, the abstract under its heading and the body, blank lines between; empty fields are left out."""
+    part = lambda c, head="": F.when(clean_space(c) != "", F.concat(F.lit(head), clean_space(c)))
+    return F.concat_ws("\n\n", part(title), part(abstract, "Abstract\n"), part(body))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelake.functions.text import hash28, shingles
+from sievelake.functions.text import hash28, ngrams, shingles
 
 PRIME = 2147483647
 
@@ -45,3 +45,37 @@ def band_candidates(sigs: DataFrame, refs: DataFrame, rows: int = 2) -> DataFram
     """(query_id, ref_id) that share a band of ``rows`` slots."""
     band = lambda d, name: d.groupBy("id", F.expr(f"slot div {rows}").alias("band")).agg(F.concat_ws("-", F.transform(F.sort_array(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"].cast("string"))).alias("key")).withColumnRenamed("id", name)
     return band(sigs, "query_id").join(band(refs, "ref_id"), ["band", "key"]).select("query_id", "ref_id").distinct()
+
+
+def equal_slots(pairs: DataFrame, sigs: DataFrame, refs: DataFrame, slots: int = 16) -> DataFrame:
+    """Pairs with the Jaccard similarity that their signatures estimate."""
+    q, r = sigs.withColumnRenamed("id", "query_id"), refs.withColumnRenamed("id", "ref_id")
+    return pairs.join(q, "query_id").join(r, ["ref_id", "slot", "h"]).groupBy("query_id", "ref_id").agg((F.count("*") / F.lit(slots)).alias("score"))
+
+
+def family_votes(scored: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row per query: the family with the highest score of any member, of equal ones the greater id as text.
+
+    scored: query_id, ref_id, family, score; queries: query_id. Without candidates: nulls, 0 votes, confidence 0.
+    """
+    per = scored.groupBy("query_id", "family").agg(F.max(F.struct("score", (-F.col("ref_id")).alias("r"))).alias("b")).select("query_id", "family", "b.score", (-F.col("b.r")).alias("ref_id"))
+    total = F.sum("score").over(W.partitionBy("query_id"))
+    p = per.withColumn("p", F.when(total > 0, F.col("score") / total).otherwise(F.col("score")))
+    positive = F.when(F.col("p") > 0, F.col("p"))
+    best = F.max(F.struct("score", F.col("family").cast("string").alias("f"), "family", "ref_id")).alias("b")
+    v = p.groupBy("query_id").agg(best, F.count(positive).alias("k"), F.sum(positive * F.ln(positive)).alias("plogp"), F.sum(F.col("p") * F.col("p")).alias("p2"), F.var_pop("p").alias("var"))
+    entropy = F.when(F.coalesce("k", F.lit(0)) <= 1, 0.0).otherwise(-F.col("plogp") / F.ln("k"))
+    out = queries.join(v, "query_id", "left")
+    return out.select("query_id", F.col("b.ref_id").alias("pred_doc_id"), F.col("b.family").alias("pred_family_id"), F.col("b").isNotNull().cast("int").alias("n_votes"), F.coalesce("b.score", F.lit(0.0)).alias("confidence"), entropy.alias("vote_entropy"), F.coalesce("var", F.lit(0.0)).alias("vote_variance"), (1 - F.coalesce("p2", F.lit(0.0))).alias("vote_gini"))
+
+
+def self_bleu(pairs: DataFrame, *key: str, most: int = 4) -> DataFrame:
+    """key, self_bleu of the tokens ``h`` against ``r``: clipped counts plus one, up to ``most``-grams, brevity penalty. The key is unique."""
+    count = lambda c, n, of_h: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(of_h).alias("h"), F.lit(1 - of_h).alias("r")))
+    every = F.concat(*[count(c, n, of_h) for c, of_h in (("h", 1), ("r", 0)) for n in range(1, most + 1)])
+    grams = pairs.select(*key, F.inline(every)).groupBy(*key, "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    per = grams.groupBy(*key, "n").agg(F.sum(F.least("h", "r")).alias("both"), F.sum("h").alias("all")).where("all > 0")
+    mean = per.groupBy(*key).agg(F.exp(F.avg(F.ln((F.col("both") + 1) / (F.col("all") + 1)))).alias("mean"))
+    nr, nh = F.size("r"), F.size("h")
+    brevity = F.when(nh == 0, 0.0).when(nh >= nr, 1.0).otherwise(F.exp(1 - F.try_divide(nr, nh)))
+    return pairs.select(*key, brevity.alias("brevity")).join(mean, list(key), "left").select(*key, (F.col("brevity") * F.coalesce("mean", F.lit(0.0))).alias("self_bleu"))

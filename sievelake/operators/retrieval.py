@@ -89,3 +89,19 @@ def areas(scored: DataFrame) -> DataFrame:
     ap = F.sum(F.col("p") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
     auc = F.sum(F.col("p") * (F.col("negatives") - F.col("fp") + F.col("n") / 2) / F.col("positives") / F.col("negatives"))
     return curve(scored).agg(ap.alias("average_precision"), auc.alias("roc_auc"))
+
+
+def shortlist(retrieval: DataFrame, k: int = 32) -> DataFrame:
+    """The k reference documents with most hits of each query document; ties go to the smaller id."""
+    hits = retrieval.groupBy("query_doc_id", "ref_doc_id").agg(F.count("*").alias("hits"))
+    order = W.partitionBy("query_doc_id").orderBy(F.col("hits").desc(), "ref_doc_id")
+    return hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("query_doc_id", "ref_doc_id")
+
+
+def mean_max_similarity(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """For pairs of documents: mean over the query's vectors of the best inner product with the reference's. bags: doc, vec_id, v."""
+    q = bags.select(F.col("doc").alias("query_doc_id"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    r = bags.select(F.col("doc").alias("ref_doc_id"), F.col("v").alias("rv"))
+    scored = pairs.join(q, "query_doc_id").join(r, "ref_doc_id").withColumn("s", dot(F.col("qv"), F.col("rv")))
+    best = scored.groupBy("query_doc_id", "ref_doc_id", "query_id").agg(F.max("s").alias("s"))
+    return best.groupBy("query_doc_id", "ref_doc_id").agg(F.avg("s").alias("score"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import text as T
 from sievelake.operators import documents as D
-from sievelake.operators import evaluation as E
+from sievelake.operators import encoders, evaluation as E
 from sievelake.operators import lexical as L
 from sievelake.operators import retrieval as R
 from sievelake.operators.components import connected_components
@@ -396,3 +396,70 @@ def metrics_pivot(spark, sf_dir):
     return _read(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.max("n_chars"))
 
 
+
+
+def _gram_sql(c: str) -> str:
+    return f"SELECT conv_id, turn, n, g, count(*) AS c FROM (SELECT conv_id, turn, n, unnest(CASE WHEN len({c}) >= n THEN list_transform(range(1, len({c}) - n + 2), lambda i: array_to_string({c}[i : i + n - 1], ' ')) ELSE [] END) AS g FROM pr, range(1, 5) t(n)) GROUP BY ALL"
+
+
+@query(f"""WITH {_PAIRS}, ch AS ({_gram_sql("h")}), cr AS ({_gram_sql("r")}),
+per AS (SELECT conv_id, turn, n, sum(least(ch.c, coalesce(cr.c, 0))) AS o, sum(ch.c) AS t FROM ch LEFT JOIN cr USING (conv_id, turn, n, g) GROUP BY ALL),
+geo AS (SELECT conv_id, turn, exp(avg(ln((o + 1) / (t + 1)))) AS geo FROM per GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(geo, 0) * CASE WHEN len(h) = 0 THEN 0 WHEN len(h) >= len(r) THEN 1 ELSE exp(1 - len(r) / len(h)) END, 6) AS self_bleu FROM pr LEFT JOIN geo USING (conv_id, turn)""")
+def self_bleu_pairs(spark, sf_dir):
+    return L.self_bleu(_pairs(spark, sf_dir), "conv_id", "turn").withColumn("self_bleu", _r("self_bleu"))
+
+
+@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(regexp_replace(coalesce(text, ''), '''', '', 'g')), '[^a-z0-9 <>=,.:-]', ' ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, ' *, *', ' , ', 'g'), ' +', ' ', 'g')) AS cleaned FROM a)
+SELECT doc_id, cleaned, trim(regexp_replace(regexp_replace(cleaned, '\\s+,', ',', 'g'), ',\\s*', ', ', 'g')) AS joined FROM b""")
+def clean_variant_text(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", T.clean_variant_source(F.col("text")).alias("cleaned"))
+    return d.withColumn("joined", T.join_commas(F.col("cleaned")))
+
+
+@query(f"""WITH {_DOCS}, c AS (SELECT doc_id, dataset, array_to_string(words, ' ') AS body FROM docs)
+SELECT doc_id, concat_ws(E'\\n\\n', nullif(dataset, ''), E'Abstract\\n' || doc_id, nullif(body, '')) AS text FROM c""")
+def record_to_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.record_text(F.col("dataset"), F.col("doc_id"), F.col("text")).alias("text"))
+
+
+@query(f"""WITH {_BANDS}, cand AS (SELECT DISTINCT q.id AS qid, r.id AS rid FROM bd q JOIN bd r USING (band, key) WHERE q.id[1] = 'q' AND r.id[1] = 'r'),
+sc AS (SELECT substr(qid, 2)::BIGINT AS query_id, substr(rid, 2)::BIGINT AS ref_id, count(*) / 16 AS score FROM cand JOIN sg a ON a.id = qid JOIN sg b ON b.id = rid AND b.slot = a.slot AND b.h = a.h GROUP BY ALL),
+fs AS (SELECT query_id, ref_id // 4 AS family, max(score) AS score, arg_min(ref_id, (-score, ref_id)) AS ref_id FROM sc GROUP BY query_id, family),
+p AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS p, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, family::VARCHAR DESC) AS rn FROM fs),
+v AS (SELECT query_id, max(ref_id) FILTER (WHERE rn = 1) AS pred_doc_id, max(family) FILTER (WHERE rn = 1) AS pred_family_id, max(score) AS confidence, CASE WHEN count(*) <= 1 THEN 0 ELSE -sum(p * ln(p)) / ln(count(*)) END AS vote_entropy, var_pop(p) AS vote_variance, 1 - sum(p * p) AS vote_gini FROM p GROUP BY query_id)
+SELECT d.doc_id AS query_id, pred_doc_id, pred_family_id, (v.query_id IS NOT NULL)::INTEGER AS n_votes, round(coalesce(confidence, 0), 6) AS confidence, round(coalesce(vote_entropy, 0), 6) AS vote_entropy, round(coalesce(vote_variance, 0), 6) AS vote_variance, round(coalesce(vote_gini, 1), 6) AS vote_gini FROM documents d LEFT JOIN v ON v.query_id = d.doc_id""")
+def minhash_votes(spark, sf_dir):
+    sign = lambda name, key: L.minhash_signatures(_read(spark, sf_dir, name).select(F.col(key).alias("id"), "text"))
+    q, r = sign("documents", "doc_id"), sign("benchmark", "item_id")
+    scored = L.equal_slots(L.band_candidates(q, r), q, r).withColumn("family", F.expr("ref_id div 4"))
+    v = L.family_votes(scored, _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id")))
+    return v.withColumns({c: _r(c) for c in ("confidence", "vote_entropy", "vote_variance", "vote_gini")})
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS.replace("text", "lower(text)")}) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 7))::BIGINT AS x FROM w),
+s AS (SELECT doc_id, (x % 64)::INTEGER AS slot, sum(1 - 2 * ((x // 64) % 2)) AS v FROM h GROUP BY ALL HAVING v <> 0)
+SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s""")
+def hashed_word_embedding(spark, sf_dir):
+    return encoders.hashed_words(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("value", _r("value"))
+
+
+@query(f"""WITH {_POOL}, u AS (SELECT doc, pos, m / norm AS x FROM m JOIN n USING (doc)),
+sc AS (SELECT q.doc AS query_doc_id, r.doc AS ref_doc_id, sum(q.x * r.x) AS score FROM u q JOIN u r ON q.pos = r.pos AND q.doc % 50 = 0 AND r.doc % 50 <> 0 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_doc_id ORDER BY score DESC, ref_doc_id) AS rn, count(*) OVER (PARTITION BY query_doc_id) AS n FROM sc)
+SELECT query_doc_id, ref_doc_id AS pred_doc_id, least(n, 50)::BIGINT AS n_votes, round(score, 6) AS confidence FROM k WHERE rn = 1""")
+def embedding_pooled_votes(spark, sf_dir):
+    p = R.mean_pool(_read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "embedding"), "doc", "embedding")
+    q = p.where("doc % 50 = 0").select(F.col("doc").alias("query_id"), F.col("doc").alias("query_doc_id"), F.col("vector").alias("qv"))
+    r = p.where("doc % 50 <> 0").select(F.col("doc").alias("ref_id"), F.col("doc").alias("ref_doc_id"), F.col("vector").alias("rv"))
+    return R.votes(R.top_k(q, r, 50), "maxsim").select("query_doc_id", "pred_doc_id", "n_votes", _r("confidence").alias("confidence"))
+
+
+@query(f"""WITH {_RETRIEVAL}, c AS (SELECT query_doc_id, ref_doc_id, count(*) AS hits FROM ret GROUP BY ALL),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_doc_id ORDER BY hits DESC, ref_doc_id) <= 32),
+d AS (SELECT query_doc_id, ref_doc_id, q.vec_id, max(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[])) AS m FROM s JOIN embeddings q ON q.vec_id // 5 = query_doc_id JOIN embeddings r ON r.vec_id // 5 = ref_doc_id GROUP BY ALL)
+SELECT query_doc_id, ref_doc_id, round(avg(m), 6) AS score FROM d GROUP BY ALL""")
+def token_bag_maxsim(spark, sf_dir):
+    bags = _read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "vec_id", F.col("embedding").alias("v"))
+    return R.mean_max_similarity(R.shortlist(_retrieval(spark, sf_dir)), bags).withColumn("score", _r("score"))

@@ -1,8 +1,9 @@
 """Secret scan: pattern matches plus a sliding-window entropy pass over candidate strings.
 
 Base kinds (assign, access, hex) come from fixed patterns. The entropy kind slides a window over each candidate
-string and keeps Shannon entropy per character class (lower-case hexadecimal, letters and digits, base64) by
-incremental counts: one character leaves and one enters, each changing the sum of c*log2(c) by a table look-up.
+string and keeps Shannon entropy per character class (hexadecimal of either case, letters of one case with digits,
+letters and digits, base64) by incremental counts: one character leaves and one enters, each changing the sum of
+c*log2(c) by a table look-up.
 Windows above their class's threshold are merged into spans; allow-listed candidates are passed over, and spans
 within a base span are not repeated. One pass over each text, no shuffle; memory is one Arrow batch.
 
@@ -30,8 +31,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Bits a character that a window of WINDOW characters must exceed, by class.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8}
+#: Bits a character that a window of WINDOW characters must exceed, by class; "onecase" needs a digit, so that words
+#: in letters alone stay "alnum".
+THRESHOLDS = {"hex": 3.0, "onecase": 3.4, "alnum": 3.7, "base64": 3.8}
 #: Candidates that look random but are known to be harmless: separators and fillers, UUIDs, runs of the alphabet,
 #: samples, dotted or slashed paths of words, and words without any digit or inner capital.
 ALLOWED = (
@@ -44,7 +46,8 @@ ALLOWED = (
 )
 
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
-_HEX, _ALNUM = frozenset("0123456789abcdef"), frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_DIGIT, _LOWER, _UPPER = frozenset("0123456789"), frozenset("abcdefghijklmnopqrstuvwxyz"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_HEX = frozenset("0123456789abcdefABCDEF")
 
 
 def window_spans(s: str, window: int = WINDOW, thresholds: dict[str, float] | None = None) -> list[tuple[int, int]]:
@@ -52,16 +55,23 @@ def window_spans(s: str, window: int = WINDOW, thresholds: dict[str, float] | No
     limits = thresholds or THRESHOLDS
     clog = _CLOG if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     counts: dict[str, int] = {}
-    total, not_hex, not_alnum, base = 0.0, 0, 0, math.log2(window)
+    total, not_hex, lower, upper, digits, base = 0.0, 0, 0, 0, 0, math.log2(window)
     spans: list[tuple[int, int]] = []
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
         total += clog[c + 1] - clog[c]
         counts[ch] = c + 1
         not_hex += ch not in _HEX
-        not_alnum += ch not in _ALNUM
+        lower += ch in _LOWER
+        upper += ch in _UPPER
+        digits += ch in _DIGIT
         if i >= window - 1:
-            kind = "base64" if not_alnum else "alnum" if not_hex else "hex"
+            if not not_hex:
+                kind = "hex"
+            elif lower + upper + digits < window:
+                kind = "base64"
+            else:
+                kind = "onecase" if digits and not (lower and upper) else "alnum"
             if base - total / window > limits[kind]:
                 start = i - window + 1
                 if spans and start <= spans[-1][1]:
@@ -73,7 +83,9 @@ def window_spans(s: str, window: int = WINDOW, thresholds: dict[str, float] | No
             total += clog[c - 1] - clog[c]
             counts[out] = c - 1
             not_hex -= out not in _HEX
-            not_alnum -= out not in _ALNUM
+            lower -= out in _LOWER
+            upper -= out in _UPPER
+            digits -= out in _DIGIT
     return spans
 
 

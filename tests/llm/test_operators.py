@@ -142,6 +142,17 @@ def test_secrets(docs, empty):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_recall_by_class():
+    rng = random.Random(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (digits + "abcdef", digits + "ABCDEF", upper + "234567", lower + "234567", lower + digits, upper + digits, lower + upper + digits):
+        for size in (20, 32, 40, 64):
+            keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(400)]
+            found = sum(bool(secrets.find_secrets(f"key {k} end")) for k in keys)
+            assert found >= 0.93 * len(keys), (letters, size, found)
+    assert secrets.find_secrets("see internationalization and INTERNATIONALIZATION or section_of_the_long_chapter") == []
+
+
 def test_near_dedup(docs, empty):
     got = near_dedup.near_duplicate_classes(docs, shingle=3, percent=85).collect()
     data = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]

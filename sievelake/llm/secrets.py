@@ -4,8 +4,9 @@ Base kinds (assign, access, hex) come from fixed patterns. The entropy kind slid
 string and keeps Shannon entropy per character class (hexadecimal of either case, letters of one case with digits,
 letters and digits, base64) by incremental counts: one character leaves and one enters, each changing the sum of
 c*log2(c) by a table look-up.
-Windows above their class's threshold are merged into spans; allow-listed candidates are passed over, and spans
-within a base span are not repeated. One pass over each text, no shuffle; memory is one Arrow batch.
+Windows above their class's threshold are merged into spans, and spans within a base span are not repeated. Filler
+words and runs of the alphabet are cut out of a candidate and what stands before and after them is scanned alone;
+candidates and pieces that are harmless as a whole are passed over. One pass over each text, no shuffle; memory is one Arrow batch.
 
 Defined results: null or empty text has no spans; positions are code points, end exclusive; repeated rows give
 repeated results; other columns are ignored; an empty table gives an empty result.
@@ -34,12 +35,14 @@ WINDOW = 20
 #: Bits a character that a window of WINDOW characters must exceed, by class; "onecase" needs a digit, so that words
 #: in letters alone stay "alnum".
 THRESHOLDS = {"hex": 3.0, "onecase": 3.4, "alnum": 3.7, "base64": 3.8}
-#: Candidates that look random but are known to be harmless: separators and fillers, UUIDs, runs of the alphabet,
-#: samples, dotted or slashed paths of words, and words without any digit or inner capital.
+#: Fillers, cut out wherever they stand; an alphabet or digits in order are cut as far as the order goes.
+FILLER = re.compile(r"EXAMPLE|example|SAMPLE|sample|placeholder|abcdefghij|ABCDEFGHIJ|0123456789")
+#: Candidates, or pieces of them, that look random but are known to be harmless as a whole: separators, UUIDs, the
+#: secret key of Amazon's manuals, dotted or slashed paths of words, and words without any digit or inner capital.
 ALLOWED = (
     re.compile(r"[-_=+/]+"),
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r".*(?:EXAMPLE|example|SAMPLE|sample|placeholder|abcdefghij|ABCDEFGHIJ|0123456789).*"),
+    re.compile(r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
     re.compile(r"[A-Za-z]?[a-z]*(?:[-_/+=]+[A-Za-z]?[a-z]*)*"),
     re.compile(r"[A-Z]*(?:[-_/+=]+[A-Z]*)*"),
     re.compile(r"[0-9]+(?:[-_/+=]+[0-9]+)*"),
@@ -89,6 +92,21 @@ def window_spans(s: str, window: int = WINDOW, thresholds: dict[str, float] | No
     return spans
 
 
+def pieces(word: str) -> Iterator[tuple[int, str]]:
+    """(start, piece) of the candidate before, between and after fillers, if a window fits in."""
+    at, m = 0, FILLER.search(word)
+    while m:
+        end = m.end()
+        if m[0][:2] in ("ab", "AB", "01"):
+            while end < len(word) and ord(word[end]) == ord(word[end - 1]) + 1:
+                end += 1
+        if m.start() - at >= WINDOW:
+            yield at, word[at : m.start()]
+        at, m = end, FILLER.search(word, end)
+    if len(word) - at >= WINDOW:
+        yield at, word[at:]
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end), sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGNED]
@@ -99,10 +117,13 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
         word = m.group()
         if any(p.fullmatch(word) for p in ALLOWED):
             continue
-        for a, b in window_spans(word):
-            a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y or a <= x and y <= b for x, _, y in base):
-                found.append((a, 3, b))
+        for at, piece in pieces(word):
+            if any(p.fullmatch(piece) for p in ALLOWED):
+                continue
+            for a, b in window_spans(piece):
+                a, b = a + at + m.start(), b + at + m.start()
+                if not any(x <= a and b <= y or a <= x and y <= b for x, _, y in base):
+                    found.append((a, 3, b))
     return sorted(found)
 
 

@@ -153,6 +153,17 @@ def test_secrets_recall_by_class():
     assert secrets.find_secrets("see internationalization and INTERNATIONALIZATION or section_of_the_long_chapter") == []
 
 
+def test_secrets_beside_allowed_words():
+    key = "q7Rk2LmX9vTzB4nWc8YpD1sHf6Jg"
+    for word in ("EXAMPLE", "example", "SAMPLE", "sample", "placeholder", "abcdefghij", "ABCDEFGHIJ", "0123456789", "resample_key", "SAMPLE_DB_PWD", "/example/hooks/T0A1B2"):
+        for sep in ("", "=", "/", "_", "-"):
+            for text in (f"x {word}{sep}{key} y", f"x {key}{sep}{word} y"):
+                at = text.index(key)
+                assert any(k == 3 and a <= at and at + len(key) <= b for a, k, b in secrets.find_secrets(text)), text
+    harmless = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sample_internationalization-configuration")
+    assert all(secrets.find_secrets(f"x {w} y") == [] for w in harmless)
+
+
 def test_near_dedup(docs, empty):
     got = near_dedup.near_duplicate_classes(docs, shingle=3, percent=85).collect()
     data = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]

@@ -4,10 +4,16 @@ Lines that begin with '>' marks are quoted, at the level of the number of marks;
 quote ("... wrote:") belongs to it. Passages are runs of lines of one level between blank lines. A passage's key is
 the SHA-256 of its text in lower case with single spaces, so it survives re-wrapping.
 
-Every message's own passages are indexed by key: their first message in the conversation, and the first anywhere. One
-row per key and conversation is all that joins see, so a passage common to many messages does not multiply. A quoted
-passage is linked to the first own occurrence in its conversation before the quoting message, else to the first
-anywhere else. A message replies to the message of its longest linked passage of the lowest level; one without links
+Every message's own passages are indexed by key: their first message in the conversation, and the first of the two
+least conversations anywhere, one of which is not the quoting one. One row per key and conversation is all that joins
+see, so a passage common to many messages does not multiply. A quoted passage is linked to the first own occurrence in
+its conversation before the quoting message, else to the first in another conversation.
+
+Lines and sentences are indexed besides, by 16 bytes of their own SHA-256. A quoted passage that is no whole passage of
+any message is linked by its longest part that is a line, sentence or passage of one: in its conversation if there is
+such a part, else elsewhere. Parts of less than LEAST_PART characters count only where they are all of the quote.
+
+A message replies to the message of its longest linked passage of the lowest level; one without links
 replies to the message before it.
 
 A conversation may hold a third of all rows, so positions are two-level ranks (runs of turns, then rows within), and
@@ -32,20 +38,27 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import Stored, pick
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
+_SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"'”’»)\]])\s+|(?<=[。！？])")
+LEAST_PART = 8
 _ATTRIBUTION = re.compile(r".{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
 
 
 def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
     """(own text without quotes, [(level, passage)]); own passages have level 0."""
+    own, passages = split_lines(text)
+    return own, [(level, " ".join(lines)) for level, lines in passages]
+
+
+def split_lines(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
+    """As split_quotes, each passage as its lines, white space made single."""
     own: list[str] = []
-    passages: list[tuple[int, str]] = []
+    passages: list[tuple[int, list[str]]] = []
     run: list[str] = []
     level = 0
 
     def end() -> None:
-        body = " ".join(" ".join(run).split())
-        if body:
-            passages.append((level, body))
+        if run:
+            passages.append((level, [" ".join(line.split()) for line in run]))
         run.clear()
 
     lines = text.split("\n")
@@ -70,8 +83,15 @@ def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
     return kept, passages
 
 
-def passage_key(passage: str) -> str:
-    return hashlib.sha256(" ".join(passage.lower().split()).encode()).hexdigest()
+def passage_key(passage: str) -> bytes:
+    return hashlib.sha256(" ".join(passage.lower().split()).encode()).digest()
+
+
+def part_keys(lines: list[str]) -> list[bytes]:
+    """Keys of the passage and of its lines and sentences, longest first."""
+    whole = " ".join(lines)
+    parts = [p for p in (*lines, *_SENTENCE_END.split(whole)) if len(p) >= LEAST_PART]
+    return [passage_key(p)[:16] for p in dict.fromkeys((whole, *sorted(parts, key=len, reverse=True)))]
 
 
 def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", run_turns: int = 256) -> DataFrame:
@@ -81,17 +101,17 @@ def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     kinds = {c: schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.string()), ("size", pa.int64())]))
+        part = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.binary()), ("size", pa.int64()), ("parts", pa.list_(pa.binary()))]))
         for batch in batches:
             own, found = [], []
             for t in batch.column(3):
-                text, passages = split_quotes(t.as_py() or "")
+                text, passages = split_lines(t.as_py() or "")
                 own.append(text)
-                found.append([{"level": lv, "key": passage_key(p), "size": len(p)} for lv, p in passages])
+                found.append([{"level": lv, "key": passage_key(p := " ".join(lines)), "size": len(p), "parts": part_keys(lines)} for lv, lines in passages])
             arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.string()), batch.column(4), pa.array(found, part)]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "text", "rid", "passages"])
 
-    parsed = rows.mapInArrow(parse, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, text string, rid bigint, passages array<struct<level: int, key: string, size: bigint>>")
+    parsed = rows.mapInArrow(parse, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, text string, rid bigint, passages array<struct<level: int, key: binary, size: bigint, parts: array<binary>>>")
     parsed = parsed.withColumn("run", F.coalesce(F.floor(F.col("turn") / run_turns), F.lit((1 << 62))))
     parsed = Stored(parsed, "messages").df
 
@@ -102,17 +122,24 @@ def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     placed = parsed.withColumn("inside", F.row_number().over(order) - 1).join(base, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
     placed = Stored(placed.withColumn("position", F.col("base") + F.col("inside")).select("rid", "conv_id", "turn", "role", "text", "position", "passages"), "placed").df
 
-    pieces = placed.select("rid", "conv_id", "position", F.explode("passages").alias("p")).select("rid", "conv_id", "position", "p.level", "p.key", "p.size")
-    quoted = pieces.where("level > 0")
+    # one row for each key of a passage: its own has rank 0, its parts follow from the longest on
+    passages = placed.select("rid", "conv_id", "position", F.posexplode("passages").alias("number", "p"))
+    pieces = passages.select("rid", "conv_id", "position", "number", "p.level", "p.size", F.posexplode(F.concat(F.array("p.key"), "p.parts")).alias("rank", "key"))
+    quoted = Stored(pieces.where("level > 0"), "quoted").df
     wanted = quoted.select("key").distinct()
-    own = pieces.where("level = 0").join(wanted, "key", "left_semi")
+    own = pieces.where("level = 0").select("conv_id", "position", "key").join(wanted, "key", "left_semi")
     here = Stored(own.groupBy("conv_id", "key").agg(F.min("position").alias("at")), "own-passages").df
-    anywhere = here.groupBy("key").agg(F.min(F.struct(F.col("conv_id").alias("conv"), F.col("at").alias("at"))).alias("first"))
+    # the two least conversations of a key; the window is cut to two rows before its shuffle
+    least = here.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("conv_id"))).where("n <= 2")
+    place = F.struct(F.col("conv_id").alias("conv"), F.col("at").alias("at"))
+    anywhere = least.groupBy("key").agg(F.max(F.when(F.col("n") == 1, place)).alias("first"), F.max(F.when(F.col("n") == 2, place)).alias("second"))
     local = here.select(F.col("conv_id").alias("c"), F.col("key").alias("k"), "at")
     links = quoted.join(local, quoted.conv_id.eqNullSafe(local.c) & (quoted.key == local.k) & (local.at < quoted.position), "left").join(anywhere, "key", "left")
-    other = F.when(~F.col("first.conv").eqNullSafe(F.col("conv_id")), F.col("first"))
+    other = F.when(~F.col("first.conv").eqNullSafe(F.col("conv_id")), F.col("first")).otherwise(F.col("second"))
     target = F.when(F.col("at").isNotNull(), F.struct(F.col("conv_id").alias("conv"), F.col("at").alias("at"))).otherwise(other)
-    links = links.select("rid", "level", "size", target.alias("to"))
+    links = links.select("rid", "number", "level", "size", (F.col("rank") > 0).alias("part"), F.col("at").isNull().alias("away"), "rank", target.alias("to"))
+    nearest = F.min(F.when(F.col("to").isNotNull(), F.struct("part", "away", "rank", "to"))).alias("nearest")
+    links = links.groupBy("rid", "number", "level", "size").agg(nearest).select("rid", "level", "size", "nearest.to")
     best = F.max(F.when(F.col("to").isNotNull(), F.struct((-F.col("level")).alias("level"), "size", F.col("to.conv").alias("conv"), F.col("to.at").alias("at"))))
     chosen = links.groupBy("rid").agg(best.alias("best"), F.count("*").alias("n_quotes"), F.count("to").alias("n_linked"))
     out = placed.join(chosen, "rid", "left")

@@ -240,3 +240,24 @@ def test_quotations(spark):
     assert (got[1, 2].text, got[1, 2].parent_position, got[1, 2].n_quotes, got[1, 2].n_linked) == ("Yes!", 0, 2, 1)
     assert (got[2, 0].text, got[2, 0].parent_conv, got[2, 0].parent_position) == ("ok", 1, 0)
     assert got[1, 1].parent_position == 0 and got[None, 0].text == ""
+
+
+def test_quotations_of_parts_and_repeats(spark):
+    long = "The first line of it\nruns on to here. A second sentence stands here.\nThe third is last."
+    rows = [
+        (2, 0, "a", "Shared original passage"),
+        (1, 0, "a", "Nothing yet"),
+        (1, 1, "b", "> Shared original passage\nSeen."),
+        (1, 2, "a", "Shared original passage"),
+        (3, 0, "a", long),
+        (3, 1, "b", "Between"),
+        (3, 2, "c", "> the first  line of it\nReply in the middle\n> The third is last."),
+        (3, 3, "d", "> A second\n> sentence stands here.\nYes"),
+        (4, 0, "a", "> A second sentence stands here. New words follow.\nNo"),
+        (4, 1, "b", "> never said anywhere\nNo"),
+    ]
+    got = {(r.conv_id, r.position): r for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    parent = {k: (r.parent_conv, r.parent_position, r.n_quotes, r.n_linked) for k, r in got.items()}
+    assert parent[1, 1] == (2, 0, 1, 1)
+    assert parent[3, 2] == (3, 0, 2, 2) and parent[3, 3] == (3, 0, 1, 1)
+    assert parent[4, 0] == (3, 0, 1, 1) and parent[4, 1] == (4, 0, 1, 0)

@@ -190,6 +190,19 @@ def test_html():
     assert html_blocks.main_text("") == ""
 
 
+def test_html_blocks_decide_over_elements():
+    body = "The house of the miller was on the hill and it was seen from all of the town, which is why they had not been there for long."
+    junk = " ".join(f"part{i}" for i in range(30))
+    notice = "<p>" + " ".join(f"<a href=/>offer{i} of the day</a>" for i in range(8)) + "</p>"
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p><a href=/{i}>More of it</a></p></article>" for i in range(3))
+    page = f"<body><div><h1>Title</h1><p>{body}</p><p>Short one.</p><p>{body}</p></div>{cards}</body>"
+    assert html_blocks.main_text(page) == f"Title {body} Short one. {body}"
+    assert html_blocks.main_text(page.replace(cards, "")) == f"Title {body} Short one. {body}"
+    page = f"<body><p>Top</p><article><p>{body}</p><p>{junk}</p>{notice}<p>Short one.</p><p>{body}</p></article><p>{junk}</p><p>Bottom</p></body>"
+    assert html_blocks.main_text(page) == f"{body} Short one. {body}"
+    assert html_blocks.main_text(f"<article><p>{junk}</p></article>") == junk
+
+
 def test_mixing(docs, empty):
     got = mixing.mix_sources(docs).collect()
     data = docs.collect()

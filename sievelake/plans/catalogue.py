@@ -463,3 +463,9 @@ SELECT query_doc_id, ref_doc_id, round(avg(m), 6) AS score FROM d GROUP BY ALL""
 def token_bag_maxsim(spark, sf_dir):
     bags = _read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "vec_id", F.col("embedding").alias("v"))
     return R.mean_max_similarity(R.shortlist(_retrieval(spark, sf_dir)), bags).withColumn("score", _r("score"))
+
+
+@query("SELECT lang, source, max(n_chars) AS n_chars FROM documents GROUP BY ALL")
+def metrics_pivot_long(spark, sf_dir):
+    """Every source that occurs; metrics_pivot has the three its SQL names."""
+    return _read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.max("n_chars").alias("n_chars"))

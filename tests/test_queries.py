@@ -41,3 +41,6 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == expected
 
 
+def test_pivot_has_every_source(spark, duck):
+    got = {r.source for r in catalogue.QUERIES["metrics_pivot_long"](spark, SF).collect()}
+    assert got == {s for (s,) in duck.execute("SELECT DISTINCT source FROM documents").fetchall()} and len(got) > 3

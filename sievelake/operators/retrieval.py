@@ -12,16 +12,19 @@ from sievelake.functions.text import dot, safe_div
 BROADCAST_VECTORS = 100_000
 
 
-def top_k(queries: DataFrame, refs: DataFrame, k: int = 5, blocks: int = 32) -> DataFrame:
+def top_k(queries: DataFrame, refs: DataFrame, k: int = 5, blocks: int = 32, but_self: bool = False) -> DataFrame:
     """Exact inner-product top-k. queries: query_id, query_doc_id, qv; refs: ref_id, ref_doc_id, rv.
 
+    ``but_self`` leaves out the reference whose id is the query's.
+
     A stated set of queries against all references: references are dealt into blocks, each query is sent to every
     block, and a block passes on its own best k before the last ranking, so at most blocks * k rows a query move.
     Each side is dealt by a hash; neither is broadcast unless its size is checked by the planner.
     """
     q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     r = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"))
-    scored = q.join(r, "block").withColumn("score", dot(F.col("qv"), F.col("rv"))).select("query_id", "query_doc_id", "ref_id", "ref_doc_id", "block", "score")
+    on = (q["block"] == r["block"]) & (F.col("query_id") != F.col("ref_id")) if but_self else q["block"] == r["block"]
+    scored = q.join(r, on).drop(r["block"]).withColumn("score", dot(F.col("qv"), F.col("rv"))).select("query_id", "query_doc_id", "ref_id", "ref_doc_id", "block", "score")
     order = [F.col("score").desc(), F.col("ref_id")]
     local = scored.withColumn("r", F.row_number().over(W.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
     ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))

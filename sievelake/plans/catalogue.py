@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,17 +130,18 @@ _RETRIEVAL = """r AS (SELECT q.vec_id AS query_id, q.vec_id // 5 AS query_doc_id
 ret AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS rank FROM r QUALIFY rank <= 5)"""
 
 
-def _retrieval(spark, sf_dir):
+def _retrieval(spark, sf_dir, every=False):
+    """``every``: all rows are references, for each query but itself."""
     e = _read(spark, sf_dir, "embeddings")
     doc = F.expr("vec_id div 5")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), doc.alias("query_doc_id"), F.col("embedding").alias("qv"))
-    r = e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("ref_id"), doc.alias("ref_doc_id"), F.col("embedding").alias("rv"))
-    return R.top_k(q, r, 5)
+    r = (e if every else e.where("vec_id % 50 <> 0")).select(F.col("vec_id").alias("ref_id"), doc.alias("ref_doc_id"), F.col("embedding").alias("rv"))
+    return R.top_k(q, r, 5, but_self=every)
 
 
 @query(f"WITH {_RETRIEVAL} SELECT query_id, query_doc_id, ref_id, ref_doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ret")
-def topk_retrieval(spark, sf_dir):
-    return _retrieval(spark, sf_dir).withColumn("score", _r("score"))
+def topk_retrieval(spark, sf_dir, every=False):
+    return _retrieval(spark, sf_dir, every).withColumn("score", _r("score"))
 
 
 def _vote_sql(value: str, confidence: str) -> str:
@@ -152,24 +154,24 @@ def _vote_sql(value: str, confidence: str) -> str:
       round(var_pop(p), 6) AS vote_variance, round(1 - sum(p * p), 6) AS vote_gini FROM p GROUP BY query_doc_id"""
 
 
-def _votes(spark, sf_dir, how):
-    v = R.votes(_retrieval(spark, sf_dir), how)
+def _votes(spark, sf_dir, how, every=False):
+    v = R.votes(_retrieval(spark, sf_dir, every), how)
     return v.select("query_doc_id", "pred_doc_id", "n_votes", "best_votes", *[_r(c).alias(c) for c in ("confidence", "vote_entropy", "vote_variance", "vote_gini")])
 
 
 @query(_vote_sql("count(*)::DOUBLE", "max(v) FILTER (WHERE rn = 1) / max(total)"))
-def vote_count(spark, sf_dir):
-    return _votes(spark, sf_dir, "count")
+def vote_count(spark, sf_dir, every=False):
+    return _votes(spark, sf_dir, "count", every)
 
 
 @query(_vote_sql("sum(score)", "CASE WHEN max(total) > 0 THEN max(v) FILTER (WHERE rn = 1) / max(total) ELSE 0 END"))
-def vote_score_weight(spark, sf_dir):
-    return _votes(spark, sf_dir, "weight")
+def vote_score_weight(spark, sf_dir, every=False):
+    return _votes(spark, sf_dir, "weight", every)
 
 
 @query(_vote_sql("max(score)", "max(v) FILTER (WHERE rn = 1)"))
-def vote_maxsim(spark, sf_dir):
-    return _votes(spark, sf_dir, "maxsim")
+def vote_maxsim(spark, sf_dir, every=False):
+    return _votes(spark, sf_dir, "maxsim", every)
 
 
 _POOL = """e AS (SELECT vec_id // 5 AS doc, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -246,45 +248,45 @@ ev AS (SELECT q.doc AS query_doc_id, q.family % 2 = 0 AS is_positive, CASE WHEN
   FROM fam q LEFT JOIN v ON v.query_doc_id = q.doc LEFT JOIN fam p ON p.doc = v.pred_doc_id WHERE q.doc IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 25 = 0))"""
 
 
-def _eval(spark, sf_dir):
+def _eval(spark, sf_dir, every=False):
     """Queries are documents with a vector whose id is divisible by 25; every other one of them has no vote."""
     e = _read(spark, sf_dir, "embeddings").withColumn("doc", F.expr("vec_id div 5"))
     families = e.groupBy("doc").agg(F.min("label").alias("family"))
     asked = families.join(e.where("vec_id % 25 = 0").select("doc").distinct(), "doc", "left_semi")
     positive = F.col("family") % 2 == 0
     manifest = asked.select(F.col("doc").alias("query_doc_id"), positive.alias("is_positive"), F.when(positive, F.col("family")).alias("target_family"))
-    return E.evaluate(manifest, R.votes(_retrieval(spark, sf_dir)), families, 0.4)
+    return E.evaluate(manifest, R.votes(_retrieval(spark, sf_dir, every)), families, 0.4)
 
 
 @query(f"WITH {_EVAL} SELECT query_doc_id, is_positive, target_family, pred_doc_id, pred_family, round(confidence, 6) AS confidence, pred_detected FROM ev")
-def apply_threshold(spark, sf_dir):
-    return _eval(spark, sf_dir).withColumn("confidence", _r("confidence"))
+def apply_threshold(spark, sf_dir, every=False):
+    return _eval(spark, sf_dir, every).withColumn("confidence", _r("confidence"))
 
 
 @query(f"""WITH {_EVAL}, c AS (SELECT count(*) FILTER (WHERE is_positive) AS n_positive, count(*) FILTER (WHERE is_positive AND pred_detected) AS n_detected,
 count(*) FILTER (WHERE is_positive AND pred_detected AND pred_family = target_family) AS n_correct FROM ev)
 SELECT *, round(coalesce(n_correct / nullif(n_positive, 0), 0), 6) AS rate_all, round(coalesce(n_correct / nullif(n_detected, 0), 0), 6) AS rate_detected FROM c""")
-def attribution_metrics(spark, sf_dir):
-    return E.attribution(_eval(spark, sf_dir)).withColumn("rate_all", _r("rate_all")).withColumn("rate_detected", _r("rate_detected"))
+def attribution_metrics(spark, sf_dir, every=False):
+    return E.attribution(_eval(spark, sf_dir, every)).withColumn("rate_all", _r("rate_all")).withColumn("rate_detected", _r("rate_detected"))
 
 
 @query(f"""WITH {_EVAL}, p AS (SELECT target_family AS family_id, count(*) AS n, count(*) FILTER (WHERE pred_detected) AS d, count(*) FILTER (WHERE pred_detected AND pred_family = target_family) AS a FROM ev WHERE is_positive GROUP BY 1),
 f AS (SELECT pred_family AS family_id, count(*) AS x FROM ev WHERE NOT is_positive AND pred_detected GROUP BY 1)
 SELECT family_id, coalesce(n, 0) AS n_positive_total, coalesce(d, 0) AS n_positive_detected, coalesce(a, 0) AS n_attribution_correct, coalesce(x, 0) AS n_false_attraction,
 round(coalesce(d / nullif(n, 0), 0), 6) AS detection_rate, round(coalesce(a / nullif(d, 0), 0), 6) AS attribution_rate FROM p FULL JOIN f USING (family_id)""")
-def errors_by_family(spark, sf_dir):
-    return E.errors_by_family(_eval(spark, sf_dir)).withColumn("detection_rate", _r("detection_rate")).withColumn("attribution_rate", _r("attribution_rate"))
+def errors_by_family(spark, sf_dir, every=False):
+    return E.errors_by_family(_eval(spark, sf_dir, every)).withColumn("detection_rate", _r("detection_rate")).withColumn("attribution_rate", _r("attribution_rate"))
 
 
 @query(f"WITH {_EVAL} SELECT query_doc_id, pred_doc_id, pred_family, round(confidence, 6) AS confidence FROM ev WHERE NOT is_positive AND pred_detected")
-def false_positive_pairs(spark, sf_dir):
-    return E.false_positives(_eval(spark, sf_dir)).withColumn("confidence", _r("confidence"))
+def false_positive_pairs(spark, sf_dir, every=False):
+    return E.false_positives(_eval(spark, sf_dir, every)).withColumn("confidence", _r("confidence"))
 
 
 @query(f"""WITH {_EVAL}, t AS (SELECT CASE WHEN is_positive THEN 'positive' ELSE 'negative' END AS actual, pred_detected FROM ev UNION ALL SELECT 'total', pred_detected FROM ev)
 SELECT actual, count(*) FILTER (WHERE pred_detected) AS detected, count(*) FILTER (WHERE NOT pred_detected) AS passed, count(*) AS total FROM t GROUP BY actual""")
-def confusion_matrix(spark, sf_dir):
-    return E.confusion_matrix(_eval(spark, sf_dir))
+def confusion_matrix(spark, sf_dir, every=False):
+    return E.confusion_matrix(_eval(spark, sf_dir, every))
 
 
 @query(f"WITH {_SPLIT}, part AS (SELECT family_id FROM docs WHERE dataset = 'src0') SELECT DISTINCT family_id FROM docs WHERE family_id NOT IN (SELECT family_id FROM part)")
@@ -449,23 +451,31 @@ def hashed_word_embedding(spark, sf_dir):
 sc AS (SELECT q.doc AS query_doc_id, r.doc AS ref_doc_id, sum(q.x * r.x) AS score FROM u q JOIN u r ON q.pos = r.pos AND q.doc % 50 = 0 AND r.doc % 50 <> 0 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_doc_id ORDER BY score DESC, ref_doc_id) AS rn, count(*) OVER (PARTITION BY query_doc_id) AS n FROM sc)
 SELECT query_doc_id, ref_doc_id AS pred_doc_id, least(n, 50)::BIGINT AS n_votes, round(score, 6) AS confidence FROM k WHERE rn = 1""")
-def embedding_pooled_votes(spark, sf_dir):
+def embedding_pooled_votes(spark, sf_dir, every=False):
     p = R.mean_pool(_read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "embedding"), "doc", "embedding")
     q = p.where("doc % 50 = 0").select(F.col("doc").alias("query_id"), F.col("doc").alias("query_doc_id"), F.col("vector").alias("qv"))
-    r = p.where("doc % 50 <> 0").select(F.col("doc").alias("ref_id"), F.col("doc").alias("ref_doc_id"), F.col("vector").alias("rv"))
-    return R.votes(R.top_k(q, r, 50), "maxsim").select("query_doc_id", "pred_doc_id", "n_votes", _r("confidence").alias("confidence"))
+    r = (p if every else p.where("doc % 50 <> 0")).select(F.col("doc").alias("ref_id"), F.col("doc").alias("ref_doc_id"), F.col("vector").alias("rv"))
+    return R.votes(R.top_k(q, r, 50, but_self=every), "maxsim").select("query_doc_id", "pred_doc_id", "n_votes", _r("confidence").alias("confidence"))
 
 
 @query(f"""WITH {_RETRIEVAL}, c AS (SELECT query_doc_id, ref_doc_id, count(*) AS hits FROM ret GROUP BY ALL),
 s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_doc_id ORDER BY hits DESC, ref_doc_id) <= 32),
 d AS (SELECT query_doc_id, ref_doc_id, q.vec_id, max(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[])) AS m FROM s JOIN embeddings q ON q.vec_id // 5 = query_doc_id JOIN embeddings r ON r.vec_id // 5 = ref_doc_id GROUP BY ALL)
 SELECT query_doc_id, ref_doc_id, round(avg(m), 6) AS score FROM d GROUP BY ALL""")
-def token_bag_maxsim(spark, sf_dir):
+def token_bag_maxsim(spark, sf_dir, every=False):
     bags = _read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "vec_id", F.col("embedding").alias("v"))
-    return R.mean_max_similarity(R.shortlist(_retrieval(spark, sf_dir)), bags).withColumn("score", _r("score"))
+    return R.mean_max_similarity(R.shortlist(_retrieval(spark, sf_dir, every)), bags).withColumn("score", _r("score"))
 
 
 @query("SELECT lang, source, max(n_chars) AS n_chars FROM documents GROUP BY ALL")
 def metrics_pivot_long(spark, sf_dir):
     """Every source that occurs; metrics_pivot has the three its SQL names."""
     return _read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.max("n_chars").alias("n_chars"))
+
+
+# The searches over all rows, leaving out only the query itself; those above leave out every row that is a query.
+for _name, _sql in list(ORACLES.items()):
+    _every = _sql.replace("e.vec_id % 50 <> 0", "e.vec_id <> q.vec_id").replace("r.doc % 50 <> 0", "r.doc <> q.doc")
+    if _every != _sql:
+        QUERIES[f"{_name}_all"] = partial(QUERIES[_name], every=True)
+        ORACLES[f"{_name}_all"] = _every

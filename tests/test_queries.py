@@ -44,3 +44,11 @@ def test_query_matches_sql(spark, duck, name):
 def test_pivot_has_every_source(spark, duck):
     got = {r.source for r in catalogue.QUERIES["metrics_pivot_long"](spark, SF).collect()}
     assert got == {s for (s,) in duck.execute("SELECT DISTINCT source FROM documents").fetchall()} and len(got) > 3
+
+
+def test_searches_reach_every_row(spark, tmp_path):
+    near = {0: [1.0, 0.0], 50: [1.0, 0.0], 100: [0.0, 1.0]}
+    rows = [(i, near.get(i, [-1.0, -0.001 * i]), i % 3) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.query_id: r.ref_id for r in catalogue.QUERIES["topk_retrieval_all"](spark, str(tmp_path)).where("rank = 1").collect()}
+    assert got[0] == 50 and got[50] == 0

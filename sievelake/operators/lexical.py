@@ -41,8 +41,10 @@ def minhash_signatures(df: DataFrame, slots: int = 16, k: int = 5) -> DataFrame:
     return per.groupBy("id", "slot").agg(F.min("h").alias("h"))
 
 
-def band_candidates(sigs: DataFrame, refs: DataFrame, rows: int = 2) -> DataFrame:
-    """(query_id, ref_id) that share a band of ``rows`` slots."""
+def band_candidates(sigs: DataFrame, refs: DataFrame, rows: int = 2, bands: int | None = None) -> DataFrame:
+    """(query_id, ref_id) that share a band of ``rows`` slots, of the first ``bands`` bands."""
+    if bands is not None:
+        sigs, refs = sigs.where(F.col("slot") < rows * bands), refs.where(F.col("slot") < rows * bands)
     band = lambda d, name: d.groupBy("id", F.expr(f"slot div {rows}").alias("band")).agg(F.concat_ws("-", F.transform(F.sort_array(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"].cast("string"))).alias("key")).withColumnRenamed("id", name)
     return band(sigs, "query_id").join(band(refs, "ref_id"), ["band", "key"]).select("query_id", "ref_id").distinct()
 

@@ -479,3 +479,34 @@ for _name, _sql in list(ORACLES.items()):
     if _every != _sql:
         QUERIES[f"{_name}_all"] = partial(QUERIES[_name], every=True)
         ORACLES[f"{_name}_all"] = _every
+
+
+# MinHash at the reference's size: 128 slots, and for its threshold of 0.2 28 bands of 2.
+_SLOTS, _LSH_BANDS = 128, 28
+
+
+def _sign_128(spark, sf_dir, name, key):
+    return L.minhash_signatures(_read(spark, sf_dir, name).select(F.col(key).alias("id"), "text"), _SLOTS)
+
+
+def _sql_128(name: str) -> str:
+    bands = f"FROM sg WHERE slot < {2 * _LSH_BANDS} GROUP BY ALL)"
+    return ORACLES[name].replace("range(1, 17) t(i)", f"range(1, {_SLOTS + 1}) t(i)").replace("FROM sg GROUP BY ALL)", bands).replace("count(*) / 16", f"count(*) / {_SLOTS}")
+
+
+@query(_sql_128("minhash_signature"))
+def minhash_signature_128(spark, sf_dir):
+    return _sign_128(spark, sf_dir, "documents", "doc_id")
+
+
+@query(_sql_128("lsh_candidates"))
+def lsh_candidates_128(spark, sf_dir):
+    return L.band_candidates(_sign_128(spark, sf_dir, "documents", "doc_id"), _sign_128(spark, sf_dir, "benchmark", "item_id"), bands=_LSH_BANDS)
+
+
+@query(_sql_128("minhash_votes"))
+def minhash_votes_128(spark, sf_dir):
+    q, r = _sign_128(spark, sf_dir, "documents", "doc_id"), _sign_128(spark, sf_dir, "benchmark", "item_id")
+    scored = L.equal_slots(L.band_candidates(q, r, bands=_LSH_BANDS), q, r, _SLOTS).withColumn("family", F.expr("ref_id div 4"))
+    v = L.family_votes(scored, _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id")))
+    return v.withColumns({c: _r(c) for c in ("confidence", "vote_entropy", "vote_variance", "vote_gini")})

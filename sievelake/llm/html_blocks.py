@@ -43,6 +43,9 @@ DROPPED_WORDS = frozenset(
     "recommended related replies reply respond responses search share sharing sidebar sidenav signup site-footer site-header skip skip-link social sponsor sponsored "
     "subscribe subscription tags teaser toc toolbar topbar trending warning widget widgets discussion topnav sub-nav side rail infobar flash bottom-bar top-bar".split()
 )
+#: Names that say nothing as a part of a compound name.
+WEAK_PARTS = frozenset("hidden message meta form side legal flash warning alert note feedback reply replies respond responses reactions discussion tags rail login dropdown overlay privacy search skip".split())
+DROPPED_PARTS = DROPPED_WORDS - WEAK_PARTS
 CONTENT_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STOP_WORDS = frozenset(
@@ -55,27 +58,98 @@ EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’…–—¿¡#$%&*+-/=@\\^_`|~"
 #: Words from which a block is long enough to be decided alone; densities of stop words and of words in links.
 LONG_WORDS, SHORT_WORDS, STOP_HIGH, STOP_LOW, LINK_HIGH = 25, 8, 0.15, 0.05, 0.35
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.DOTALL)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR_NAME = re.compile(r"[\s/]*([^\s/>=]*)\s*(=?)\s*")
+_BARE = re.compile(r"[^\s>]*")
+_PARTS = re.compile(r"[-_]+")
+_KEPT_ATTRS = frozenset("class id role hidden aria-hidden style".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for t in RAW_TAGS}
 _CLOSES_P = BLOCK_TAGS - {"br"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCE = frozenset("ul ol dl table div section article main body aside nav header footer form blockquote figure".split())
 
 
-def _is_dropped(tag: str, attrs: str) -> bool:
+class Scanner:
+    """Tags of a page from left to right, each character looked at a bounded number of times.
+
+    Attributes are read by name; quotes count only after an equals sign, and one that nothing closes ends at the next
+    ``>``. What isn't there beyond some position (a quote, a ``>``) is remembered, not searched for again.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.absent = html, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, dict[str, str], bool] | None:
+        """(start, end, name, is an end tag, attributes that matter, closes itself); the name is empty for comments and the like."""
+        html = self.html
+        while (start := self.find("<", at)) >= 0:
+            head = html[start + 1 : start + 2]
+            if html.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", False, {}, False
+            closing = head == "/"
+            name = _NAME.match(html, start + 1 + closing)
+            if name:
+                attrs, end, itself = self.attributes(name.end())
+                return start, end, name[0].lower(), closing, attrs, itself
+            if head in ("!", "?", "/") and head and (end := self.find(">", start)) >= 0:
+                return start, end + 1, "", False, {}, False
+            at = start + 1
+        return None
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        html, attrs = self.html, {}
+        while at < len(html):
+            m = _ATTR_NAME.match(html, at)
+            name, value = m[1].lower(), ""
+            at = m.end()
+            if m[2]:
+                quote = html[at : at + 1]
+                if quote in ('"', "'") and quote:
+                    end = self.find(quote, at + 1)
+                    if end < 0:
+                        end = self.find(">", at)
+                        end = len(html) if end < 0 else end
+                        value, at = html[at + 1 : end], end
+                    else:
+                        value, at = html[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            if name in _KEPT_ATTRS and name not in attrs:
+                attrs[name] = unescape(value).lower()
+            if html[at : at + 1] == ">":
+                return attrs, at + 1, html[at - 1] == "/"
+        return attrs, len(html), False
+
+
+def _is_dropped(tag: str, attrs: dict[str, str]) -> bool:
+    """By tag, role, hiding attributes, whole class or id names, and the first or last part of compound names.
+
+    Parts such as ``hidden`` or ``message`` say nothing about a compound name (``overflow-hidden``, ``message-body``).
+    """
     if tag in DROPPED_TAGS:
         return True
-    for name, value in _ATTR.findall(attrs) if attrs else ():
-        name, value = name.lower(), unescape(value.strip("\"'")).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
+        return True
+    if attrs.get("role") in DROPPED_ROLES:
+        return True
+    if tag in ("body", "html"):
+        return False
+    for word in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        if word in DROPPED_WORDS:
             return True
-        if name == "role" and value in DROPPED_ROLES:
+        parts = _PARTS.split(word)
+        if tag not in CONTENT_TAGS and len(parts) > 1 and not DROPPED_PARTS.isdisjoint((parts[0], parts[-1])):
             return True
-        if name in ("class", "id") and tag not in ("body", "html"):
-            for word in value.split():
-                if word in DROPPED_WORDS or any(part in DROPPED_WORDS for part in re.split(r"[-_]+", word)) and tag not in CONTENT_TAGS:
-                    return True
     return False
 
 
@@ -94,69 +168,73 @@ def blocks_of(html: str) -> list[Block]:
     """Blocks in page order, white space made single; blank ones left out."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, dropped, number of the content element or 0
+    places: dict[str, list[int]] = {}  # of open tags in the stack
+    fences: list[int] = []
+    blocks: list[int] = []  # open block tags, for the tag that a block stands in
     parts: list[str] = []
     linked_parts: list[str] = []
-    links = contents = at = 0
+    contents = at = 0
+    scanner = Scanner(html)
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
             linked = len(unescape(" ".join(linked_parts)).split())
-            tag = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "")
-            out.append(Block(text, linked, tag, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0))
+            out.append(Block(text, linked, stack[blocks[-1]][0] if blocks else "", bool(stack) and stack[-1][1], stack[-1][2] if stack else 0))
         parts.clear()
         linked_parts.clear()
 
+    def last(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def pop_to(index: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[index:])
-        del stack[index:]
-
-    def find(tags: tuple[str, ...]) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in _FENCE and stack[i][0] not in tags:
-                return -1
-        return -1
+        while len(stack) > index:
+            places[stack.pop()[0]].pop()
+        for held in (fences, blocks):
+            while held and held[-1] >= index:
+                held.pop()
+
+    def close(tags: tuple[str, ...]) -> None:
+        """Ends the innermost open element of these tags, if no fence is between."""
+        i = last(tags)
+        if i >= 0 and i > (fences[-1] if fences else -1):
+            pop_to(i)
 
     def say(text: str) -> None:
         parts.append(text)
-        if links:
+        if places.get("a"):
             linked_parts.append(text)
 
     while at < len(html):
-        m = _TOKEN.search(html, at)
-        say(html[at : m.start()] if m else html[at:])
-        if not m:
+        found = scanner.next(at)
+        say(html[at : found[0]] if found else html[at:])
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        _, at, tag, closing, attrs, itself = found
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+            if tag in _FENCE or tag in BLOCK_TAGS or tag == "a":
+                if (i := last((tag,))) >= 0:
                     pop_to(i)
-                    break
-                if stack[i][0] in _FENCE and tag not in _FENCE and tag not in BLOCK_TAGS and tag != "a":
-                    break
+            else:
+                close((tag,))
             continue
         if tag in RAW_TAGS:
             if tag == "title":
                 flush()
-            end = _RAW_END[tag].search(html, at)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math", "object", "canvas", "iframe"):
+            if not itself or tag not in ("svg", "math", "object", "canvas", "iframe"):
+                end = _RAW_END[tag].search(html, at)
                 at = end.end() if end else len(html)
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if tag in _CLOSES_P and (i := find(("p", *HEADINGS) if tag in HEADINGS else ("p",))) >= 0:
-                pop_to(i)
-        if tag in _SAME and (i := find(_SAME[tag])) >= 0:
-            pop_to(i)
+            if tag in _CLOSES_P:
+                close(("p", *HEADINGS) if tag in HEADINGS else ("p",))
+        if tag in _SAME:
+            close(_SAME[tag])
         if tag in VOID_TAGS:
             continue
         dropped, content = stack[-1][1:] if stack else (False, 0)
@@ -167,14 +245,27 @@ def blocks_of(html: str) -> list[Block]:
         if tag == "body" or tag == "html":
             dropped = False
         elif not header_of_article:
-            dropped = dropped or _is_dropped(tag, m[3])
-        if tag == "a":
-            links += 1
+            dropped = dropped or _is_dropped(tag, attrs)
+        for held, yes in ((fences, tag in _FENCE), (blocks, tag in BLOCK_TAGS)):
+            if yes:
+                held.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, dropped, content))
     flush()
     return out
 
 
+def _nearest(blocks: list[Block], first: list[str], order: range) -> list[int]:
+    """For each block the nearest decided one before it in ``order``, of the same container, or -1."""
+    out, seen = [-1] * len(blocks), {}
+    for i in order:
+        b = blocks[i]
+        out[i] = seen.get(b.content, -1)
+        if first[i] and not (b.content and b.dropped):
+            seen[b.content] = i
+    return out
+
+
 def label_blocks(blocks: list[Block]) -> None:
     """Pass one decides what figures alone can decide; pass two lets open blocks inherit."""
     free = [b for b in blocks if not b.dropped]
@@ -186,21 +277,17 @@ def label_blocks(blocks: list[Block]) -> None:
         elif links > LINK_HIGH and b.tag not in HEADINGS:
             b.label = "bad"
         elif b.words >= LONG_WORDS:
-            b.label = "good" if stops >= STOP_HIGH else "bad" if known and stops < STOP_LOW else ""
+            b.label = "good" if stops >= STOP_HIGH or not known else "bad" if stops < STOP_LOW else ""
         elif b.words >= SHORT_WORDS and stops >= STOP_HIGH:
             b.label = "good"
     first = [b.label for b in blocks]
     has_content = any(b.content for b in free)
     main = has_content and sum(b.words if b.content else -b.words for b in free if b.label == "good") >= 0
+    sides = (_nearest(blocks, first, range(len(blocks))), _nearest(blocks, first, range(len(blocks) - 1, -1, -1)))
     for i, b in enumerate(blocks):
         if b.label:
             continue
-        near: list[tuple[int, str]] = []
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(blocks) and not (first[j] and blocks[j].content == b.content and not (b.content and blocks[j].dropped)):
-                j += step
-            near.append((abs(j - i), first[j]) if 0 <= j < len(blocks) else (len(blocks) + 1, ""))
+        near = [(abs(side[i] - i), first[side[i]]) if side[i] >= 0 else (len(blocks) + 1, "") for side in sides]
         (left_d, left), (right_d, right) = near
         lean = "good" if main == bool(b.content) else "bad"
         if left == right:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.sources.shared import Stored
 
-__all__ = ["WORD_SPLIT", "Stored", "col", "pick", "table"]
+__all__ = ["WORD_SPLIT", "Stored", "col", "pick", "settled", "table"]
 
 #: Fixed value of the task contract: a word is a run of anything but ASCII white space.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -25,3 +25,20 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Plan nodes under which every read of a file gives the same rows to the same task.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "SubqueryAlias", "DataSourceV2ScanRelation"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a plain scan, else its rows written once: operators that read their input twice need the same rows in the same tasks."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    steady = df._jdf.queryExecution().analyzed().deterministic() and plan.deterministic()
+    while steady:
+        steady = plan.nodeName().split(" ")[0] in _STEADY
+        children = plan.children()
+        if children.size() == 0:
+            break
+        plan, steady = children.apply(0), steady and children.size() == 1
+    return df if steady else Stored(df, "settled").df

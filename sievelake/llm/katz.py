@@ -1,24 +1,32 @@
 """Katz back-off language model over words, counted, stored and evaluated in partitions.
 
-P(w | h) = d(c) c(h w) / c(h) for n-grams kept in the model, else alpha(h) P(w | h'), with h' the shorter history. As
-Katz proposed, n-grams above order 1 that were seen once are left to back-off; the others are discounted by
-Good-Turing up to count ``GT_MOST``, and alpha makes each history's probabilities add up to one exactly. Order 1 is
-(c + 1) / (N + V + 1): the vocabulary and one unknown word.
-
-How it runs. A chunk is a run of documents in one scan task. Its distinct n-grams are hashed to as many parts as
-there are chunks or shuffle partitions, one compressed block per chunk and part, so that what crosses the network is
-each distinct n-gram of a chunk once, however often it occurs. Hashing whole n-grams (not histories) spreads the
-successors of a frequent word over all parts.
-  1. Parts add up training counts; tables of counts are written by order, and counts of counts go to the driver
-     (GT_MOST + 1 numbers for each order).
-  2. Probabilities and back-off weights are joins and grouped sums over these tables.
-  3. Chunks send their n-grams again, parts answer with counts, probabilities and weights of those they hold.
-  4. Each chunk's answers meet its token ids, and every token is evaluated from the shortest history upwards, which
-     is the recursion unrolled.
+P(w | h) = d(c) c(h w) / c(h) for n-grams seen in training, else alpha(h) P(w | h'), with h' the shorter history. Orders
+1 to 3, no n-gram is left out; d is Good-Turing's discount up to count ``GT_MOST`` and alpha makes each history's
+probabilities add up to one. Order 1 gives its discounted mass to one unknown word. Where the discounts leave a
+history nothing, half a count is set aside (``left_over``), so every alpha is positive and what it divides by is too:
+order 1 keeps mass for the unknown word, order 2 for unseen successors, and neither is ever part of the sum taken off.
+
+How it runs. A chunk is a run of documents in one scan task.
+  1. Chunks send their distinct words with counts to parts dealt by a hash; a part numbers its words, the frequent
+     ones lowest, and answers each chunk with numbers and training counts. From here on words are integers.
+  2. Chunks send every token with its two predecessors to the part of its *middle* word w2. All trigrams over w2 and
+     all bigrams from w2 meet there, so counts, discounts, back-off weights and probabilities of both orders need no
+     further join. Parts write what they hold once, as counts and the documents of each trigram, without words.
+  3. Counts of counts go to the driver (GT_MOST + 1 numbers for each order), then parts turn counts into
+     probabilities and add them up by document; a document's sums are added over parts.
+
+Frequent words. A word with more than ``hot`` occurrences is never gathered in one part. As a middle word its tokens
+are dealt by w1 as well; where w1 is hot too, by w3, and where all three are, by chunk. So no part gets more than
+``hot`` tokens for one key. What such parts count is partial: it is added up by plain grouped sums (partial
+aggregation, no group in one row), probabilities are computed there, and joined back to the parts that asked.
+
+Blocks number min(chunks x parts, tokens) and carry a few bytes a token, so the data moved stays in proportion.
+Lost executors cost a recomputation from the files or from the tables in the shared folder.
 
 Defined results: null text counts as empty and has the end token only; rows with a null training flag are held out;
 repeated rows count as often as they come; an empty table gives an empty result; without training rows every token is
-unknown, of probability one; other columns are ignored.
+unknown, of probability one; other columns are ignored. Inputs that are not plain scans are written once first, as
+chunks are read twice.
 """
 
 from __future__ import annotations
@@ -30,50 +38,84 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Stored, pick
+from sievelake.llm.common import Stored, pick, settled
 
-ORDER, GT_MOST, CHUNK_BYTES = 2, 5, 6 << 20
+GT_MOST, CHUNK_BYTES, HOT_TOKENS = 5, 6 << 20, 4 << 20
 #: Tokens that no word can equal, as words hold no white space.
 START, END = "\x0b", "\t"
-#: n-grams are dealt to parts by a polynomial in their words' CRC-32, modulo a prime.
-HASH_STEP, HASH_PRIME = 31, 2147483647
+#: Sums of log probabilities travel as integers of this scale, so that they add up alike in any order.
+SCALE = 1 << 24
+CLOSED, HALF_OPEN, OPEN, HEAD, COUNTS, BIGRAMS, TRIGRAMS = range(7)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Non-negative integers as byte planes, compressed; see unpack."""
+    import zstandard
+
+    head, body = [len(arrays)], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<i8")
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        head += [len(a), width]
+        body.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(body))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    count = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 2 * count, 8).tolist()
+    at, out = 8 + 16 * count, []
+    for n, width in zip(head[::2], head[1::2]):
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(a.reshape(-1).view("<i8") if n else np.zeros(0, np.int64))
+        at += n * width
+    return out
+
+
+def dense(*columns: np.ndarray) -> np.ndarray:
+    """One integer per row that orders rows by the columns, first column first."""
+    out, size = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns:
+        distinct, code = np.unique(c, return_inverse=True)
+        if size * max(1, len(distinct)) >= 1 << 62:
+            known, out = np.unique(out, return_inverse=True)
+            size = len(known)
+        out = out * max(1, len(distinct)) + code
+        size *= max(1, len(distinct))
+    return out
+
+
+def mix(*columns: np.ndarray) -> np.ndarray:
+    """64-bit hash of rows of integers."""
+    h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 @dataclass
 class Chunk:
-    """Token ids of a run of documents (each START, words, END); ids follow the words' sorted order."""
+    """Token ids of a run of documents (each START, words, END); ids are places in ``words``, which are distinct."""
 
     number: int
-    rids: np.ndarray
+    docs: pa.Array
     lengths: np.ndarray
     train: np.ndarray
     ids: np.ndarray
     words: pa.Array
 
-    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """See grams_of."""
-        return grams_of(self.ids, self.lengths, len(self.words), order)
-
-
-def grams_of(ids: np.ndarray, lengths: np.ndarray, size: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1..order: (place of the n-gram that ends at each position, or -1; the distinct (n-1)-gram place * size + id)."""
-    out = [(ids.astype(np.int64), np.arange(size, dtype=np.int64))]
-    offset = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    for n in range(2, order + 1):
-        before = np.concatenate([[-1], out[-1][0][:-1]])
-        there = (offset >= n - 1) & (before >= 0)
-        keys = before[there] * size + ids[there]
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        place = np.full(len(ids), -1, np.int64)
-        place[there] = inverse
-        out.append((place, distinct))
-    return out
-
 
-def to_chunk(number: int, rids: np.ndarray, train: np.ndarray, texts: pa.Array) -> Chunk:
+def to_chunk(number: int, docs: pa.Array, train: np.ndarray, texts: pa.Array) -> Chunk:
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, sizes = cut.flatten(), np.diff(cut.offsets.to_numpy())
     blank = pc.equal(flat, "").to_numpy(zero_copy_only=False)  # white space at the ends of a text
@@ -82,19 +124,16 @@ def to_chunk(number: int, rids: np.ndarray, train: np.ndarray, texts: pa.Array)
         flat = flat.filter(pa.array(~blank))
     coded = flat.dictionary_encode()
     words = pa.concat_arrays([coded.dictionary, pa.array([START, END], flat.type)])
-    order = pc.sort_indices(words)
-    rank = np.empty(len(words), np.int64)
-    rank[order.to_numpy()] = np.arange(len(words))
     lengths = sizes.astype(np.int64) + 2
     ends = np.cumsum(lengths)
     ids = np.full(int(ends[-1]), -1, np.int64)
-    ids[ends - lengths], ids[ends - 1] = rank[-2], rank[-1]
-    ids[ids < 0] = rank[coded.indices.to_numpy()]
-    return Chunk(number, rids, lengths, train, ids, words.take(order))
+    ids[ends - lengths], ids[ends - 1] = len(words) - 2, len(words) - 1
+    ids[ids < 0] = coded.indices.to_numpy()
+    return Chunk(number, docs, lengths, train, ids, words)
 
 
 def read_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[Chunk]:
-    """Batches of (rid, train, text). The same rows in the same task always make the same chunks."""
+    """Batches of (doc_id, train, text). The same rows in the same task always make the same chunks."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -103,8 +142,8 @@ def read_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator
     size = 0
 
     def close() -> Chunk:
-        rids, train, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
-        return to_chunk(number, rids.to_numpy(), train.to_numpy(zero_copy_only=False).astype(bool), pc.fill_null(texts, ""))
+        docs, train, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+        return to_chunk(number, docs, train.to_numpy(zero_copy_only=False).astype(bool), pc.fill_null(texts, ""))
 
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy())
@@ -122,111 +161,83 @@ def read_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator
         yield close()
 
 
-def _pack(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _unpack(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(data)
-
+def _table(names: list[str], types: list[pa.DataType], **columns) -> pa.Table:
+    """Columns that are not given are null; a scalar goes to every row."""
+    n = max((len(c) for c in columns.values() if not np.isscalar(c)), default=0)
+    get = lambda k, t: pa.nulls(n, t) if k not in columns else pa.array([columns[k]] * n if np.isscalar(columns[k]) else columns[k], t)
+    return pa.table([get(k, t) for k, t in zip(names, types)], names=names)
 
-def _array(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(_unpack(data), kind)
 
+# Step 1: words become integers.
 
-def _strings(lengths: np.ndarray, data: bytes) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
 
+def _dealt(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' places by part, where each part begins): the order of a chunk's word blocks and of the answers to them."""
+    part = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words)) % parts
+    by = np.argsort(part, kind="stable")
+    return by, np.searchsorted(part[by], np.arange(parts + 1))
 
-_BLOCK = "part int, chunk bigint, ord int, items binary, sizes binary, places binary, counts binary"
 
-
-def _blocks(chunk: Chunk, order: int, parts: int, train_only: bool) -> Iterator[tuple]:
-    """A block for each order and part: the n-grams, their places in the chunk, their training counts."""
-    in_train = np.repeat(chunk.train, chunk.lengths)
-    words = chunk.words.cast(pa.large_string())
-    crc = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words))
-    texts, hashes = words, crc % HASH_PRIME
-    for n, (place, distinct) in enumerate(chunk.grams(order), 1):
-        if n > 1:
-            before, last = distinct // len(words), distinct % len(words)
-            texts = pc.binary_join_element_wise(texts.take(pa.array(before)), words.take(pa.array(last)), pa.scalar(" ", pa.large_string()))
-            hashes = (hashes[before] * HASH_STEP + crc[last]) % HASH_PRIME
-        counts = np.bincount(place[in_train & (place >= 0)], minlength=len(texts))
-        chosen = np.flatnonzero(counts) if train_only else np.arange(len(texts))
-        part = hashes[chosen] % parts
-        by = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[by], np.arange(parts + 1))
-        by = chosen[by]
-        items = texts.take(pa.array(by))
-        sizes = pc.binary_length(items).to_numpy().astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        data = items.buffers()[2]
-        data = data.to_pybytes() if data else b""
-        for p in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b = bounds[p], bounds[p + 1]
-            places = np.diff(by[a:b], prepend=0).astype(np.int32)
-            yield p, chunk.number, n, _pack(data[offsets[a] : offsets[b]]), _pack(sizes[a:b].tobytes()), _pack(places.tobytes()), _pack(counts[by[a:b]].astype(np.int32).tobytes())
-
-
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-
-def _block_table(docs: DataFrame, order: int, parts: int, chunk_bytes: int, train_only: bool) -> DataFrame:
-    names = ["part", "chunk", "ord", "items", "sizes", "places", "counts"]
-    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+def _word_blocks(docs: DataFrame, parts: int, chunk_bytes: int) -> DataFrame:
+    names, types = ["part", "chunk", "items", "sizes"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
+        import zstandard
+
         for chunk in read_chunks(batches, chunk_bytes):
-            rows, held = [], 0
-            for row in _blocks(chunk, order, parts, train_only):
-                rows.append(row)
-                held += len(row[3])
-                if held > 4 << 20:
-                    yield _batch(rows, names, types)
-                    rows, held = [], 0
-            yield _batch(rows, names, types)
-
-    return docs.mapInArrow(run, _BLOCK)
-
-
-def count_grams(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> DataFrame:
-    """ord, item, c of training rows, items of order 2 and more only from count 2; and (-ord, null, c, how many have it) rows."""
-    names, types = ["ord", "item", "c", "n"], [pa.int32(), pa.string(), pa.int64(), pa.int64()]
-
-    def add(table: pa.Table) -> pa.Table:
-        out = []
-        for n in range(1, order + 1):
-            own = table.filter(pc.equal(table["ord"], n))
-            if not len(own):
-                continue
-            items = pa.concat_arrays([_strings(_array(z.as_py(), np.int32), _unpack(x.as_py())) for x, z in zip(own["items"], own["sizes"])]).dictionary_encode()
-            counts = np.concatenate([_array(c.as_py(), np.int32) for c in own["counts"]])
-            totals = np.bincount(items.indices.to_numpy(), counts, len(items.dictionary)).astype(np.int64)
-            real = pc.not_equal(items.dictionary, START).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(totals >= (1 if n == 1 else 2))
-            out.append(pa.table([pa.array(np.full(len(keep), n, np.int32)), items.dictionary.take(pa.array(keep)).cast(pa.string()), pa.array(totals[keep]), pa.nulls(len(keep), pa.int64())], names=names))
-            values = totals[real]
-            stats = [(-n, None, r, int((values == r).sum())) for r in range(1, GT_MOST + 2)]
-            out.append(pa.Table.from_batches([_batch([*stats, (-n, None, 0, len(values)), (-n, None, -1, int(values.sum()))], names, types)]))
-        return pa.concat_tables(out) if out else pa.Table.from_batches([_batch([], names, types)])
-
-    blocks = _block_table(docs.where("train"), order, parts, chunk_bytes, True).select("part", "ord", "items", "sizes", "counts")
-    return blocks.groupBy("part").applyInArrow(add, "ord int, item string, c bigint, n bigint")
-
-
-def good_turing(n: dict[int, int], most: int = GT_MOST) -> dict[int, float]:
-    """Discounts for counts 2..most from counts of counts; where they are irregular, (r - 1/2) / r."""
-    out = {}
+            by, bounds = _dealt(chunk.words, parts)
+            in_train = np.repeat(chunk.train, chunk.lengths)
+            every, train = (np.bincount(x, minlength=len(by))[by] for x in (chunk.ids, chunk.ids[in_train]))
+            items = chunk.words.take(pa.array(by)).cast(pa.large_string())
+            sizes = pc.binary_length(items).to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            data = items.buffers()[2].to_pybytes()
+            some = np.flatnonzero(np.diff(bounds))
+            packed = [zstandard.ZstdCompressor(level=1).compress(data[offsets[bounds[p]] : offsets[bounds[p + 1]]]) for p in some]
+            counts = [pack(sizes[bounds[p] : bounds[p + 1]], train[bounds[p] : bounds[p + 1]], every[bounds[p] : bounds[p + 1]]) for p in some]
+            yield from _table(names, types, part=some, chunk=np.full(len(some), chunk.number), items=packed, sizes=counts).to_batches()
+
+    return docs.mapInArrow(run, "part int, chunk bigint, items binary, sizes binary")
+
+
+def _number_words(blocks: DataFrame, parts: int, hot: int) -> DataFrame:
+    """Answers (part, chunk, answer: numbers, training counts, hot flags) and, with null part, (r, n): n training words of count r,
+    0 for all, -1 for their tokens."""
+    names, types = ["part", "chunk", "answer", "r", "n"], [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        part = table["part"][0].as_py()
+        held = [unpack(s.as_py()) for s in table["sizes"]]
+        items = []
+        for (sizes, _, _), z in zip(held, table["items"]):
+            offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+            items.append(pa.LargeStringArray.from_buffers(len(sizes), offsets, pa.py_buffer(zstandard.ZstdDecompressor().decompress(z.as_py()))))
+        coded = pa.concat_arrays(items).dictionary_encode()
+        code = coded.indices.to_numpy()
+        train, every = (np.bincount(code, np.concatenate([h[k] for h in held])).astype(np.int64) for k in (1, 2))
+        number = np.empty(len(train), np.int64)
+        number[np.argsort(-every, kind="stable")] = np.arange(len(train)) * parts + part
+        is_hot = (every > hot).astype(np.int64)
+        cuts = np.cumsum([0, *(len(h[0]) for h in held)])
+        answers = [pack(number[c], train[c], is_hot[c]) for c in (code[a:b] for a, b in zip(cuts, cuts[1:]))]
+        real = train[pc.not_equal(coded.dictionary, START).to_numpy(zero_copy_only=False)]
+        r = [0, -1, *range(1, GT_MOST + 2)]
+        n = [int((real > 0).sum()), int(real.sum()), *(int((real == k).sum()) for k in range(1, GT_MOST + 2))]
+        return pa.concat_tables([_table(names, types, part=np.full(len(answers), part), chunk=table["chunk"].to_numpy(), answer=answers), _table(names, types, r=r, n=n)])
+
+    return blocks.groupBy("part").applyInArrow(run, "part int, chunk bigint, answer binary, r bigint, n bigint")
+
+
+# The model's numbers.
+
+
+def good_turing(n: dict[int, int], most: int = GT_MOST) -> np.ndarray:
+    """Discounts for counts 0..most from counts of counts; where they are irregular, (r - 1/2) / r. Place 0 is unused."""
+    out = np.ones(most + 1)
     common = (most + 1) * n.get(most + 1, 0) / n[1] if n.get(1) else 1.0
-    for r in range(2, most + 1):
+    for r in range(1, most + 1):
         d = -1.0
         if n.get(r) and common < 1:
             d = ((r + 1) * n.get(r + 1, 0) / n[r] / r - common) / (1 - common)
@@ -234,125 +245,357 @@ def good_turing(n: dict[int, int], most: int = GT_MOST) -> dict[int, float]:
     return out
 
 
+def left_over(discounted: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What discounted counts are multiplied by, so that half a count at least is left of each history's ``count``."""
+    most = np.maximum(count - 0.5, 0)
+    return np.where(discounted > most, most / np.maximum(discounted, 1e-300), 1.0)
+
+
 @dataclass
-class KatzModel:
-    """``table``: ord, item, c, logp, loga (base 10). ``tokens``, ``types``: N and V of the training rows."""
+class Unigrams:
+    """P1 by training count: discounted counts over N; ``unknown`` is the mass left for the unknown word."""
 
-    table: DataFrame
-    order: int
     tokens: int
     types: int
+    discounts: np.ndarray
+    scale: float
+    unknown: float
 
+    @classmethod
+    def of(cls, n: dict[int, int]) -> Unigrams:
+        tokens, d = n.get(-1, 0), good_turing(n)
+        kept = tokens - sum((1 - d[r]) * r * n.get(r, 0) for r in range(1, GT_MOST + 1))
+        scale = float(left_over(np.array([kept]), np.array([tokens]))[0])
+        return cls(tokens, n.get(0, 0), d, scale, 1 - kept * scale / tokens if tokens else 1.0)
 
-def fit_katz(docs: DataFrame, order: int, parts: int, chunk_bytes: int) -> KatzModel:
-    """From (rid, train, text)."""
-    raw = Stored(count_grams(docs, order, parts, chunk_bytes), "gram-counts", ("ord",)).df
-    stats = {(-r["ord"], r["c"]): r["n"] for r in raw.where("ord < 0").groupBy("ord", "c").agg(F.sum("n").alias("n")).collect()}  # GT_MOST + 3 rows per order
-    types, tokens = stats.get((1, 0), 0), stats.get((1, -1), 0)
-    low = raw.where("ord = 1").select("item", "c", F.log10((F.col("c") + 1) / F.lit(float(tokens + types + 1))).alias("logp"))
-    tables = []
-    for n in range(2, order + 1):
-        discounts = good_turing({r: stats.get((n, r), 0) for r in range(1, GT_MOST + 2)})
-        d = F.coalesce(*[F.when(F.col("c") == r, F.lit(x)) for r, x in discounts.items()], F.lit(1.0))
-        grams = raw.where(F.col("ord") == n).select("item", "c", F.regexp_extract("item", "(?s)^(.*) [^ ]*$", 1).alias("ctx"), F.regexp_extract("item", "(?s)^[^ ]* (.*)$", 1).alias("rest"))
-        grams = grams.join(low.select(F.col("item").alias("rest"), F.pow(F.lit(10.0), F.col("logp")).alias("p_low")), "rest").drop("rest")
-        histories = low.select(F.col("item").alias("ctx"), F.col("c").alias("c_ctx"))
-        grams = Stored(grams.join(histories, "ctx").withColumn("p", d * F.col("c") / F.col("c_ctx")), f"grams-{n}").df
-        sums = grams.groupBy("ctx").agg(F.sum("p").alias("hi"), F.least(F.sum("p_low"), F.lit(1 - 1e-12)).alias("lo"), F.first("c_ctx").alias("c_ctx"))
-        # histories whose kept successors leave nothing: half a count is set aside for the others
-        scale = F.when(1 - F.col("hi") < 0.5 / F.col("c_ctx"), (1 - 0.5 / F.col("c_ctx")) / F.col("hi")).otherwise(1.0)
-        sums = Stored(sums.withColumn("scale", scale).select("ctx", "scale", F.log10((1 - F.col("hi") * scale) / (1 - F.col("lo"))).alias("loga")), f"histories-{n}").df
-        tables.append(low.join(sums.select(F.col("ctx").alias("item"), "loga"), "item", "left").select(F.lit(n - 1).alias("ord"), "item", "c", "logp", "loga"))
-        low = grams.join(sums, "ctx").select("item", "c", F.log10(F.col("p") * F.col("scale")).alias("logp"))
-    tables.append(low.select(F.lit(order).alias("ord"), "item", "c", "logp", F.lit(None).cast("double").alias("loga")))
-    table = tables[0]
-    for t in tables[1:]:
-        table = table.unionByName(t)
-    return KatzModel(Stored(table, "katz-model", ("ord",)).df, order, tokens, types)
-
-
-def _answers(blocks: DataFrame, model: KatzModel, parts: int) -> DataFrame:
-    order = model.order  # not the model: its table belongs to the driver
-    names, types = ["chunk", "ord", "places", "c", "logp", "loga"], [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        rows = []
-        for n in range(1, order + 1):
-            own, known = asked.filter(pc.equal(asked["ord"], n)), held.filter(pc.equal(held["ord"], n))
-            if not len(own) or not len(known):
-                continue
-            values = known["item"].combine_chunks().cast(pa.large_string())
-            c, logp, loga = (known[k].fill_null(0).to_numpy() for k in ("c", "logp", "loga"))
-            items = [_strings(_array(z.as_py(), np.int32), _unpack(x.as_py())) for x, z in zip(own["items"], own["sizes"])]
-            every = pc.fill_null(pc.index_in(pa.concat_arrays(items), value_set=values), -1).to_numpy()  # one hash table for all
-            bounds = np.cumsum([0, *map(len, items)])
-            for chunk, places, a, b in zip(own["chunk"].to_pylist(), own["places"], bounds, bounds[1:]):
-                found = every[a:b]
-                hit = found >= 0
-                if hit.any():
-                    at = found[hit]
-                    where_to = np.cumsum(_array(places.as_py(), np.int32))[hit].astype(np.int32)
-                    rows.append((chunk, n, *(_pack(x.tobytes()) for x in (where_to, c[at].astype(np.int64), logp[at], loga[at]))))
-        return pa.Table.from_batches([_batch(rows, names, types)])
-
-    fold = F.aggregate(F.split("item", " "), F.lit(0).cast("bigint"), lambda h, w: (h * HASH_STEP + F.crc32(w.cast("binary"))) % HASH_PRIME)
-    held = model.table.select(F.pmod(fold, F.lit(parts)).cast("int").alias("part"), "ord", "item", "c", "logp", "loga")
-    schema = "chunk bigint, ord int, places binary, c binary, logp binary, loga binary"
-    return blocks.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(answer, schema)
-
-
-def _streams(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    names = ["chunk", "rids", "lengths", "size", "ids"]
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    def p(self, c: np.ndarray) -> np.ndarray:
+        d = np.where(c <= GT_MOST, self.discounts[np.minimum(c, GT_MOST)], 1.0)
+        return np.where(c > 0, d * c * self.scale / max(self.tokens, 1), self.unknown)
+
+
+def level(c: np.ndarray, group: np.ndarray, lower: np.ndarray, d: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities of n-grams from training counts, the number of their history and the lower order's probabilities.
+
+    ``counted`` says which rows belong in sums over a history (each of its n-grams once); all do by default.
+    """
+    size = int(group.max()) + 1 if len(group) else 0
+    seen = c > 0 if counted is None else (c > 0) & counted
+    value = np.where(c <= GT_MOST, d[np.minimum(c, GT_MOST)], 1.0) * c
+    add = lambda x: np.bincount(group[seen], x[seen], size)
+    count, hi, lo = add(c), add(value), add(lower)
+    scale = left_over(hi, count)
+    alpha = np.where(count > 0, (1 - hi * scale / np.maximum(count, 1)) / (1 - lo), 1.0)
+    return np.where(c > 0, value * (scale / np.maximum(count, 1))[group], alpha[group] * lower)
+
+
+# Step 2: tokens meet in the part of their middle word.
 
-    def run(batches):
-        for c in read_chunks(batches, chunk_bytes):
-            yield _batch([(c.number, _pack(c.rids.tobytes()), _pack(c.lengths.tobytes()), len(c.words), _pack(c.ids.astype(np.int32).tobytes()))], names, types)
 
-    return docs.mapInArrow(run, "chunk bigint, rids binary, lengths binary, size bigint, ids binary")
+def _held(id_type: pa.DataType) -> tuple[list[str], list[pa.DataType]]:
+    names = ["kind", "part", "w1", "w2", "w3", "c", "x", "docs", "data"]
+    return names, [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.list_(id_type), pa.binary()]
 
 
-def score_katz(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """rid, doc_id, n_tokens, n_known, train_tokens, base_score, score for every row; ``train`` is an SQL condition on ``df``."""
+def _streams(docs: DataFrame, id_type: pa.DataType, parts: int, chunk_bytes: int) -> DataFrame:
+    """(chunk, docs, data: lengths, training flags, token ids): ids are places in the order of the chunk's word blocks."""
+    names, types = ["chunk", "docs", "data"], [pa.int64(), pa.list_(id_type), pa.binary()]
+
+    def run(batches):
+        for c in read_chunks(batches, chunk_bytes):
+            by, _ = _dealt(c.words, parts)
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            data = pack(c.lengths, c.train.astype(np.int64), place[c.ids])
+            yield from _table(names, types, chunk=[c.number], docs=[c.docs.to_pylist()], data=[data]).to_batches()
+
+    return docs.mapInArrow(run, f"chunk bigint, docs {_list_sql(docs)}, data binary")
+
+
+def _list_sql(docs: DataFrame) -> str:
+    return f"array<{docs.schema['doc_id'].dataType.simpleString()}>"
+
+
+def _deal_tokens(streams: DataFrame, answers: DataFrame, id_type: pa.DataType, parts: int, uni: Unigrams) -> DataFrame:
+    """Blocks of tokens by part, and a HEAD row for each chunk: document ids, n_tokens, n_known, base."""
+    names, types = _held(id_type)
+    total = float(uni.tokens + uni.types + 1)
+
+    def run(stream: pa.Table, answer: pa.Table) -> pa.Table:
+        if not len(stream):
+            return _table(names, types)
+        chunk = stream["chunk"][0].as_py()
+        lengths, train, ids = unpack(stream["data"][0].as_py())
+        told = [unpack(a.as_py()) for a in answer.sort_by("part")["answer"]]
+        number, count, is_hot = (np.concatenate([t[k] for t in told]) for k in range(3))
+        is_hot = is_hot > 0
+        first = np.cumsum(lengths) - lengths
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        token = np.ones(len(ids), bool)
+        token[first] = False
+        base = np.add.reduceat(np.where(token, np.log10((count[ids] + 1) / total), 0), first)
+        known = np.add.reduceat(token & (count[ids] > 0), first)
+        head = pack(lengths - 1, known.astype(np.int64), np.rint(-base * SCALE).astype(np.int64))
+
+        at = np.flatnonzero(token)
+        none = ~token[at - 1]
+        l3, l2, l1 = ids[at], ids[at - 1], np.where(none, 0, ids[at - 2])
+        w1 = np.where(none, 0, number[l1] + 1)
+        hot1, hot2, hot3 = none | is_hot[l1], is_hot[l2], is_hot[l3]
+        mode = np.where(hot2, np.where(hot1, OPEN, HALF_OPEN), CLOSED)
+        part = mix(number)[l2]
+        some = np.flatnonzero(hot2)
+        if len(some):
+            w2, w3, spread = number[l2[some]], np.where(hot1[some], number[l3[some]] + 1, 0), np.where(hot1 & hot3, chunk + 1, 0)[some]
+            part[some] = mix(w1[some], w2, w3, spread)
+        part = (part % np.uint64(parts)).astype(np.int64)
+        rank = np.empty(len(number), np.int64)
+        rank[np.argsort(number)] = np.arange(len(number))
+        box, n = part * 3 + mode, len(number)
+        order = np.argsort((box * n + rank[l2]) * n + rank[l3] if 3 * parts * n * n < 1 << 62 else dense(box, rank[l2], rank[l3]))
+        box, w1, l2, l3 = box[order], w1[order], l2[order], l3[order]
+        w2, w3 = number[l2], number[l3]
+        doc = doc[at][order]
+        tag = doc * 2 + train[doc]
+        starts = np.flatnonzero(np.diff(box, prepend=-1))
+        fresh = np.ones(len(box), bool)  # where another bigram begins
+        fresh[1:] = (np.diff(w2) != 0) | (np.diff(w3) != 0)
+        fresh[starts] = True
+        c1 = count[l3]
+        data = []
+        for a, b in zip(starts, [*starts[1:], len(box)]):
+            data.append(pack(np.diff(w2[a:b], prepend=0), w3[a:b], w1[a:b], tag[a:b], c1[a:b][fresh[a:b]]))
+        blocks = _table(names, types, kind=box[starts] % 3, part=box[starts] // 3, x=np.full(len(starts), chunk), data=data)
+        return pa.concat_tables([blocks, _table(names, types, kind=[HEAD], part=[chunk % parts], x=[chunk], docs=[stream["docs"][0].as_py()], data=[head])])
+
+    return streams.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, _held_sql(streams))
+
+
+def _held_sql(df: DataFrame) -> str:
+    return f"kind int, part int, w1 bigint, w2 bigint, w3 bigint, c bigint, x bigint, docs {df.schema['docs'].dataType.simpleString()}, data binary"
+
+
+def _runs(code: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.diff(code, prepend=code[0] - 1)) if len(code) else np.zeros(0, np.int64)
+
+
+def _sizes(starts: np.ndarray, end: int) -> np.ndarray:
+    return np.diff(starts, append=end)
+
+
+def _gather(blocks: DataFrame, id_type: pa.DataType) -> DataFrame:
+    """What a part holds, by kind: a packed table of each mode, HEAD rows passed on, COUNTS (order c: x n-grams of count w1),
+    and the partial counts of open bigrams and trigrams."""
+    names, types = _held(id_type)
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        kinds = table["kind"].to_numpy()
+        out = [table.filter(pa.array(kinds == HEAD))]
+        stats = np.zeros((4, GT_MOST + 2), np.int64)
+
+        def count(order: int, c: np.ndarray) -> None:
+            stats[order] += np.bincount(c[c <= GT_MOST + 1], minlength=GT_MOST + 2)
+
+        for mode in (CLOSED, HALF_OPEN, OPEN):
+            own = table.filter(pa.array(kinds == mode))
+            if not len(own):
+                continue
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            chunks, at = np.unique(own["x"].to_numpy(), return_inverse=True)
+            for place, data in zip(at, own["data"]):
+                w2, w3, w1, tag, c1 = unpack(data.as_py())
+                w2 = np.cumsum(w2)
+                bigram = np.cumsum((np.diff(w2, prepend=-1) != 0) | (np.diff(w3, prepend=-1) != 0)) - 1
+                for held, x in zip(columns, (w2, w3, w1, tag, c1[bigram], np.full(len(w2), place))):
+                    held.append(x)
+            w2, w3, w1, tag, c1, chunk = (np.concatenate(c) for c in columns)
+            columns.clear()
+            code = dense(w2, w3, w1)
+            order = np.argsort(code)
+            starts = _runs(code[order])
+            c3 = np.add.reduceat(tag[order] & 1, starts)
+            tri = order[starts]
+            t1, t2, t3 = w1[tri], w2[tri], w3[tri]
+            bi = np.flatnonzero((np.diff(t2, prepend=-1) != 0) | (np.diff(t3, prepend=-1) != 0))
+            words = _runs(t2[bi])
+            history = np.unique(dense(t2, t1), return_inverse=True)[1]
+            lowest = np.minimum.reduceat(history, bi[words])
+            local = history - np.repeat(lowest, _sizes(bi[words], len(tri)))
+            c23 = np.add.reduceat(c3, bi)
+            if mode == CLOSED:
+                count(2, c23)
+                own_words = [np.zeros(0, np.int64)] * 3
+            else:
+                own_words = [t1, t2[bi], t3[bi]]
+                out.append(_table(names, types, kind=np.full(len(bi), BIGRAMS), part=np.full(len(bi), part), w2=t2[bi], w3=t3[bi], c=c23, x=c1[tri][bi]))
+            if mode == OPEN:
+                three = t1 > 0
+                out.append(_table(names, types, kind=np.full(int(three.sum()), TRIGRAMS), part=np.full(int(three.sum()), part), w1=t1[three], w2=t2[three], w3=t3[three], c=c3[three]))
+            else:
+                count(3, c3[t1 > 0])
+            data = pack(_sizes(words, len(bi)), _sizes(bi, len(tri)), c1[tri][bi], local, (t1 == 0).astype(np.int64), c3, _sizes(starts, len(order)), chunk[order], tag[order] >> 1, chunks, *own_words)
+            out.append(_table(names, types, kind=[mode], part=[part], data=[data]))
+        some = np.argwhere(stats[:, 1:])
+        out.append(_table(names, types, kind=np.full(len(some), COUNTS), part=np.full(len(some), part), c=some[:, 0], w1=some[:, 1] + 1, x=[stats[o, r + 1] for o, r in some]))
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("part").applyInArrow(run, _held_sql(blocks))
+
+
+# Step 3: counts become probabilities.
+
+_SUMS = "chunk bigint, data binary"
+
+
+def _sum_up(data: bytes, d2: np.ndarray, d3: np.ndarray, uni: Unigrams, told=None) -> pa.Table:
+    """Sums of -log10 P by chunk and document of one packed table; ``told`` has the probabilities of open n-grams."""
+    per_word, per_bigram, c1, local, none, c3, k, chunk, doc, chunks, t1, b2, b3 = unpack(data)
+    bigram = np.repeat(np.arange(len(per_bigram)), per_bigram)
+    word = np.repeat(np.arange(len(per_word)), per_word)
+    three = none == 0
+    if told is None:
+        p2 = level(np.bincount(bigram, c3, len(c1)).astype(np.int64), word, uni.p(c1), d2)
+    else:
+        p2 = told.two(b2, b3)
+    p = p2[bigram]
+    if told is None or not told.three:
+        starts = np.cumsum(per_bigram) - per_bigram
+        per = np.maximum.reduceat(local, starts[np.cumsum(per_word) - per_word]) + 1
+        history = local + (np.cumsum(per) - per)[word[bigram]]
+        p[three] = level(c3[three], history[three], p[three], d3)
+    else:
+        p[three] = told.all(t1[three], b2[bigram][three], b3[bigram][three])
+    cost = np.repeat(np.rint(np.maximum(-np.log10(p), 0) * SCALE), k)
+    width = int(doc.max()) + 1
+    key = chunk * width + doc
+    if len(chunks) * width <= 8 * len(key):
+        sums = np.bincount(key, cost, len(chunks) * width)
+        keys = np.flatnonzero(np.bincount(key, minlength=len(sums)))
+        sums = sums[keys]
+    else:
+        keys, inverse = np.unique(key, return_inverse=True)
+        sums = np.bincount(inverse, cost)
+    cuts = np.searchsorted(keys // width, np.arange(len(chunks) + 1))
+    packed = [pack(np.diff(keys[a:b] % width, prepend=0), sums[a:b].astype(np.int64)) for a, b in zip(cuts, cuts[1:])]
+    return _table(["chunk", "data"], [pa.int64(), pa.binary()], chunk=chunks, data=packed)
+
+
+class _Told:
+    """Probabilities that were computed for open n-grams: bigrams have w1 = -1."""
+
+    def __init__(self, answers: pa.Table, three: bool):
+        self.three = three
+        columns = [answers[c].to_numpy() for c in ("w1", "w2", "w3", "p")]
+        pairs = columns[0] < 0
+        self.pairs, self.rest = [c[pairs] for c in columns], [c[~pairs] for c in columns]
+
+    @staticmethod
+    def _look(known: list[np.ndarray], p: np.ndarray, asked: list[np.ndarray]) -> np.ndarray:
+        code = dense(*(np.concatenate([a, b]) for a, b in zip(known, asked)))
+        by = np.argsort(code[: len(p)])
+        return p[by[np.searchsorted(code[: len(p)][by], code[len(p) :])]]
+
+    def two(self, w2, w3):
+        return self._look(self.pairs[1:3], self.pairs[3], [w2, w3])
+
+    def all(self, w1, w2, w3):
+        return self._look(self.rest[:3], self.rest[3], [w1, w2, w3]) if len(w1) else np.zeros(0)
+
+
+def _cases(c: Column, d: np.ndarray, other: Column) -> Column:
+    for r in range(1, len(d)):
+        other = F.when(c == r, F.lit(float(d[r]))).otherwise(other)
+    return other
+
+
+def _open_level(counted: DataFrame, keys: list[str], history: list[str], d: np.ndarray, few: bool) -> DataFrame:
+    """keys, p from keys, c and the lower order's probability ``low``: level() over rows, histories summed up by partial aggregation."""
+    value = _cases(F.col("c"), d, F.lit(1.0)) * F.col("c")
+    sums = counted.where("c > 0").groupBy(*history).agg(F.sum(value).alias("hi"), F.sum("c").alias("n"), F.sum("low").alias("lo"))
+    most = F.col("n") - 0.5
+    scale = F.when(F.col("hi") > most, most / F.col("hi")).otherwise(1.0)
+    sums = sums.select(*history, scale.alias("scale"), "n", ((1 - F.col("hi") * scale / F.col("n")) / (1 - F.col("lo"))).alias("alpha"))
+    p = F.when(F.col("c") > 0, value * F.col("scale") / F.col("n")).otherwise(F.coalesce("alpha", F.lit(1.0)) * F.col("low"))
+    return counted.join(F.broadcast(sums) if few else sums, history, "left").select(*keys, p.alias("p"))
+
+
+def _open_answers(held: DataFrame, two: DataFrame, three: DataFrame, d2: np.ndarray, d3: np.ndarray, uni: Unigrams, few: bool) -> DataFrame:
+    """part, w1 (-1 for bigrams), w2, w3, p for every open n-gram that a part holds."""
+    every = F.when(F.col("x") > 0, _cases(F.col("x"), uni.discounts, F.lit(1.0)) * F.col("x") * (uni.scale / max(uni.tokens, 1))).otherwise(F.lit(float(uni.unknown)))
+    p2 = Stored(_open_level(two.withColumn("low", every), ["w2", "w3"], ["w2"], d2, few), "katz-open-2").df
+    low = three.join(p2.withColumnRenamed("p", "low"), ["w2", "w3"])
+    p3 = _open_level(low, ["w1", "w2", "w3"], ["w1", "w2"], d3, False)
+    asked2 = held.where(F.col("kind") == BIGRAMS).select("part", "w2", "w3").distinct().join(p2, ["w2", "w3"]).select("part", F.lit(-1).cast("bigint").alias("w1"), "w2", "w3", "p")
+    asked3 = held.where(F.col("kind") == TRIGRAMS).select("part", "w1", "w2", "w3").join(p3, ["w1", "w2", "w3"]).select("part", "w1", "w2", "w3", "p")
+    return asked2.unionByName(asked3)
+
+
+def _counts_of(df: DataFrame) -> dict[int, int]:
+    rows = df.where(F.col("c").between(1, GT_MOST + 1)).groupBy("c").count().collect()  # GT_MOST + 1 rows at most
+    return {r["c"]: r["count"] for r in rows}
+
+
+def score_katz(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT_TOKENS) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row; ``train`` is an SQL condition on ``df``.
+
+    base_score is the sum of log10((c + 1) / (N + V + 1)), score the sum of log10 P; both to about 1e-7.
+    """
     spark = df.sparkSession
     flag = F.coalesce(F.expr(train), F.lit(False)).alias("train")
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), flag, F.col(f"`{text_col}`").alias("text"))
+    docs = pick(settled(df.withColumn("train flag of katz", flag)), doc_id=id_col, train="train flag of katz", text=text_col)
     scans = docs._jdf.queryExecution().toRdd().getNumPartitions()
-    parts = max(8, scans, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    model = fit_katz(docs, order, parts, chunk_bytes)
-    total = float(model.tokens + model.types + 1)
-    tokens = model.tokens
-    names, types = ["rid", "n_tokens", "n_known", "train_tokens", "base_score", "score"], [*[pa.int64()] * 4, pa.float64(), pa.float64()]
-
-    def evaluate(stream: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for row in stream.to_pylist():
-            lengths, ids = _array(row["lengths"], np.int64), _array(row["ids"], np.int32)
-            grams = grams_of(ids, lengths, row["size"], order)
-            known = [(np.zeros(len(d), np.int64), np.full(len(d), np.nan), np.zeros(len(d))) for _, d in grams]
-            for a in answers.to_pylist():
-                c, logp, loga = known[a["ord"] - 1]
-                at = _array(a["places"], np.int32)
-                c[at], logp[at], loga[at] = _array(a["c"], np.int64), _array(a["logp"], float), _array(a["loga"], float)
-            first = np.cumsum(lengths) - lengths
-            c = known[0][0][ids]
-            base = np.log10((c + 1) / total)
-            score = base.copy()
-            for n in range(2, order + 1):
-                place, before = grams[n - 1][0], np.concatenate([[-1], grams[n - 2][0][:-1]])
-                there = place >= 0
-                direct = np.where(there, known[n - 1][1][place] if len(known[n - 1][1]) else np.nan, np.nan)
-                backed = known[n - 2][2][before] + score
-                score = np.where(there, np.where(np.isnan(direct), backed, direct), score)
-            is_token = np.ones(len(ids), bool)
-            is_token[first] = False
-            sums = [np.add.reduceat(np.where(is_token, x, 0), first) for x in (c > 0, base, score)]
-            out.append(pa.table([pa.array(_array(row["rids"], np.int64)), pa.array(lengths - 1), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(lengths), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names))
-        return pa.concat_tables(out) if out else pa.Table.from_batches([_batch([], names, types)])
-
-    blocks = _block_table(docs, order, parts, chunk_bytes, False).select("part", "chunk", "ord", "items", "sizes", "places")
-    answers = _answers(blocks, model, parts)
-    schema = "rid bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    scored = _streams(docs, chunk_bytes).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, schema)
-    ids = pick(df, doc_id=id_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id")
-    return ids.join(scored, "rid")
+    parts = max(8, 4 * scans, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    answers = Stored(_number_words(_word_blocks(docs, parts, chunk_bytes), parts, hot), "katz-words").df
+    uni = Unigrams.of({r["r"]: r["n"] for r in answers.where("part IS NULL").groupBy("r").agg(F.sum("n").alias("n")).collect()})  # GT_MOST + 3 rows
+    told = answers.where("part IS NOT NULL").select("part", "chunk", "answer")
+    blocks = _deal_tokens(_streams(docs, id_type, parts, chunk_bytes), told, id_type, parts, uni)
+    held = Stored(_gather(blocks, id_type), "katz-held", ("kind",)).df
+    n = {(r["c"], r["w1"]): r["x"] for r in held.where(F.col("kind") == COUNTS).groupBy("c", "w1").agg(F.sum("x").alias("x")).collect()}  # 2 * (GT_MOST + 1) rows
+    n2, n3 = ({r: n.get((order, r), 0) for r in range(1, GT_MOST + 2)} for order in (2, 3))
+    is_open = not held.where(F.col("kind") == BIGRAMS).isEmpty()
+    if is_open:
+        two = Stored(held.where(F.col("kind") == BIGRAMS).groupBy("w2", "w3").agg(F.sum("c").alias("c"), F.first("x").alias("x")), "katz-open-counts").df
+        three = Stored(held.where(F.col("kind") == TRIGRAMS).groupBy("w1", "w2", "w3").agg(F.sum("c").alias("c")), "katz-open-counts").df
+        for own, more in ((n2, _counts_of(two)), (n3, _counts_of(three))):
+            for r, x in more.items():
+                own[r] += x
+    d2, d3 = good_turing(n2), good_turing(n3)
+
+    def close(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                yield from _sum_up(data.as_py(), d2, d3, uni).to_batches()
+
+    def close_open(own: pa.Table, answer: pa.Table) -> pa.Table:
+        done = [_sum_up(row["data"], d2, d3, uni, _Told(answer, row["kind"] == OPEN)) for row in own.select(["kind", "data"]).to_pylist()]
+        return pa.concat_tables(done) if done else _table(["chunk", "data"], [pa.int64(), pa.binary()])
+
+    sums = held.where(F.col("kind") == CLOSED).select("data").mapInArrow(close, _SUMS)
+    if is_open:
+        few = uni.tokens / max(hot, 1) < 1_000_000  # hot words, each with one history row, are tokens / hot at most
+        open_answers = _open_answers(held, two, three, d2, d3, uni, few)
+        own = held.where(F.col("kind").isin(HALF_OPEN, OPEN)).select((F.col("part") + 0).alias("at"), "kind", "data")
+        sums = sums.unionByName(own.groupBy("at").cogroup(open_answers.groupBy("part")).applyInArrow(close_open, _SUMS))
+    heads = held.where(F.col("kind") == HEAD).select(F.col("x").alias("chunk"), "docs", "data")
+    tokens = uni.tokens
+    names, types = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], [id_type, *[pa.int64()] * 3, pa.float64(), pa.float64()]
+
+    def finish(rows: pa.Table) -> pa.Table:
+        is_head = pc.is_valid(rows["docs"])
+        head, rest = rows.filter(is_head), rows.filter(pc.invert(is_head))
+        docs = head["docs"].combine_chunks().flatten()
+        n_tokens, n_known, base = unpack(head["data"][0].as_py())
+        cost = np.zeros(len(n_tokens))
+        for data in rest["data"]:
+            doc, own = unpack(data.as_py())
+            cost[np.cumsum(doc)] += own
+        # 0.0 - x, so that nothing is -0.0
+        return pa.table([docs.cast(id_type), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(docs), tokens)), pa.array(0.0 - base / SCALE), pa.array(0.0 - cost / SCALE)], names=names)
+
+    every = heads.unionByName(sums.select("chunk", F.lit(None).cast(heads.schema["docs"].dataType).alias("docs"), "data"))
+    id_sql = docs.schema["doc_id"].dataType.simpleString()
+    return every.groupBy("chunk").applyInArrow(finish, f"doc_id {id_sql}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

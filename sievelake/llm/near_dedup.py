@@ -9,8 +9,10 @@
    and joins groups around one text or with dense links. Pairs whose collision-corrected similarity,
    estimated by counting equal bits of the planes, is too far below the threshold are left out; the others are
    confirmed on full sets.
-4. Whatever remains of a bucket, pairs of members in different components, is estimated and confirmed on full sets
-   inside the join, so that only links leave it. No bucket or partner is capped.
+4. What remains of a bucket, members in different components, is compared in blocks: those outside the largest
+   component against all, BLOCK by BLOCK members for each key of the join. Semi-joins on signatures leave the members
+   that have any partner, and these are confirmed on full sets inside a join that gives links only. No bucket or
+   partner is capped, and no key of a join holds more than a block of either side.
 5. Confirmed links are joined to components by star contraction.
 
 A pair at the threshold shares some band with probability 1 - (1 - t^rows)^bands; for 0.85, 6 and 24 that is
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Stored, pick
+from sievelake.llm.common import Stored, pick, settled
 from sievelake.operators.components import connected_components
 
 BANDS, ROWS, BITS = 24, 6, 4
 #: Rounds of comparison with hubs before the rest of the buckets is joined: the best connected member, then members
 #: drawn anew in every bucket, which join densely linked groups by a few comparisons a member.
 HUB_ROUNDS = 3
+#: Members of a bucket that one key of a join holds; larger buckets, and hubs with more partners, are dealt in parts.
+BLOCK = 256
 #: Members of buckets whose ids may be sent to every task (8 bytes each); beyond it the texts are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -118,9 +122,22 @@ def most_differing(threshold: float, k: int, bits: int, deviations: float = 5.0)
     return math.ceil(k * (1 - match) + deviations * math.sqrt(k * match * (1 - match)))
 
 
+def _spread_join(rows: DataFrame, pairs: DataFrame, key: str, by: str, table: DataFrame) -> DataFrame:
+    """rows joined with table on ``key``. Keys that ``pairs`` has more than BLOCK times are dealt by a hash of ``by`` and their
+    rows of ``table`` repeated for each share, so a popular key isn't one task's work."""
+    heavy = pairs.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares")).where("shares > 1")
+    heavy = Stored(heavy, "popular").df
+    if heavy.count() <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = rows.join(heavy, key, "left").withColumn("share", F.pmod(F.xxhash64(by), shares).cast("int")).drop("shares")
+    repeated = table.join(heavy, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+    return dealt.join(repeated, [key, "share"]).drop("share")
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """rid, doc_id, n_shingles, component_id for every row. Linked: 100 * intersection >= percent * union of the shingle sets."""
-    docs = pick(df, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    docs = pick(settled(df), doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     hasher = MinHasher(bands, rows, bits)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -183,7 +200,9 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["src", "dst"])
 
     def links(pairs: DataFrame, label: str) -> DataFrame:
-        with_sets = pairs.join(sets.select(F.col("rid").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("rid").alias("dst"), F.col("s").alias("s2")), "dst")
+        """Confirmed (src, dst) of stored pairs; dst may be a hub."""
+        with_sets = pairs.join(sets.select(F.col("rid").alias("src"), F.col("s").alias("s1")), "src")
+        with_sets = _spread_join(with_sets, pairs, "dst", "src", sets.select(F.col("rid").alias("dst"), F.col("s").alias("s2")))
         return Stored(with_sets.select("src", "dst", "s1", "s2").mapInArrow(confirm, "src bigint, dst bigint"), label).df
 
     def placed(found: DataFrame | None) -> DataFrame:
@@ -203,20 +222,34 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         ranked = rest.join(known.select("rep", "meets"), "rep").groupBy("band", "key").agg(F.max(F.struct(rank.alias("x"), (-F.col("rep")).alias("r"), F.col("component").alias("hub_component"))).alias("h"))
         hubs = ranked.select("band", "key", (-F.col("h.r")).alias("hub"), "h.hub_component")
         tried = rest.join(hubs, ["band", "key"]).where("component != hub_component").select("rep", "hub").distinct()
-        a, b = known.alias("a"), known.alias("b")
-        passed = tried.join(a, F.col("a.rep") == tried["rep"]).join(b, F.col("b.rep") == F.col("hub")).where(near("a", "b"))
-        confirmed = links(passed.select(F.col("a.rep").alias("src"), F.col("hub").alias("dst")), "hub-links")
+        tried = Stored(tried, "tried").df
+        mine = known.select("rep", F.struct("n", "sig").alias("a"))
+        theirs = known.select(F.col("rep").alias("hub"), F.struct("n", "sig").alias("b"))
+        met = _spread_join(tried.join(mine, "rep"), tried, "hub", "rep", theirs)
+        passed = Stored(met.where(near("a", "b")).select(F.col("rep").alias("src"), F.col("hub").alias("dst")), "passed").df
+        confirmed = links(passed, "hub-links")
         found = confirmed if found is None else found.unionByName(confirmed)
         rest = placed(found)
 
-    # what is left is confirmed within the join, so that it gives links only; each pair in its first shared band
-    full_rows = rest.join(known.select("rep", "n", "sig", "keys"), "rep").join(sets.select(F.col("rid").alias("rep"), "s"), "rep")
-    a, b = full_rows.alias("a"), full_rows.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-    first_shared = F.array_position(F.zip_with(F.col("a.keys"), F.col("b.keys"), lambda x, y: x == y), True) == F.col("a.band") + 1
+    # what is left, in blocks: members outside a bucket's largest component against all of it, BLOCK by BLOCK members a key
+    sizes = rest.groupBy("band", "key", "component").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.sum("c").alias("m"), F.max_by("component", "c").alias("largest"), F.max("c").alias("c"))
+    sizes = sizes.select("band", "key", "largest", F.ceil(F.col("m") / BLOCK).cast("int").alias("all_parts"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("own_parts"))
+    placed_rows = Stored(rest.join(sizes, ["band", "key"]).join(known.select("rep", "n", "sig"), "rep"), "rest-rows").df
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = placed_rows.where("component != largest").withColumn("i", part("own_parts")).withColumn("j", each("all_parts"))
+    right = placed_rows.withColumn("j", part("all_parts")).withColumn("i", each("own_parts"))
+    meet = ["band", "key", "i", "j"]
+    left, right = (d.select(*meet, "rep", "component", "largest", "n", "sig") for d in (left, right))
+    a, b = left.alias("a"), right.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in meet])
+    other = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.largest")) | (F.col("a.rep") < F.col("b.rep")))
+    # on signatures alone, and as semi-joins: rows that have any partner left, never pairs
+    sides = [Stored(x.join(y, same & other & near("a", "b"), "left_semi"), "rest-near").df for x, y in ((a, b), (b, a))]
+    a, b = (d.join(sets.select(F.col("rid").alias("rep"), "s"), "rep").alias(n) for d, n in zip(sides, "ab"))
     both = F.size(F.array_intersect(F.col("a.s"), F.col("b.s")))
-    linked = F.when(near("a", "b") & first_shared, 100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)).otherwise(False)
-    second = Stored(a.join(b, same & linked).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")), "rest-links").df
+    linked = F.when(other & near("a", "b"), 100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)).otherwise(False)
+    second = Stored(a.join(b, same & linked).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct(), "rest-links").df
     first = found
 
     parts = Stored(connected_components(first.unionByName(second)).select(F.col("node").alias("rep"), "component"), "components").df
@@ -232,6 +265,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows and columns, one row of each class: the one with the least id, of equal ids the first as read."""
     rid = "__near_dedup_rid"
+    df = settled(df)
     found = Stored(near_duplicate_classes(df, id_col, text_col, **options), "near-classes").df
     keep = found.groupBy("component", F.col("n_shingles") == 0).agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("k")).select(F.col("k.rid").alias(rid))
     return df.withColumn(rid, F.monotonically_increasing_id()).join(keep, rid, "left_semi").drop(rid)

@@ -1,11 +1,11 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
-P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all thresholds theta_1 < theta_2; the severity is
-the expected grade, the sum of these probabilities. Features are the words whose presence differs most between toxic
+P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all thresholds theta_1 < theta_2 < ...; the severity
+is the expected grade, the sum of these probabilities. Features are the words whose presence differs most between toxic
 and other labelled texts (G-test) and that lean to the toxic ones, as log(1 + occurrences): words and beginnings of words.
 
-Labels are binary; grades come from them in two steps: non-toxic rows are grade 0, and toxic rows are grade 2 if
-they hold more occurrences of toxic-leaning features than the median toxic row, else grade 1.
+Grades are the values that the labels hold: 0 for harmless, 1, 2, ... for degrees. There are as many thresholds as
+the labels support, so binary labels give one, and a severity between 0 and 1; no grade is made up.
 
 Fitting reads a bounded sample of labelled rows, at most ``max_rows`` (those with the least seeded hash of their id);
 texts are tokenised by the executors, and only counts of the selected features reach the driver, where the model is
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import Stored, col, pick
 
-MAX_ROWS, MAX_FEATURES, LEAST_G = 20_000, 500, 20.0
-GRADES = 3
+MAX_ROWS, MAX_FEATURES, LEAST_G = 20_000, 500, 11.0
+#: Grades above 0 that labels may hold.
+MOST_GRADES = 16
 #: Rows with this probability of any toxicity or more are rejected.
 REJECT_AT = 0.5
 
@@ -68,7 +69,7 @@ class OrdinalModel:
     def probabilities(self, text: str) -> list[float]:
         """P(grade >= k) for k = 1, 2, ..."""
         if not self.thresholds:
-            return [0.0] * (GRADES - 1)
+            return [0.0]
         found: Counter = Counter()
         lengths = self.prefixes()
         for w, c in Counter(_WORD.findall(text.lower())).items():
@@ -112,9 +113,11 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: in
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, seed: int = 5) -> OrdinalModel:
-    known = pick(labels, label_id=label_id_col, toxic=label_col).where("label_id IS NOT NULL AND toxic IS NOT NULL").groupBy("label_id").agg((F.max(F.col("toxic")) > 0).cast("int").alias("toxic"))
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    known = pick(labels, label_id=label_id_col, toxic=label_col).where("label_id IS NOT NULL AND toxic IS NOT NULL").groupBy("label_id").agg(F.greatest(F.max(F.col("toxic")), F.lit(0)).cast("int").alias("toxic"))
+    known = known.join(docs.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi")  # labels without a document don't use up the bound
     sample = Stored(known.orderBy(F.xxhash64(F.lit(seed), "label_id"), "label_id").limit(max_rows), "toxicity-sample").df
-    rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text")  # at most max_rows ids
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text")  # at most max_rows ids
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +128,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 words += own
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(words, pa.string())], names=["toxic", "word"])
 
-    n_all, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n_all, n_toxic, most = rows.agg(F.count("*"), F.count_if(F.col("toxic") > 0), F.coalesce(F.max("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n_all:
         return OrdinalModel()
-    df = rows.select("toxic", "text").mapInArrow(present, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    if most > MOST_GRADES:
+        raise ValueError(f"grades above {MOST_GRADES}")
+    df = rows.select("toxic", "text").mapInArrow(present, "toxic int, word string").groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count("*").alias("n"))
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     n_a, n_b = float(n_toxic), float(n_all - n_toxic)
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
@@ -152,16 +157,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     counts = np.zeros((len(data), len(names)), np.float32)
     for r, row in enumerate(data):
         counts[r, row["at"]] = row["n"]
-    toxic, weight = np.array([row["toxic"] for row in data]), np.array([row["count"] for row in data])
-    hits = counts.sum(axis=1)
-    own = (toxic == 1) & (hits > 0)
-    some = np.repeat(hits[own], weight[own])
-    cut = float(np.median(some)) if len(some) else 0.0
-    grade = np.where(toxic == 0, 0, np.where(hits > cut, 2, 1))
-    if not (grade == 2).any() or not (grade == 1).any():
-        grade = np.where(toxic == 0, 0, np.where(np.arange(len(toxic)) % 2, 2, 1))
-    weights, cuts = fit_ordinal(np.log1p(counts), grade, weight, GRADES)
-    return OrdinalModel({w: float(x) for w, x in zip(names, weights)}, tuple(float(c) for c in cuts))
+    grade, weight = np.array([row["toxic"] for row in data]), np.array([row["count"] for row in data])
+    held = np.unique(grade)  # grades without a label have no threshold of their own
+    weights, cuts = fit_ordinal(np.log1p(counts), np.searchsorted(held, grade), weight, len(held))
+    steps = np.diff(held, prepend=held[0])[1:]
+    thresholds = tuple(float(c) for c, n in zip(cuts, steps) for _ in range(n))
+    return OrdinalModel({w: float(x) for w, x in zip(names, weights)}, thresholds)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sievelake.llm import html_blocks, mixing, near_dedup, packing, quality_rules, quotations, secrets, toxicity
+from sievelake.llm import html_blocks, mixing, near_dedup, packing, quality_rules, quotations, secrets
 from sievelake.llm.block_dedup import exact_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid bigint, `a.b` string"
@@ -199,19 +199,6 @@ def test_quality(docs, empty):
     assert quality_rules.score_quality(empty).count() == 0
 
 
-def test_toxicity(spark, empty):
-    rng = random.Random(1)
-    rows = [(i, words(rng, 30) + (" awful nastyword" * (1 + i % 3) if i % 4 == 0 else "")) for i in range(300)]
-    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(1, None)], "doc_id long, toxic int")
-    model = toxicity.fit_toxicity(docs, labels)
-    assert model.thresholds[0] < model.thresholds[1]
-    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
-    assert all(got[i].rejected == (i % 4 == 0) for i in range(200, 300)) and not got[None].rejected
-    assert toxicity.drop_toxic(docs, labels).count() == 301 - 75
-    assert toxicity.fit_toxicity(docs, labels.where("toxic = 0")).thresholds == ()
-
-
 def test_quotations(spark):
     rows = [(1, 0, "a", "Hello there\nworld\n\nsecond para"), (1, 1, "b", "mine own"), (1, 2, "c", "A wrote:\n> hello  there\n> world\n\nYes!\n>> deep"), (2, 0, "d", "> Second para\nok"), (None, None, None, None)]
     got = {(r.conv_id, r.position): r for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.sources.shared import Stored
 
-__all__ = ["WORD_SPLIT", "Stored", "col", "pick", "settled", "table"]
+__all__ = ["WORD_SPLIT", "Stored", "col", "pick", "release", "settled", "table"]
 
 #: Fixed value of the task contract: a word is a run of anything but ASCII white space.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -42,3 +42,11 @@ def settled(df: DataFrame) -> DataFrame:
             break
         plan, steady = children.apply(0), steady and children.size() == 1
     return df if steady else Stored(df, "settled").df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

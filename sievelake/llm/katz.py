@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Stored, pick, settled
+from sievelake.llm.common import Stored, pick, release, settled
 
 GT_MOST, CHUNK_BYTES, HOT_TOKENS = 5, 6 << 20, 4 << 20
 #: Tokens that no word can equal, as words hold no white space.
@@ -79,6 +79,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """The same integers in four bytes each, where they fit."""
+    return a.astype(np.int32) if len(a) == 0 or -(1 << 31) <= int(a.min()) and int(a.max()) < 1 << 31 else a
+
+
 def dense(*columns: np.ndarray) -> np.ndarray:
     """One integer per row that orders rows by the columns, first column first."""
     out, size = np.zeros(len(columns[0]), np.int64), 1
@@ -408,12 +413,16 @@ def _gather(blocks: DataFrame, id_type: pa.DataType) -> DataFrame:
                 w2 = np.cumsum(w2)
                 bigram = np.cumsum((np.diff(w2, prepend=-1) != 0) | (np.diff(w3, prepend=-1) != 0)) - 1
                 for held, x in zip(columns, (w2, w3, w1, tag, c1[bigram], np.full(len(w2), place))):
-                    held.append(x)
-            w2, w3, w1, tag, c1, chunk = (np.concatenate(c) for c in columns)
-            columns.clear()
+                    held.append(small(x))
+            del own
+            w1, w3, w2 = np.concatenate(columns[2]), np.concatenate(columns[1]), np.concatenate(columns[0])
+            del columns[:3]
             code = dense(w2, w3, w1)
             order = np.argsort(code)
             starts = _runs(code[order])
+            del code
+            tag, c1, chunk = (np.concatenate(c) for c in columns)
+            columns.clear()
             c3 = np.add.reduceat(tag[order] & 1, starts)
             tri = order[starts]
             t1, t2, t3 = w1[tri], w2[tri], w3[tri]
@@ -552,8 +561,9 @@ def score_katz(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
     answers = Stored(_number_words(_word_blocks(docs, parts, chunk_bytes), parts, hot), "katz-words").df
     uni = Unigrams.of({r["r"]: r["n"] for r in answers.where("part IS NULL").groupBy("r").agg(F.sum("n").alias("n")).collect()})  # GT_MOST + 3 rows
     told = answers.where("part IS NOT NULL").select("part", "chunk", "answer")
-    blocks = _deal_tokens(_streams(docs, id_type, parts, chunk_bytes), told, id_type, parts, uni)
-    held = Stored(_gather(blocks, id_type), "katz-held", ("kind",)).df
+    release(spark)
+    held = Stored(_gather(_deal_tokens(_streams(docs, id_type, parts, chunk_bytes), told, id_type, parts, uni), id_type), "katz-held", ("kind",)).df
+    release(spark)
     n = {(r["c"], r["w1"]): r["x"] for r in held.where(F.col("kind") == COUNTS).groupBy("c", "w1").agg(F.sum("x").alias("x")).collect()}  # 2 * (GT_MOST + 1) rows
     n2, n3 = ({r: n.get((order, r), 0) for r in range(1, GT_MOST + 2)} for order in (2, 3))
     is_open = not held.where(F.col("kind") == BIGRAMS).isEmpty()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Stored, pick
+from sievelake.llm.common import Stored, pick, settled
 
 BLOCK_BYTES = 2048
 
@@ -74,7 +74,7 @@ def block_identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: rid, doc_id, sha (of the lower-cased text), level, name. Equal (level, name): equal texts."""
     if block_bytes < 1:
         raise ValueError("block_bytes must be positive")
-    docs = pick(df, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    docs = pick(settled(df), doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     every = f"rid bigint, doc_id {id_type}, sha string, n int, pos int, block binary"
     route = F.xxhash64("block").alias("h")
@@ -127,5 +127,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without exact copies."""
     rid = "__block_dedup_rid"
+    df = settled(df)
     kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col("rid").alias(rid))
     return df.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import WORD_SPLIT, Stored, col, pick
+from sievelake.llm.common import WORD_SPLIT, Stored, col, pick, settled
 
 #: The conjugate golden ratio, and the fraction of 2^20 times it. Slot k = a * 2^20 + b is at
 #: frac(a * PHI_RUN + b * PHI), so that doubles stay exact enough for any schedule below 2^40 slots.
@@ -34,6 +34,8 @@ PHI, PHI_RUN = 0.6180339887498949, 0.607787409740351
 RUN = 1 << 20
 #: Slots ranked, and rows laid end to end, in one window at most, about.
 RANKED_TOGETHER = 1 << 16
+#: Buckets of each source at least, so that a source with a third of few rows is still dealt to many tasks.
+LEAST_BUCKETS = 512
 
 
 def word_count(text: Column) -> Column:
@@ -70,10 +72,10 @@ def mix_sources(
     ``rid`` numbers the rows of ``df`` as read. ``taken`` counts repeats: taken div size whole passes, then the
     document's first taken mod size words, since blocks are taken in order.
     """
-    docs = pick(df, doc_id=id_col, text=text_col, source=source_col)
+    docs = pick(settled(df), doc_id=id_col, text=text_col, source=source_col)
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", word_count(F.col("text")).cast("bigint").alias("size"))
     sized = Stored(docs.withColumn("at", F.xxhash64(F.lit(seed), "rid")), "sizes").df
-    buckets = max(16, -(-sized.count() // RANKED_TOGETHER) * 4)
+    buckets = max(LEAST_BUCKETS, -(-sized.count() // RANKED_TOGETHER) * 4)
     sized = sized.withColumn("bucket", F.pmod("at", F.lit(buckets)))
 
     # sources, targets, blocks and quotas: one row per source
@@ -138,12 +140,24 @@ def schedule(per_source: DataFrame) -> DataFrame:
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``df`` as the mix takes them: once for each whole pass, and once with the first words of a part."""
     rid = "__mix_rid"
+    df = settled(df)
     mixed = mix_sources(df, id_col, text_col, source_col, **options).where("taken > 0")
     takes = mixed.select(F.col("rid").alias(rid), F.expr("taken div size").alias("__mix_whole"), (F.col("taken") % F.col("size")).alias("__mix_part"))
     rows = df.withColumn(rid, F.monotonically_increasing_id()).join(takes, rid)
-    words = F.filter(F.split(col(df, text_col), WORD_SPLIT), lambda w: w != "")
-    part = F.array_join(F.slice(words, 1, F.col("__mix_part").cast("int")), " ")
     passes = F.concat(F.array_repeat(F.lit(False), F.col("__mix_whole").cast("int")), F.array_repeat(F.lit(True), (F.col("__mix_part") > 0).cast("int")))
     rows = rows.withColumn("__mix_cut", F.explode(passes))
-    text = F.when(F.col("__mix_cut"), part).otherwise(col(df, text_col))
+    text = F.when(F.col("__mix_cut"), first_words(col(df, text_col), F.col("__mix_part").cast("int"))).otherwise(col(df, text_col))
     return rows.select(*[text.alias(c) if c == text_col else col(df, c) for c in df.columns])
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it was.
+
+    Pieces between runs of white space and the runs themselves are as many but for one, so the length of the first pieces
+    plus that of the first runs is where the cut comes.
+    """
+    pieces = F.split(text, WORD_SPLIT)
+    runs = F.regexp_extract_all(text, F.lit(WORD_SPLIT), F.lit(0))
+    lead = (F.get(pieces, F.lit(0)) == "").cast("int")  # white space before the first word
+    length = lambda a, k: F.aggregate(F.slice(a, 1, k), F.lit(0), lambda s, x: s + F.length(x))
+    return F.substring(text, F.lit(1), length(pieces, n + lead) + length(runs, n + lead - 1))

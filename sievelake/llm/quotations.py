@@ -16,12 +16,18 @@ such a part, else elsewhere. Parts of less than LEAST_PART characters count only
 A message replies to the message of its longest linked passage of the lowest level; one without links
 replies to the message before it.
 
+Reply order. A message that replies to one of its own conversation by a link starts a branch, one level deeper than what
+it quotes; messages after it without such a link stay in its branch. Messages are ordered by level, then position, so
+each comes after what it answers and a conversation is read breadth first. Levels come from doubling: every round a
+branch looks as far up again as it has so far, so rounds are the logarithm of the nesting.
+
 A conversation may hold a third of all rows, so positions are two-level ranks (runs of turns, then rows within), and
 no conversation is gathered into one row or task. Replies come after what they answer, since a link always points to
 an earlier position or another conversation.
 
 Defined results: null text is empty; null conversation ids form one conversation; null turns come last; equal turns are
-ordered by role and text; repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
+ordered by role and text; turns in strings are ordered by their number, those that are none after all numbers; repeated
+rows stay repeated; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Stored, pick
+from sievelake.llm.common import Stored, pick, settled
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"'”’»)\]])\s+|(?<=[。！？])")
 LEAST_PART = 8
-_ATTRIBUTION = re.compile(r".{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
+_ATTRIBUTION = re.compile(r"\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:$", re.IGNORECASE)
 
 
 def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -65,7 +71,7 @@ def split_lines(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     for i, line in enumerate(lines):
         m = _MARKS.match(line)
         at, body = (m[1].count(">"), line[m.end() :]) if m else (0, line)
-        if not m and _ATTRIBUTION.match(line):
+        if not m and (said := line.rstrip()).endswith(":") and _ATTRIBUTION.search(said):
             after = next((x for x in lines[i + 1 : i + 3] if x.strip()), "")
             if _MARKS.match(after):
                 continue
@@ -95,8 +101,9 @@ def part_keys(lines: list[str]) -> list[bytes]:
 
 
 def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", run_turns: int = 256) -> DataFrame:
-    """conv_id, position, turn, role, text (own), parent_conv, parent_position, n_quotes, n_linked for every message."""
-    rows = pick(df, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
+    """conv_id, position, turn, role, text (own), parent_conv, parent_position, n_quotes, n_linked, reply_level, reply_order
+    (0, 1, ... within the conversation) for every message."""
+    rows = pick(settled(df), conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
     schema = rows.schema
     kinds = {c: schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")}
 
@@ -112,15 +119,17 @@ def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "text", "rid", "passages"])
 
     parsed = rows.mapInArrow(parse, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, text string, rid bigint, passages array<struct<level: int, key: binary, size: bigint, parts: array<binary>>>")
-    parsed = parsed.withColumn("run", F.coalesce(F.floor(F.col("turn") / run_turns), F.lit((1 << 62))))
+    number = F.expr("try_cast(turn AS double)") if kinds["turn"] == "string" else F.col("turn").cast("double")
+    number = F.when(~F.isnan(number), number)
+    parsed = parsed.withColumn("number", number).withColumn("run", F.coalesce(F.floor(F.col("number") / run_turns), F.lit((1 << 62))))
     parsed = Stored(parsed, "messages").df
 
     # positions: rows of earlier runs of turns, then rank within the run
     per_run = parsed.groupBy("conv_id", "run").agg(F.count("*").alias("n"))
     base = per_run.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), (F.sum("n").over(W.partitionBy("conv_id").orderBy("run")) - F.col("n")).alias("base"))
-    order = W.partitionBy("conv_id", "run").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), "text", "rid")
+    order = W.partitionBy("conv_id", "run").orderBy(F.col("number").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), "text", "rid")
     placed = parsed.withColumn("inside", F.row_number().over(order) - 1).join(base, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
-    placed = Stored(placed.withColumn("position", F.col("base") + F.col("inside")).select("rid", "conv_id", "turn", "role", "text", "position", "passages"), "placed").df
+    placed = Stored(placed.withColumn("position", F.col("base") + F.col("inside")).select("rid", "conv_id", "turn", "role", "text", "run", "position", "passages"), "placed").df
 
     # one row for each key of a passage: its own has rank 0, its parts follow from the longest on
     passages = placed.select("rid", "conv_id", "position", F.posexplode("passages").alias("number", "p"))
@@ -142,16 +151,52 @@ def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     links = links.groupBy("rid", "number", "level", "size").agg(nearest).select("rid", "level", "size", "nearest.to")
     best = F.max(F.when(F.col("to").isNotNull(), F.struct((-F.col("level")).alias("level"), "size", F.col("to.conv").alias("conv"), F.col("to.at").alias("at"))))
     chosen = links.groupBy("rid").agg(best.alias("best"), F.count("*").alias("n_quotes"), F.count("to").alias("n_linked"))
-    out = placed.join(chosen, "rid", "left")
     linked = F.col("best").isNotNull()
-    return out.select(
+    out = placed.join(chosen, "rid", "left").select(
         "conv_id",
         "position",
         "turn",
         "role",
         "text",
+        "run",
         F.when(linked, F.col("best.conv")).when(F.col("position") > 0, F.col("conv_id")).alias("parent_conv"),
         F.when(linked, F.col("best.at")).when(F.col("position") > 0, F.col("position") - 1).alias("parent_position"),
         F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
+        (linked & F.col("best.conv").eqNullSafe(F.col("conv_id"))).alias("branches"),
     )
+    return reply_order(Stored(out, "linked").df).drop("run", "branches")
+
+
+def reply_order(linked: DataFrame) -> DataFrame:
+    """Adds reply_level and reply_order to conv_id, position, run (of positions), parent_position, branches."""
+    inside = W.partitionBy("conv_id", "run").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    start = F.when(F.col("branches"), F.col("position"))
+    if linked.where("branches").isEmpty():
+        rows = linked.withColumn("reply_level", F.lit(0).cast("bigint"))
+    else:
+        # a message's branch begins at the last start up to it: in its run, else in the runs before
+        last = linked.groupBy("conv_id", "run").agg(F.max(start).alias("last"))
+        before = F.max("last").over(W.partitionBy("conv_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1))
+        last = last.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), before.alias("before"))
+        rows = linked.join(last, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r"))).drop("c", "r")
+        rows = Stored(rows.withColumn("branch", F.coalesce(F.max(start).over(inside), "before", F.lit(0).cast("bigint"))).drop("before"), "branches").df
+        # edges: a branch and the branch of what it answers; 0 is the conversation's own
+        asked = rows.where("branches").select(F.col("conv_id").alias("c"), F.col("position").alias("node"), F.col("parent_position").alias("at"))
+        edges = asked.join(rows.select("conv_id", "position", F.col("branch").alias("up")), F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("at") == F.col("position")))
+        held = Stored(edges.select("c", "node", "up", F.lit(1).cast("bigint").alias("level")), "levels")
+        while not held.df.where("up > 0").isEmpty():
+            far = held.df.select(F.col("c").alias("d"), F.col("node").alias("from"), F.col("up").alias("further"), F.col("level").alias("more"))
+            step = held.df.join(far, F.col("c").eqNullSafe(F.col("d")) & (F.col("up") == F.col("from")), "left")
+            after = Stored(step.select("c", "node", F.coalesce("further", F.lit(0).cast("bigint")).alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
+            held.drop()
+            held = after
+        levels = held.df.select("c", "node", F.col("level").alias("reply_level"))
+        rows = rows.join(levels, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("branch") == F.col("node")), "left").drop("c", "node", "branch")
+        rows = Stored(rows.withColumn("reply_level", F.coalesce("reply_level", F.lit(0).cast("bigint"))), "levelled").df
+    cells = rows.groupBy("conv_id", "reply_level", "run").agg(F.count("*").alias("n"))
+    base = F.sum("n").over(W.partitionBy("conv_id").orderBy("reply_level", "run")) - F.col("n")
+    cells = cells.select(F.col("conv_id").alias("c"), F.col("reply_level").alias("l"), F.col("run").alias("r"), base.alias("base"))
+    rank = F.row_number().over(W.partitionBy("conv_id", "reply_level", "run").orderBy("position")) - 1
+    out = rows.withColumn("rank", rank).join(cells, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("reply_level") == F.col("l")) & (F.col("run") == F.col("r")))
+    return out.withColumn("reply_order", F.col("base") + F.col("rank")).drop("rank", "c", "l", "r", "base")

@@ -454,20 +454,6 @@ def connected_components_query(spark, sf_dir):
     return connected_components(fingerprint_edges(spark, sf_dir))
 
 
-@query("""WITH f AS (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 200) AS fp FROM documents),
-d AS (SELECT fp, min(doc_id) AS id FROM f WHERE length(fp) >= 18 GROUP BY fp)
-SELECT a.id AS src, b.id AS dst, round(1 - levenshtein(a.fp, b.fp) / greatest(length(a.fp), length(b.fp)), 6) AS similarity FROM d a JOIN d b ON substr(a.fp, 1, 18) = substr(b.fp, 1, 18) AND a.id < b.id
-WHERE 1 - levenshtein(a.fp, b.fp) / greatest(length(a.fp), length(b.fp)) >= 0.82""")
-def prefix_levenshtein_pairs(spark, sf_dir):
-    """Distinct fingerprints only, so that copies do not multiply; blocked by their first 18 characters."""
-    f = _read(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 200).alias("fp")).where(F.length("fp") >= 18)
-    d = f.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("block", F.substring("fp", 1, 18))
-    a, b = d.alias("a"), d.alias("b")
-    similarity = 1 - F.levenshtein(F.col("a.fp"), F.col("b.fp")) / F.greatest(F.length("a.fp"), F.length("b.fp"))
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & (similarity >= 0.82))
-    return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), _r(similarity).alias("similarity"))
-
-
 def _gram_sql(c: str) -> str:
     return f"SELECT conv_id, turn, n, g, count(*) AS c FROM (SELECT conv_id, turn, n, unnest(CASE WHEN len({c}) >= n THEN list_transform(range(1, len({c}) - n + 2), lambda i: array_to_string({c}[i : i + n - 1], ' ')) ELSE [] END) AS g FROM pr, range(1, 5) t(n)) GROUP BY ALL"
 
@@ -518,3 +504,6 @@ SELECT query_doc_id, ref_doc_id, round(avg(m), 6) AS score FROM d GROUP BY ALL""
 def token_bag_maxsim(spark, sf_dir):
     bags = _read(spark, sf_dir, "embeddings").select(F.concat(F.lit("d"), F.expr("vec_id div 5")).alias("doc"), "vec_id", F.col("embedding").alias("v"))
     return R.mean_max_similarity(R.shortlist(_retrieval(spark, sf_dir)), bags).withColumn("score", _r("score"))
+
+
+from sievelake.plans import catalogue_sets  # noqa: E402, F401  registers its queries here

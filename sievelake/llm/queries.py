@@ -87,4 +87,17 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    # inverted lists of shingles, then everything reachable over links
+    "op5_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' '))) END AS shingles FROM d),
+        s AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM g),
+        links AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        edges AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links),
+        reach(node, seen) AS (SELECT src, dst FROM edges UNION SELECT r.node, e.dst FROM reach r JOIN edges e ON r.seen = e.src),
+        least AS (SELECT node, min(seen) AS seen FROM reach GROUP BY node)
+        SELECT doc_id, len(shingles) AS n_shingles, least(doc_id, coalesce(seen, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(seen, doc_id)) AS kept
+        FROM g LEFT JOIN least ON node = doc_id""",
 }

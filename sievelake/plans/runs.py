@@ -184,6 +184,28 @@ def search_chunks(refs: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
     return R.top_k(q, r, k).drop("query_id", "ref_id")
 
 
+def set_vectors(spark: SparkSession, cfg: RunConfig, path: str, make: Callable[[DataFrame], DataFrame], set_name: str) -> tuple[DataFrame, dict, str]:
+    """(table, config, cached or live) of a whole prepared set, made once whatever the split; ``make`` takes its docs."""
+    if S.is_cached(spark, path):
+        return *S.load_vectors(spark, path), "cached"
+    with timer() as t:
+        made = Stored(make(S.load_prepared_set(spark, cfg.prepared_dir, set_name)), "set-vectors")
+    over = made.df.agg(F.count_if("overflow").alias("n")).first()["n"] if "overflow" in made.df.columns else 0
+    config = S.save_vectors(made.df, path, {"encode_sec": t.sec, "n_overflow": over})
+    made.drop()
+    return spark.read.parquet(f"{path}/table"), config, "live"
+
+
+def _union_of_sets(spark: SparkSession, cfg: RunConfig, path_of: Callable[[str], str], make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[tuple[str, DataFrame, dict, str]]]:
+    """The run's sets one after another, the first row of each doc_id (or chunk_id) standing; and each by itself."""
+    held = [(name, *set_vectors(spark, cfg, path_of(name), make, name)) for name in (cfg.originals, *cfg.variants)]
+    key = "chunk_id" if "chunk_id" in held[0][1].columns else "doc_id"
+    every = held[0][1]
+    for _, table, _, _ in held[1:]:
+        every = every.unionByName(table.join(every.select(key), key, "left_anti"))
+    return every, held
+
+
 def pooled_votes(refs: DataFrame, queries: DataFrame, cfg: RunConfig, k: int = 50) -> DataFrame:
     """Votes by the mean of each document's chunk vectors, which must not be normalised before."""
     vectors = lambda docs: R.pool_by_doc(X.encode_chunks(chunks_of(docs, cfg), encoder_of(cfg)).withColumnRenamed("embedding", "vector"))
@@ -196,14 +218,47 @@ def longctx_votes(refs: DataFrame, queries: DataFrame, encoder: X.Encoder, token
     return R.doc_vector_maxsim(vectors(refs), vectors(queries), k)
 
 
-def token_bag_votes(refs: DataFrame, queries: DataFrame, encoder: X.TokenEncoder, tokenizer: X.Tokenizer, shortlist: int = 32) -> DataFrame:
-    """Votes by late interaction. Stage one: each query chunk names the reference chunk of the best mean of maxima, and a query's
-    ``shortlist`` most named documents stay. Stage two: the same mean over the documents' whole bags, exactly.
+def longctx_method(spark: SparkSession, cfg: RunConfig, encoder: X.Encoder, tokenizer: X.Tokenizer, long_doc: str, most: int, dtype: str = "float32", k: int = 50):
+    """longctx_votes over vectors of whole prepared sets that are kept from run to run, picked by document.
 
-    Query documents without a token get no row. Bags stay one row a chunk; maxima are taken chunk by chunk and joined by
-    plain grouped maxima, so no document's bag is gathered.
+    A set's seconds count by the share of its documents that a side uses; searching counts as inference, encoding of
+    queries too.
     """
+
+    def method(refs: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict]:
+        make = lambda docs: X.long_context_vectors(docs, encoder, tokenizer, most, long_doc)
+        every, held = _union_of_sets(spark, cfg, lambda name: S.longctx_dir(cfg.artifacts_dir, encoder.name, name, long_doc, most, dtype), make)
+        pick = lambda docs: docs.select("doc_id", "family_id").join(every.select("doc_id", "vector"), "doc_id")
+        with timer() as search:
+            votes = Stored(R.doc_vector_maxsim(pick(refs), pick(queries), k), "votes").df
+        per_set = None
+        for name, table, config, _ in held:
+            one = table.select(F.lit(name).alias("set_name"), "doc_id", F.lit(float(config["encode_sec"])).alias("sec"))
+            per_set = one if per_set is None else per_set.unionByName(one)
+        ref_sec, query_sec = (prorated_seconds(per_set, docs).first()["sec"] for docs in (refs, queries))
+        timing = {
+            "long_doc": long_doc, "model_name": encoder.name, "max_seq_length": most, "embed_source": combined_source([h[3] for h in held]), "n_overflow_sets": sum(h[2]["n_overflow"] for h in held),
+            "ref_encode_sec": ref_sec, "query_encode_sec": query_sec, "search_sec": search.sec, "build_sec": ref_sec, "inference_total_sec": query_sec + search.sec,
+        }
+        return votes, timing
+
+    return method
+
+
+def token_bag_votes(refs: DataFrame, queries: DataFrame, encoder: X.TokenEncoder, tokenizer: X.Tokenizer, shortlist: int = 32) -> DataFrame:
+    """Votes by late interaction, from texts: see bag_votes."""
     r, q = (Stored(X.token_vectors(d, encoder, tokenizer, n, asked), "token-vectors").df for d, n, asked in ((refs, REF_TOKENS, False), (queries, QUERY_TOKENS, True)))
+    return bag_votes(refs, queries, r, q, shortlist)
+
+
+def bag_votes(refs: DataFrame, queries: DataFrame, r: DataFrame, q: DataFrame, shortlist: int = 32) -> DataFrame:
+    """Votes from token vectors by chunk (chunk_id, doc_id, tokens) of references and queries.
+
+    Stage one: each query chunk names the reference chunk of the best mean of maxima, and a query's ``shortlist`` most
+    named documents stay. Stage two: the same mean over the documents' whole bags, exactly. Query documents without a
+    token get no row. Bags stay one row a chunk; maxima are taken chunk by chunk and joined by plain grouped maxima, so
+    no document's bag is gathered.
+    """
     named = R.block_top(
         q.select(F.col("chunk_id").alias("query_id"), F.col("doc_id").alias("query_doc_id"), F.col("tokens").alias("qt")), r.select(F.col("chunk_id").alias("ref_id"), F.col("doc_id").alias("ref_doc_id"), F.col("tokens").alias("rt")),
         R.mean_of_maxima, 1, ("qt",), ("rt",), block_rows=256,
@@ -216,6 +271,23 @@ def token_bag_votes(refs: DataFrame, queries: DataFrame, encoder: X.TokenEncoder
     return V.family_votes(scored.join(families, "ref_doc_id"), asked, "family")
 
 
+def token_bag_method(spark: SparkSession, cfg: RunConfig, encoder: X.TokenEncoder, tokenizer: X.Tokenizer, shortlist: int = 32):
+    """bag_votes over token vectors of whole prepared sets that are kept from run to run, references' and queries' apart."""
+
+    def method(refs: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict]:
+        seconds, tables = {}, []
+        for docs, n, asked in ((refs, REF_TOKENS, False), (queries, QUERY_TOKENS, True)):
+            make = lambda d, n=n, asked=asked: X.token_vectors(d, encoder, tokenizer, n, asked)
+            every, held = _union_of_sets(spark, cfg, lambda name, n=n, asked=asked: S.token_dir(cfg.artifacts_dir, encoder.name, n, asked, name), make)
+            seconds[asked] = sum(h[2]["encode_sec"] for h in held)
+            tables.append(every.join(docs.select("doc_id"), "doc_id", "left_semi"))
+        with timer() as t:
+            votes = Stored(bag_votes(refs, queries, *tables, shortlist), "votes").df
+        return votes, {"inference_total_sec": seconds[True] + t.sec, "build_sec": seconds[False], "shortlist_k": shortlist}
+
+    return method
+
+
 def _plain(votes: Callable[[DataFrame, DataFrame], DataFrame], **said):
     def method(refs: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict]:
         with timer() as t:
@@ -239,12 +311,12 @@ def _minhash(spark: SparkSession, cfg: RunConfig):
 def _longctx(spark: SparkSession, cfg: RunConfig):
     p = {"long_doc": "truncate", "max_seq_length": 32768, "tokenizer": X.WordTokenizer.new()} | cfg.method_params
     encoder = encoder_of(cfg)
-    return _plain(lambda r, q: longctx_votes(r, q, encoder, p["tokenizer"], p["long_doc"], p["max_seq_length"]), long_doc=p["long_doc"], model_name=encoder.name), f"{encoder.name}__{p['long_doc']}__L{p['max_seq_length']}"
+    return longctx_method(spark, cfg, encoder, p["tokenizer"], p["long_doc"], p["max_seq_length"]), f"{encoder.name}__{p['long_doc']}__L{p['max_seq_length']}"
 
 
 def _colbert(spark: SparkSession, cfg: RunConfig):
     p = {"shortlist_k": 32, "tokenizer": X.WordTokenizer.new(), "encoder": X.HashEncoder()} | cfg.method_params
-    return _plain(lambda r, q: token_bag_votes(r, q, p["encoder"], p["tokenizer"], p["shortlist_k"]), shortlist_k=p["shortlist_k"]), "colbertv2__b2mean"
+    return token_bag_method(spark, cfg, p["encoder"], p["tokenizer"], p["shortlist_k"]), "colbertv2__b2mean"
 
 
 METHOD_BUILDERS: dict[str, Callable[[SparkSession, RunConfig], tuple[Callable, str]]] = {

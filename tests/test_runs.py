@@ -282,6 +282,52 @@ def test_run(spark, prepared, method, params):
         assert {"config.json", "splits_used.parquet", "ref_chunks.parquet", "retrieval_topk.parquet", "errors_by_family.parquet", "fp_pairs.parquet", "index"} <= set(kept)
 
 
+def test_set_vectors_are_kept(spark, prepared):
+    cfg = config(prepared, method="longctx", method_params={"long_doc": "mean_pool", "max_seq_length": 62})
+    again = P.run(spark, cfg)
+    assert again["timing_sec"]["embed_source"] == "cached" and again["timing_sec"]["n_overflow_sets"] == 40
+    _, sets = P.run_query_sets(spark, cfg)
+    plain = P.longctx_votes(sets.reference, sets.queries, X.HashEncoder(64), X.WordTokenizer.new(), "mean_pool", 62)
+    kept = spark.read.parquet(f"{prepared}/artifacts/runs/{cfg.run_ident()}/hashed-words-64__mean_pool__l62/votes.parquet")
+    key = lambda df: {r.query_doc_id: (r.pred_family_id, round(r.confidence, 6)) for r in df.collect()}
+    assert key(plain) == key(kept)
+    bags = P.token_bag_votes(sets.reference, sets.queries, X.HashEncoder(), X.WordTokenizer.new(), 4)
+    cfg = config(prepared, method="colbert", method_params={"shortlist_k": 4})
+    assert key(bags) == key(spark.read.parquet(f"{prepared}/artifacts/runs/{cfg.run_ident()}/colbertv2__b2mean/votes.parquet"))
+
+
+def test_prepare(spark, tmp_path):
+    import zipfile
+
+    from sievelake.operators import variants as M
+    from sievelake.plans import prepare as Z
+
+    out = f"{tmp_path}/prepared"
+    (tmp_path / "r.jsonl").write_text(json.dumps({"name": "a", "fulltext": "the big cat"}))
+    Z.save_keyphrase_set(spark, f"{tmp_path}/r.jsonl", "semeval", out)
+    docs = S.load_prepared_set(spark, out, "semeval_original")
+    Z.save_synonym_set(docs, out, "semeval", 0.1, M.table_synonyms({"big": ["large"]}))
+    Z.save_paraphrase_set(docs, out, "semeval", str.upper, "gpt-5.4")
+    Z.save_controlled_set(docs, out, "semeval", str.title)
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        for v in (1, 2):
+            z.writestr(f"x/docs/p/v{v}.json", json.dumps({"nodes": [{"ntype": "p", "content": f"t{v}"}]}))
+    Z.save_revision_archive_sets(spark, f"{tmp_path}/p.zip", out)
+    (tmp_path / "w.json").write_text(json.dumps({"work_id": "w_fr", "gt_paras": ["g"], "source_paras": [], "translator_data": {"translator_1": {"translator_paras": ["t"]}}}))
+    Z.save_translation_sets(spark, f"{tmp_path}/w.json", out)
+    pairs = spark.createDataFrame([("v1", "s1", "One.", "p", "v2", "s2", "Two.", "p")], "id_version_1 string, `id-sentence-1` string, `text-sentence-1` string, `type-sentence-1` string, id_version_2 string, `id-sentence-2` string, `text-sentence-2` string, `type-sentence-2` string")
+    pairs.write.parquet(f"{tmp_path}/hub/article_pairs/train")
+    spark.createDataFrame([("F", ["v1", "v2"])], "id_forum string, references array<string>").write.parquet(f"{tmp_path}/hub/mapping/train")
+    spark.createDataFrame([("v1", "F", 2.0, None), ("v2", "F", 1.0, None)], "id string, forum string, cdate double, content string").write.parquet(f"{tmp_path}/hub/metadata")
+    Z.save_revision_sets(spark, f"{tmp_path}/hub", out, ("train",))
+    texts = {n: sorted(r.text for r in S.load_prepared_set(spark, out, n).collect()) for n in S.list_prepared_sets(spark, out)}
+    assert texts == {
+        "semeval_original": ["the big cat"], "semeval_original_eda_sr_a10_s42": ["the large cat"], "semeval_original_gpt_para_54_t0_s42": ["THE BIG CAT"], "semeval_original_dipper_lex60_order60_s42": ["The Big Cat"],
+        "re3_v1_only": ["t1"], "re3_v2_only": ["t2"], **{f"par3_{n}{s}": [t] for s in ("", "_split") for n, t in (("gt", "g"), ("human", "t"), ("human_t1", "t"))},
+        "casimir_v1_only_dedup": ["Two."], "casimir_revisions_dedup": ["One."], "casimir_latest_only_dedup": ["One."],
+    }
+
+
 def test_reports(spark, prepared):
     m = report.load_metrics(spark, f"{prepared}/artifacts").cache()
     assert m.count() >= 9 and {r.variant_sets for r in m.collect()} == {"variants"} and {r.inclorig for r in m.collect()} == {True}

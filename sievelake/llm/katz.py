@@ -176,10 +176,11 @@ def _table(names: list[str], types: list[pa.DataType], **columns) -> pa.Table:
 # Step 1: words become integers.
 
 
-def _dealt(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the words' places by part, where each part begins): the order of a chunk's word blocks and of the answers to them."""
-    part = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words)) % parts
-    by = np.argsort(part, kind="stable")
+def _dealt(chunk: Chunk, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' places by part, a chunk's frequent words first, where each part begins): the order of word blocks and of the
+    answers to them."""
+    part = np.fromiter((zlib.crc32(w.encode()) for w in chunk.words.to_pylist()), np.int64, len(chunk.words)) % parts
+    by = np.lexsort((-np.bincount(chunk.ids, minlength=len(part)), part))
     return by, np.searchsorted(part[by], np.arange(parts + 1))
 
 
@@ -190,7 +191,7 @@ def _word_blocks(docs: DataFrame, parts: int, chunk_bytes: int) -> DataFrame:
         import zstandard
 
         for chunk in read_chunks(batches, chunk_bytes):
-            by, bounds = _dealt(chunk.words, parts)
+            by, bounds = _dealt(chunk, parts)
             in_train = np.repeat(chunk.train, chunk.lengths)
             every, train = (np.bincount(x, minlength=len(by))[by] for x in (chunk.ids, chunk.ids[in_train]))
             items = chunk.words.take(pa.array(by)).cast(pa.large_string())
@@ -302,14 +303,16 @@ def _held(id_type: pa.DataType) -> tuple[list[str], list[pa.DataType]]:
 
 
 def _streams(docs: DataFrame, id_type: pa.DataType, parts: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, docs, data: lengths, training flags, token ids): ids are places in the order of the chunk's word blocks."""
+    """(chunk, docs, data: lengths, training flags, token ids): an id is the word's place in its part times parts plus the part, so
+    frequent words have small ids, which pack well."""
     names, types = ["chunk", "docs", "data"], [pa.int64(), pa.list_(id_type), pa.binary()]
 
     def run(batches):
         for c in read_chunks(batches, chunk_bytes):
-            by, _ = _dealt(c.words, parts)
+            by, bounds = _dealt(c, parts)
+            part = np.repeat(np.arange(parts), np.diff(bounds))
             place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
+            place[by] = (np.arange(len(by)) - bounds[part]) * parts + part
             data = pack(c.lengths, c.train.astype(np.int64), place[c.ids])
             yield from _table(names, types, chunk=[c.number], docs=[c.docs.to_pylist()], data=[data]).to_batches()
 
@@ -330,7 +333,11 @@ def _deal_tokens(streams: DataFrame, answers: DataFrame, id_type: pa.DataType, p
             return _table(names, types)
         chunk = stream["chunk"][0].as_py()
         lengths, train, ids = unpack(stream["data"][0].as_py())
-        told = [unpack(a.as_py()) for a in answer.sort_by("part")["answer"]]
+        answer = answer.sort_by("part")
+        told = [unpack(a.as_py()) for a in answer["answer"]]
+        begin = np.zeros(parts, np.int64)
+        begin[answer["part"].to_numpy()] = np.cumsum([0, *(len(t[0]) for t in told[:-1])])
+        ids = begin[ids % parts] + ids // parts
         number, count, is_hot = (np.concatenate([t[k] for t in told]) for k in range(3))
         is_hot = is_hot > 0
         first = np.cumsum(lengths) - lengths
@@ -362,13 +369,13 @@ def _deal_tokens(streams: DataFrame, answers: DataFrame, id_type: pa.DataType, p
         doc = doc[at][order]
         tag = doc * 2 + train[doc]
         starts = np.flatnonzero(np.diff(box, prepend=-1))
-        fresh = np.ones(len(box), bool)  # where another bigram begins
-        fresh[1:] = (np.diff(w2) != 0) | (np.diff(w3) != 0)
-        fresh[starts] = True
-        c1 = count[l3]
+        step = np.where(np.diff(w2, prepend=-1) == 0, np.diff(w3, prepend=0), w3)  # w3 rises within a w2
         data = []
         for a, b in zip(starts, [*starts[1:], len(box)]):
-            data.append(pack(np.diff(w2[a:b], prepend=0), w3[a:b], w1[a:b], tag[a:b], c1[a:b][fresh[a:b]]))
+            step[a] = w3[a]
+            words = np.unique(l3[a:b])
+            words = words[np.argsort(number[words])]
+            data.append(pack(np.diff(w2[a:b], prepend=0), step[a:b], w1[a:b], tag[a:b], count[words]))
         blocks = _table(names, types, kind=box[starts] % 3, part=box[starts] // 3, x=np.full(len(starts), chunk), data=data)
         return pa.concat_tables([blocks, _table(names, types, kind=[HEAD], part=[chunk % parts], x=[chunk], docs=[stream["docs"][0].as_py()], data=[head])])
 
@@ -409,10 +416,13 @@ def _gather(blocks: DataFrame, id_type: pa.DataType) -> DataFrame:
             columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             chunks, at = np.unique(own["x"].to_numpy(), return_inverse=True)
             for place, data in zip(at, own["data"]):
-                w2, w3, w1, tag, c1 = unpack(data.as_py())
-                w2 = np.cumsum(w2)
-                bigram = np.cumsum((np.diff(w2, prepend=-1) != 0) | (np.diff(w3, prepend=-1) != 0)) - 1
-                for held, x in zip(columns, (w2, w3, w1, tag, c1[bigram], np.full(len(w2), place))):
+                w2, step, w1, tag, counts = unpack(data.as_py())
+                fresh = w2 > 0
+                fresh[0] = True
+                w2, total = np.cumsum(w2), np.cumsum(step)
+                w3 = total - (total - step)[fresh][np.cumsum(fresh) - 1]  # sums within runs of one w2
+                c1 = counts[np.unique(w3, return_inverse=True)[1]]
+                for held, x in zip(columns, (w2, w3, w1, tag, c1, np.full(len(w2), place))):
                     held.append(small(x))
             del own
             w1, w3, w2 = np.concatenate(columns[2]), np.concatenate(columns[1]), np.concatenate(columns[0])

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions.text import PYWS, char_chunks, py_words, sanitize_piece, word_chunks
+from sievelake.operators.ranks import row_numbers
 
 REQUIRED = ("doc_id", "dataset", "family_id", "text")
 
@@ -69,8 +70,9 @@ def concat_keep_first(sets: list[DataFrame], order: str) -> DataFrame:
     every = sets[0].withColumn("set_no", F.lit(0))
     for i, s in enumerate(sets[1:], 1):
         every = every.unionByName(s.withColumn("set_no", F.lit(i)))
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("set_no", order))
-    return every.withColumn("rn", first).where("rn = 1").drop("rn")
+    # a grouped minimum, added up before the shuffle, so that a repeated id isn't one task's work
+    first = every.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in every.columns if c != "doc_id"]), F.struct("set_no", order)).alias("row"))
+    return first.select("doc_id", "row.*").select(*every.columns)
 
 
 def build_chunks(docs: DataFrame, size: int = 50, overlap: int = 0, mode: str = "word") -> DataFrame:
@@ -103,8 +105,8 @@ def apply_split(docs: DataFrame, split: DataFrame, partition: str) -> DataFrame:
 
 
 def version_rank(df: DataFrame, family: str, *order: str) -> DataFrame:
-    """version_index = 1, 2, ... within the family."""
-    return df.withColumn("version_index", F.row_number().over(W.partitionBy(family).orderBy(*[F.col(c).asc_nulls_last() for c in order])))
+    """version_index = 1, 2, ... within the family, nulls last; a family may hold any share of the rows."""
+    return row_numbers(df, family, [F.col(c).asc_nulls_last() for c in order], "version_index")
 
 
 def eligible_families(df: DataFrame, family: str, least: int = 2) -> DataFrame:

@@ -43,11 +43,11 @@ def bm25_weights(refs: DataFrame, k1: float = 1.5, b: float = 0.75, stemmed: boo
     """ref_id, term, w of refs (ref_id, text): Lucene's idf ln(1 + (N - df + 0.5) / (df + 0.5)) times the saturated count."""
     postings = _terms(refs, "ref_id", stemmed)
     dl = postings.groupBy("ref_id").agg(F.sum("tf").alias("dl"))
-    stats = refs.agg(F.count("*").alias("n")).crossJoin(dl.agg(F.sum("dl").alias("len")))  # one row
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    w = postings.join(dl, "ref_id").join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return w.select("ref_id", "term", (idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("len") / F.col("n"))))).alias("w"))
+    n, total = refs.count(), dl.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]  # two numbers
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = postings.join(dl, "ref_id").join(df, "term")
+    return w.select("ref_id", "term", (idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * n / max(total, 1)))).alias("w"))
 
 
 def _sparse_product(q: pa.Table, r: pa.Table) -> np.ndarray:

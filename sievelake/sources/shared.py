@@ -30,10 +30,27 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths of tables that are not dropped yet.
+_HELD: dict[str, SparkSession] = {}
+
+
+def free_scratch() -> int:
+    """Deletes the scratch tables made so far; returns how many. For long sessions, once results are written: plans that still
+    read them fail afterwards."""
+    paths = list(_HELD.items())
+    for path, spark in paths:
+        delete(spark, path)
+        _HELD.pop(path, None)
+    return len(paths)
+
+
+atexit.register(free_scratch)
+
+
 class Stored:
     """A DataFrame written once to the shared folder; ``df`` starts from its files, so a lost executor costs a re-read.
 
-    Files go when drop() is called or the process ends.
+    Files go when drop() or free_scratch() is called or the process ends.
     """
 
     def __init__(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = ()):
@@ -41,8 +58,9 @@ class Stored:
         self.path = f"{checkpoint_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(delete, self.spark, self.path)
+        _HELD[self.path] = self.spark
 
     def drop(self) -> None:
         """Removes the files; only where no unfinished plan reads them."""
         delete(self.spark, self.path)
+        _HELD.pop(self.path, None)

@@ -21,8 +21,8 @@ it quotes; messages after it without such a link stay in its branch. Messages ar
 each comes after what it answers and a conversation is read breadth first. Levels come from doubling: every round a
 branch looks as far up again as it has so far, so rounds are the logarithm of the nesting.
 
-A conversation may hold a third of all rows, so positions are two-level ranks (runs of turns, then rows within), and
-no conversation is gathered into one row or task. Replies come after what they answer, since a link always points to
+A conversation may hold a third of all rows, or have one turn number throughout, so rows are ranked by ranges of
+conversation and order, and no conversation is gathered into one row or task. Replies come after what they answer, since a link always points to
 an earlier position or another conversation.
 
 Defined results: null text is empty; null conversation ids form one conversation; null turns come last; equal turns are
@@ -42,6 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import Stored, pick, settled
+from sievelake.operators.ranks import row_numbers
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"'”’»)\]])\s+|(?<=[。！？])")
@@ -100,7 +101,7 @@ def part_keys(lines: list[str]) -> list[bytes]:
     return [passage_key(p)[:16] for p in dict.fromkeys((whole, *sorted(parts, key=len, reverse=True)))]
 
 
-def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", run_turns: int = 256) -> DataFrame:
+def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, position, turn, role, text (own), parent_conv, parent_position, n_quotes, n_linked, reply_level, reply_order
     (0, 1, ... within the conversation) for every message."""
     rows = pick(settled(df), conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
@@ -120,16 +121,10 @@ def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     parsed = rows.mapInArrow(parse, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, text string, rid bigint, passages array<struct<level: int, key: binary, size: bigint, parts: array<binary>>>")
     number = F.expr("try_cast(turn AS double)") if kinds["turn"] == "string" else F.col("turn").cast("double")
-    number = F.when(~F.isnan(number), number)
-    parsed = parsed.withColumn("number", number).withColumn("run", F.coalesce(F.floor(F.col("number") / run_turns), F.lit((1 << 62))))
-    parsed = Stored(parsed, "messages").df
-
-    # positions: rows of earlier runs of turns, then rank within the run
-    per_run = parsed.groupBy("conv_id", "run").agg(F.count("*").alias("n"))
-    base = per_run.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), (F.sum("n").over(W.partitionBy("conv_id").orderBy("run")) - F.col("n")).alias("base"))
-    order = W.partitionBy("conv_id", "run").orderBy(F.col("number").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), "text", "rid")
-    placed = parsed.withColumn("inside", F.row_number().over(order) - 1).join(base, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
-    placed = Stored(placed.withColumn("position", F.col("base") + F.col("inside")).select("rid", "conv_id", "turn", "role", "text", "run", "position", "passages"), "placed").df
+    parsed = Stored(parsed.withColumn("number", F.when(~F.isnan(number), number)), "messages").df
+    order = [F.col("number").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc(), F.col("rid").asc()]
+    placed = row_numbers(parsed, "conv_id", order, "position", "run").withColumn("position", F.col("position").cast("bigint") - 1)
+    placed = Stored(placed.select("rid", "conv_id", "turn", "role", "text", "run", "position", "passages"), "placed").df
 
     # one row for each key of a passage: its own has rank 0, its parts follow from the longest on
     passages = placed.select("rid", "conv_id", "position", F.posexplode("passages").alias("number", "p"))

@@ -24,8 +24,8 @@ def plain_order(rows):
     return out
 
 
-@pytest.mark.parametrize(("kind", "run_turns"), [("bigint", 256), ("string", 3)])
-def test_planted_threads(spark, kind, run_turns):
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_planted_threads(spark, kind):
     """A hot conversation of 120 turns and three short ones; replies quote a whole message, a line of it or something unknown."""
     rng = random.Random(6)
     rows, said, parents = [], {}, {}
@@ -44,7 +44,7 @@ def test_planted_threads(spark, kind, run_turns):
             parents[conv, turn] = (*parent, True) if parent else (conv, turn - 1, False) if turn else (None, None, False)
             rows.append((conv, turn if kind == "bigint" else str(turn), "u", quote + "\n".join(lines), "x", 1))
     rng.shuffle(rows)
-    got = {(r.conv_id, r.position): r for r in quotations.link_quotations(spark.createDataFrame(rows, SCHEMA.format(kind)), run_turns=run_turns).collect()}
+    got = {(r.conv_id, r.position): r for r in quotations.link_quotations(spark.createDataFrame(rows, SCHEMA.format(kind))).collect()}
     assert {k: (r.parent_conv, r.parent_position) for k, r in got.items()} == {k: v[:2] for k, v in parents.items()}
     assert {k: r.text for k, r in got.items()} == {k: "\n".join(v) for k, v in said.items()}
     want = plain_order(parents)

@@ -8,7 +8,9 @@ from sievelake.functions import text as T
 from sievelake.operators import datasets as DS
 from sievelake.operators import documents as D
 from sievelake.operators import encoders as X
+from sievelake.operators import retrieval as R
 from sievelake.operators import revisions as V
+from sievelake.operators import votes as VT
 from sievelake.plans import report
 from sievelake.plans import runs as P
 from sievelake.plans.catalogue import _DOCS, _SPLIT, _WS, _docs, _r, _read, query
@@ -122,6 +124,39 @@ def long_context_vectors(spark, sf_dir):
     return _slots(X.long_context_vectors(_docs(spark, sf_dir), X.HashEncoder(64), X.WordTokenizer.new(), 128, "truncate"), "doc_id", "vector")
 
 
+# Chunk methods end to end: chunks of documents whose id is divisible by 50 against all other chunks, the nearest of each.
+_NEAREST = f"""{_DOCS}, n AS (SELECT *, len(words) AS n FROM docs WHERE len(words) > 0), c AS (SELECT *, unnest(range(0, CASE WHEN n <= 50 THEN 1 ELSE ceil((n - 50) / 50.0)::BIGINT + 1 END)) AS i FROM n),
+x AS (SELECT doc_id, family_id, doc_id || '::c' || i AS chunk_id, words[i * 50 + 1 : i * 50 + 50] AS own FROM c),
+w AS (SELECT doc_id, family_id, chunk_id, unnest(list_transform(own, lambda w: lower(w))) AS w FROM x), h AS (SELECT doc_id, family_id, chunk_id, ('0x' || substr(md5(w), 1, 7))::BIGINT AS x FROM w),
+s AS (SELECT doc_id, family_id, chunk_id, x % 64 AS slot, sum(1 - 2 * ((x // 64) % 2)) AS v FROM h GROUP BY ALL HAVING v <> 0),
+u AS (SELECT doc_id, family_id, chunk_id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY chunk_id)) AS v FROM s),
+sc AS (SELECT q.doc_id AS q, q.family_id AS qf, q.chunk_id AS qc, r.doc_id AS r, r.family_id AS rf, r.chunk_id AS rc, round(sum(q.v * r.v), 12) AS score FROM u q JOIN u r ON q.slot = r.slot AND q.doc_id::BIGINT % 50 = 0 AND q.chunk_id <> r.chunk_id GROUP BY ALL),
+near AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY qc ORDER BY score DESC, rc) = 1)"""
+
+
+def _nearest(spark, sf_dir):
+    chunks = D.build_chunks(_docs(spark, sf_dir), 50)
+    slots = X.hashed_words(chunks.select("chunk_id", "chunk_text"), "chunk_id", "chunk_text").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
+    vectors = slots.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+    v = chunks.drop("chunk_text").join(vectors, "chunk_id")
+    q, r = v.where("doc_id % 50 = 0"), v
+    side = lambda df, name, vec: df.select(F.col("chunk_id").alias(f"{name}_id"), F.col("doc_id").alias(f"{name}_doc_id"), F.col("family_id").alias(f"{name}_family_id"), F.col("embedding").alias(vec))
+    return R.top_k(side(q, "query", "qv"), side(r, "ref", "rv"), 1, but_self=True)
+
+
+@query(f"""WITH {_NEAREST}, per AS (SELECT q, qf, r, rf, count(*) AS v FROM near GROUP BY ALL), t AS (SELECT *, sum(v) OVER (PARTITION BY q) AS total, row_number() OVER (PARTITION BY q ORDER BY v DESC, r) AS k FROM per)
+SELECT q AS query_doc_id, qf AS query_family_id, r AS pred_doc_id, rf AS pred_family_id, total::INTEGER AS n_votes, v::INTEGER AS best_votes, round(v / total, 6) AS confidence FROM t WHERE k = 1""")
+def chunk_voting(spark, sf_dir):
+    v = VT.vote_by_document(_nearest(spark, sf_dir))
+    return v.select("query_doc_id", "query_family_id", "pred_doc_id", "pred_family_id", "n_votes", "best_votes", _r("confidence").alias("confidence"))
+
+
+@query(f"""WITH {_NEAREST}, per AS (SELECT q, r, rf, max(score) AS v FROM near GROUP BY ALL)
+SELECT q AS query_doc_id, r AS pred_doc_id, rf AS pred_family_id, round(v, 6) AS confidence FROM per QUALIFY row_number() OVER (PARTITION BY q ORDER BY v DESC, r) = 1""")
+def chunk_maxsim(spark, sf_dir):
+    return VT.vote_by_document(_nearest(spark, sf_dir), "maxsim").select("query_doc_id", "pred_doc_id", "pred_family_id", _r("confidence").alias("confidence"))
+
+
 @query("""WITH d AS (SELECT lang AS method, source AS dataset, n_chars AS best_f1 FROM documents) SELECT * FROM (PIVOT d ON dataset USING max(best_f1) GROUP BY method)""")
 def metrics_pivot(spark, sf_dir):
     """Languages stand for methods, sources for data sets."""

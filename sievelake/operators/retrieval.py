@@ -162,3 +162,27 @@ def mean_max_similarity(pairs: DataFrame, bags: DataFrame, ref_bags: DataFrame |
     scored = pairs.join(q, "query_doc_id").join(r, "ref_doc_id").withColumn("s", dot(F.col("qv"), F.col("rv")))
     best = scored.groupBy("query_doc_id", "ref_doc_id", "query_id").agg(F.max("s").alias("s"))
     return best.groupBy("query_doc_id", "ref_doc_id").agg(F.avg("s").alias("score"))
+
+
+def bag_similarity(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
+    """query_doc_id, ref_doc_id, score of pairs of documents: mean over all the query's vectors of the best inner product with any
+    of the reference's, from bags by chunk (doc_id, chunk_id, tokens). Pairs with an empty side have no row.
+
+    A row holds one chunk of either side and becomes one best value for each query vector, so products never leave the
+    task that makes them; best values are joined by grouped maxima.
+    """
+    mine = q.select(F.col("doc_id").alias("query_doc_id"), F.col("chunk_id").alias("q_chunk"), F.col("tokens").alias("qt"))
+    theirs = r.select(F.col("doc_id").alias("ref_doc_id"), F.col("tokens").alias("rt"))
+    met = pairs.select("query_doc_id", "ref_doc_id").join(mine, "query_doc_id").join(theirs, "ref_doc_id").where((F.size("qt") > 0) & (F.size("rt") > 0))
+    met = met.select("query_doc_id", "ref_doc_id", "q_chunk", "qt", "rt")
+
+    def best(batches):
+        bag = lambda x: np.asarray(x, float)
+        for batch in batches:
+            out = [(bag(a) @ bag(b).T).max(axis=1) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.float64()))], names=["query_doc_id", "ref_doc_id", "q_chunk", "best"])
+
+    keys = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("query_doc_id", "ref_doc_id", "q_chunk"))
+    rows = met.mapInArrow(best, f"{keys}, best array<double>").select("query_doc_id", "ref_doc_id", "q_chunk", F.posexplode("best").alias("at", "s"))
+    each = rows.groupBy("query_doc_id", "ref_doc_id", "q_chunk", "at").agg(F.max("s").alias("s"))
+    return each.groupBy("query_doc_id", "ref_doc_id").agg(F.avg("s").alias("score"))

@@ -256,16 +256,13 @@ def bag_votes(refs: DataFrame, queries: DataFrame, r: DataFrame, q: DataFrame, s
 
     Stage one: each query chunk names the reference chunk of the best mean of maxima, and a query's ``shortlist`` most
     named documents stay. Stage two: the same mean over the documents' whole bags, exactly. Query documents without a
-    token get no row. Bags stay one row a chunk; maxima are taken chunk by chunk and joined by plain grouped maxima, so
-    no document's bag is gathered.
+    token get no row. Bags stay one row a chunk, so no document's bag is gathered.
     """
     named = R.block_top(
         q.select(F.col("chunk_id").alias("query_id"), F.col("doc_id").alias("query_doc_id"), F.col("tokens").alias("qt")), r.select(F.col("chunk_id").alias("ref_id"), F.col("doc_id").alias("ref_doc_id"), F.col("tokens").alias("rt")),
         R.mean_of_maxima, 1, ("qt",), ("rt",), block_rows=256,
     )
-    bags = lambda d: d.select(F.col("doc_id").alias("doc"), "chunk_id", F.posexplode("tokens").alias("at", "v")).select("doc", F.concat_ws("#", "chunk_id", "at").alias("vec_id"), "v")
-    pairs = R.shortlist(named, shortlist)
-    scored = R.mean_max_similarity(pairs, bags(q), bags(r)).where("score IS NOT NULL")
+    scored = R.bag_similarity(R.shortlist(named, shortlist), q, r)
     families = refs.select(F.col("doc_id").alias("ref_doc_id"), F.col("family_id").alias("ref_family_id"))
     asked = queries.select("doc_id", "family_id").join(q.groupBy("doc_id").agg(F.count("*").alias("n_chunks")), "doc_id")
     return V.family_votes(scored.join(families, "ref_doc_id"), asked, "family")

@@ -201,6 +201,23 @@ def test_top_k_in_blocks(spark):
     assert R.top_k(dfs[0], same, 3, but_self=True).where("query_id = ref_id").count() == 0
 
 
+def test_bags_against_plain(spark):
+    rng = random.Random(2)
+    bag = lambda n: [[rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(n)]
+    q, r = ([(f"{p}{i // 2}", f"{p}{i // 2}::c{i % 2}", bag(rng.randint(0, 4))) for i in range(8)] for p in "qr")
+    schema = "doc_id string, chunk_id string, tokens array<array<double>>"
+    whole = lambda rows, doc: [v for d, _, b in rows if d == doc for v in b]
+    pairs = [(a, b) for a in ("q0", "q1", "q2", "q3") for b in ("r0", "r3")]
+    got = {(x.query_doc_id, x.ref_doc_id): x.score for x in R.bag_similarity(spark.createDataFrame(pairs, "query_doc_id string, ref_doc_id string"), *(spark.createDataFrame(x, schema) for x in (q, r))).collect()}
+    for a, b in pairs:
+        x, y = whole(q, a), whole(r, b)
+        if x and y:
+            best = [max(sum(i * j for i, j in zip(u, v)) for v in y) for u in x]
+            assert got[a, b] == pytest.approx(sum(best) / len(best))
+        else:
+            assert (a, b) not in got
+
+
 def test_bm25_against_plain(spark):
     rng = random.Random(9)
     texts = lambda n: [" ".join(rng.choice("apple pear the of tree fruit Garden garden é river a".split()) for _ in range(rng.randint(0, 20))) for _ in range(n)]

@@ -59,6 +59,10 @@ def _cut(block_bytes: int, with_block: bool):
     return run
 
 
+#: What routes a block to its namesakes; blocks that clash are told apart by their bytes.
+ROUTE = F.xxhash64
+
+
 def _batch(out: dict[str, list], id_type: pa.DataType, with_block: bool) -> pa.RecordBatch:
     types = {"rid": pa.int64(), "doc_id": id_type, "sha": pa.string(), "n": pa.int32(), "pos": pa.int32(), "block": pa.binary()}
     names = list(types) if with_block else ["block"]
@@ -77,7 +81,7 @@ def block_identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = pick(settled(df), doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     every = f"rid bigint, doc_id {id_type}, sha string, n int, pos int, block binary"
-    route = F.xxhash64("block").alias("h")
+    route = ROUTE("block").alias("h")
 
     blocks = docs.mapInArrow(_cut(block_bytes, False), "block binary").select(route, "block").distinct()
     named = Stored(_number(blocks, ["block"]).select("h", "name"), "blocks")

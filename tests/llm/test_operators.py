@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sievelake.llm import html_blocks, mixing, near_dedup, packing, quality_rules, quotations, secrets
+from pyspark.sql import functions as F
+
+from sievelake.llm import block_dedup, html_blocks, mixing, near_dedup, packing, quality_rules, quotations, secrets
 from sievelake.llm.block_dedup import exact_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid bigint, `a.b` string"
@@ -55,6 +57,23 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("routes", [None, 3])
+def test_exact_dedup_against_plain(docs, monkeypatch, routes):
+    """All columns, also where different blocks share a route."""
+    if routes:
+        monkeypatch.setattr(block_dedup, "ROUTE", lambda c: F.pmod(F.xxhash64(c), F.lit(routes)))
+    got = exact_dedup(docs.where("doc_id IS NOT NULL").repartition(3), block_bytes=8).collect()
+    groups: dict = {}
+    for r in docs.collect():
+        if r.doc_id is not None:
+            groups.setdefault((r.text or "").encode().lower(), []).append(r.doc_id)
+    want = Counter((i, max(ids), len(ids), hashlib.sha256(t).hexdigest()) for t, ids in groups.items() for i in ids)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(max(ids) for ids in groups.values())
+    kept = block_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and len({(r.text or "").encode().lower() for r in kept.collect()}) == kept.count()
+
+
 def test_packing(docs, empty):
     got = packing.pack_sequences(docs, sequence_tokens=64, with_ids=True).collect()
     own = packing.Encoder(*packing.default_paths()).own

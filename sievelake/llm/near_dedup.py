@@ -129,10 +129,15 @@ def _spread_join(rows: DataFrame, pairs: DataFrame, key: str, by: str, table: Da
     heavy = Stored(heavy, "popular").df
     if heavy.count() <= BROADCAST_ROWS:
         heavy = F.broadcast(heavy)
+    return _shared_join(rows, heavy, [key], by, table)
+
+
+def _shared_join(rows: DataFrame, heavy: DataFrame, keys: list[str], by: str, table: DataFrame) -> DataFrame:
+    """rows joined with table; of the keys in ``heavy`` (keys, shares) both sides are dealt into shares, rows by a hash of ``by``."""
     shares = F.coalesce("shares", F.lit(1))
-    dealt = rows.join(heavy, key, "left").withColumn("share", F.pmod(F.xxhash64(by), shares).cast("int")).drop("shares")
-    repeated = table.join(heavy, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
-    return dealt.join(repeated, [key, "share"]).drop("share")
+    dealt = rows.join(heavy, keys, "left").withColumn("share", F.pmod(F.xxhash64(by), shares).cast("int")).drop("shares")
+    repeated = table.join(heavy, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+    return dealt.join(repeated, [*keys, "share"]).drop("share")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
@@ -165,8 +170,15 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     reps = full.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("rep"), "n", "sig", "keys")
 
     members = reps.select("rep", F.posexplode("keys").alias("band", "key"))
-    company = members.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = Stored(members.join(company, ["band", "key"]), "buckets").df
+    company = Stored(members.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), "company").df
+    large = Stored(company.where(F.col("m") > BLOCK).select("band", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("shares")), "large-buckets").df
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+
+    def of_buckets(rows: DataFrame, table: DataFrame) -> DataFrame:
+        """rows joined with a table of one row a bucket; members of a large bucket are dealt in parts by a hash."""
+        return _shared_join(rows, large, ["band", "key"], "rep", table)
+
+    buckets = Stored(of_buckets(members, company), "buckets").df
     meets = Stored(buckets.groupBy("rep").agg(F.sum("m").alias("meets")), "meets").df
     known = Stored(reps.join(meets, "rep").select("rep", "n", "sig", "keys", "meets"), "members").df
 
@@ -213,7 +225,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         now = buckets.select("band", "key", "rep").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         now = Stored(now, "placed").df
         mixed = now.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band", "key")
-        return Stored(now.join(mixed, ["band", "key"]), "open-buckets").df
+        return Stored(of_buckets(now, mixed), "open-buckets").df
 
     found = None
     rest = placed(None)
@@ -221,7 +233,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         rank = F.col("meets") if turn == 0 else F.xxhash64(F.lit(turn), "band", "rep")
         ranked = rest.join(known.select("rep", "meets"), "rep").groupBy("band", "key").agg(F.max(F.struct(rank.alias("x"), (-F.col("rep")).alias("r"), F.col("component").alias("hub_component"))).alias("h"))
         hubs = ranked.select("band", "key", (-F.col("h.r")).alias("hub"), "h.hub_component")
-        tried = rest.join(hubs, ["band", "key"]).where("component != hub_component").select("rep", "hub").distinct()
+        tried = of_buckets(rest, hubs).where("component != hub_component").select("rep", "hub").distinct()
         tried = Stored(tried, "tried").df
         mine = known.select("rep", F.struct("n", "sig").alias("a"))
         theirs = known.select(F.col("rep").alias("hub"), F.struct("n", "sig").alias("b"))
@@ -234,7 +246,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     # what is left, in blocks: members outside a bucket's largest component against all of it, BLOCK by BLOCK members a key
     sizes = rest.groupBy("band", "key", "component").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.sum("c").alias("m"), F.max_by("component", "c").alias("largest"), F.max("c").alias("c"))
     sizes = sizes.select("band", "key", "largest", F.ceil(F.col("m") / BLOCK).cast("int").alias("all_parts"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("own_parts"))
-    placed_rows = Stored(rest.join(sizes, ["band", "key"]).join(known.select("rep", "n", "sig"), "rep"), "rest-rows").df
+    placed_rows = Stored(of_buckets(rest, sizes).join(known.select("rep", "n", "sig"), "rep"), "rest-rows").df
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     left = placed_rows.where("component != largest").withColumn("i", part("own_parts")).withColumn("j", each("all_parts"))

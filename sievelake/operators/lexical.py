@@ -19,10 +19,10 @@ PRIME = 2147483647
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
-def bm25_tokens(text):
-    """Words of two characters or more, lower-cased, without English stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
+def bm25_words(df: DataFrame, key: str) -> DataFrame:
+    """key, term of each word of two characters or more in ``text``, lower-cased, without English stop words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
+    return df.select(key, F.explode(words).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*STOP_WORDS))
 
 
 @F.pandas_udf(StringType())
@@ -32,7 +32,7 @@ def stem_words(words: pd.Series) -> pd.Series:
 
 def _terms(df: DataFrame, key: str, stemmed: bool) -> DataFrame:
     """key, term, tf. Stems are made of the distinct words only."""
-    counts = df.select(key, F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = bm25_words(df, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
     if not stemmed:
         return counts
     stems = counts.select("term").distinct().withColumn("stem", stem_words("term"))
@@ -68,7 +68,7 @@ def _sparse_product(q: pa.Table, r: pa.Table) -> np.ndarray:
     return out
 
 
-def bm25_scores(refs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, top: int = 200, stemmed: bool = False, block_rows: int = 2048) -> DataFrame:
+def bm25_scores(refs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, top: int = 200, stemmed: bool = False, block_rows: int = 1024) -> DataFrame:
     """The ``top`` references of each query with a positive score. refs: ref_id, ref_text and further columns; queries:
     query_id, query_text. Repeated query terms count each time. In blocks (see block_top): no join on terms, so a word
     that half of all texts hold costs no more than its entries."""

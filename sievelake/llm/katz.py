@@ -88,11 +88,12 @@ def dense(*columns: np.ndarray) -> np.ndarray:
     """One integer per row that orders rows by the columns, first column first."""
     out, size = np.zeros(len(columns[0]), np.int64), 1
     for c in columns:
-        distinct, code = np.unique(c, return_inverse=True)
+        distinct = np.unique(c)
         if size * max(1, len(distinct)) >= 1 << 62:
             known, out = np.unique(out, return_inverse=True)
             size = len(known)
-        out = out * max(1, len(distinct)) + code
+        out *= max(1, len(distinct))
+        out += np.searchsorted(distinct, c)  # less memory than the inverse of unique
         size *= max(1, len(distinct))
     return out
 

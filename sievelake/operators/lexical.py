@@ -13,6 +13,7 @@ from sievelake.functions import fuzzy_hash, stemming
 from sievelake.functions.text import hash28, jaccard, ngram_overlap, ngrams, norm_edit_distance, quality_tokens, shingles, strip
 from sievelake.operators.retrieval import block_top
 from sievelake.operators.votes import family_votes
+from sievelake.sources.shared import Stored
 
 PRIME = 2147483647
 # Fixed value: the English stop words of the index.
@@ -75,6 +76,7 @@ def bm25_scores(refs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     lists = lambda df, key, value: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", value))).alias("l")).select(key, F.transform("l", lambda e: e["term"]).alias("terms"), F.transform("l", lambda e: e[value].cast("double")).alias("values"))
     r = refs.drop("ref_text").join(lists(bm25_weights(refs.select("ref_id", F.col("ref_text").alias("text")), k1, b, stemmed), "ref_id", "w"), "ref_id")
     q = lists(_terms(queries.select("query_id", F.col("query_text").alias("text")), "query_id", stemmed), "query_id", "tf")
+    q, r = Stored(q, "bm25-queries").df, Stored(r, "bm25-references").df  # counted, then read
     return block_top(q, r, _sparse_product, top, ("terms", "values"), ("terms", "values"), positive=True, block_rows=block_rows)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions.text import dot, safe_div
 from sievelake.operators.votes import vote_by_document
+from sievelake.sources.shared import Stored
 
 #: Rows of a block of vectors: one task scores a block of queries against a block of references.
 BLOCK_ROWS = 4096
@@ -86,7 +87,8 @@ def pool_by_doc(chunks: DataFrame) -> DataFrame:
 def doc_vector_maxsim(refs: DataFrame, queries: DataFrame, k: int = 50, but_self: bool = False) -> DataFrame:
     """Votes from one vector a document (doc_id, family_id, vector): the best of the top k; an empty side gives no votes."""
     side = lambda df, name, vec: df.select(F.col("doc_id").alias(f"{name}_id"), F.col("doc_id").alias(f"{name}_doc_id"), F.col("family_id").alias(f"{name}_family_id"), F.col("vector").alias(vec))
-    return vote_by_document(top_k(side(queries, "query", "qv"), side(refs, "ref", "rv"), k, but_self), "maxsim")
+    q, r = Stored(side(queries, "query", "qv"), "query-vectors").df, Stored(side(refs, "ref", "rv"), "reference-vectors").df  # counted, then read
+    return vote_by_document(top_k(q, r, k, but_self), "maxsim")
 
 
 def confusion(scored: DataFrame, t: float) -> DataFrame:

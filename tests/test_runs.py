@@ -201,6 +201,28 @@ def test_top_k_in_blocks(spark):
     assert R.top_k(dfs[0], same, 3, but_self=True).where("query_id = ref_id").count() == 0
 
 
+def test_top_k_in_passes_with_copies(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(-3, 4, (40, 8)).astype(float)
+    base[:, 0] += 9  # no vector is 0
+    vectors = {f"v{i:03}": base[0 if i % 2 else i % 40] for i in range(200)}  # half of them copies of one vector
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "id string, v array<float>").repartition(3)
+    q, r = df.where("substr(id, 4) IN ('0', '5')").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), df.select(F.col("id").alias("ref_id"), F.col("v").alias("rv"))
+    monkeypatch.setattr(R, "PASS_BYTES", 8 * 8 * 11)
+    found = R.top_k(q, r, 3, but_self=True, block_rows=16, cosine=True)
+    got = {}
+    for x in sorted(found.collect(), key=lambda x: x.rank):
+        got.setdefault(x.query_id, []).append((x.ref_id, x.score))
+    unit = lambda v: v / np.linalg.norm(v)
+    for name in (k for k in vectors if k[-1] in "05"):
+        every = sorted((-round(float(unit(vectors[name]) @ unit(v)), 12), k) for k, v in vectors.items() if k != name)[:3]
+        assert [k for k, _ in got[name]] == [k for _, k in every] and all(abs(s + e[0]) < 1e-9 for (_, s), e in zip(got[name], every))
+    plan = found._jdf.queryExecution().toString()  # references are neither multiplied nor shuffled
+    assert len(got) == 40 and "Explode" not in plan and "explode" not in plan and "CoGroup" not in plan
+
+
 def test_bags_against_plain(spark):
     rng = random.Random(2)
     bag = lambda n: [[rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(n)]

@@ -259,6 +259,24 @@ def test_bm25_against_plain(spark):
     assert got["none"].pred_doc_id is None and got["none"].n_votes == 1
 
 
+@pytest.mark.parametrize("scope", ["doc", "keyword"])
+def test_bm25_is_one_pass_over_queries_and_parts_agree(spark, monkeypatch, scope):
+    rng = random.Random(5)
+    texts = lambda n: [" ".join(rng.choice("running runs apple apples pear their theirs fruit Garden gardens é river a x the".split()) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+    refs, queries = ([(f"{p}{i}", f"F{i % 4}", t) for i, t in enumerate(texts(n))] for p, n in (("r", 23), ("q", 40)))
+    dfs = [spark.createDataFrame(x, "doc_id string, family_id string, text string") for x in (refs, [*queries, ("none", "F", None)])]
+    phrases = dfs[0].groupBy("family_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("keyphrases"))
+    once = L.bm25_votes(*dfs, scope, phrases, top=7)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    shown = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.drop("pred_doc_id", "pred_family_id").collect())
+    want, named = shown(once), {r.query_doc_id: (r.pred_doc_id, r.pred_family_id) for r in once.collect()}
+    monkeypatch.setattr(L, "INDEX_ENTRIES", 20)
+    parts = L.bm25_votes(*dfs, scope, phrases, top=7)
+    assert shown(parts) == want and {r.query_doc_id: (r.pred_doc_id, r.pred_family_id) for r in parts.collect()} == named
+    assert len(want) == 41 and sum(v[0] is not None for v in named.values()) > 30
+
+
 def test_fuzzy_hash_join_loses_nothing(spark):
     from sievelake.functions import fuzzy_hash as H
 

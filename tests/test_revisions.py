@@ -105,6 +105,31 @@ def test_merge_and_assemble(spark, tables):
     assert (first, later, latest) == (["casimir:f3:v1"], ["casimir:f3:v2", "casimir:f3:v3"], ["casimir:f3:v3"])
 
 
+def test_near_pairs_against_plain_distances():
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    base = "".join(rng.choice("etaoin") for _ in range(200))
+    texts = []
+    for _ in range(45):
+        t = list(base[: rng.choice([18, 63, 64, 65, 128, 129, 180, 200, 200])])
+        for _ in range(rng.randint(0, 30)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "t"])
+        texts.append("".join(t)[:200])
+    want = {(i, j, d) for i, x in enumerate(texts) for j, y in enumerate(texts) if x and y and 1 - (d := distance(x, y)) / max(len(x), len(y)) >= 0.82}
+    got = [set(zip(*(v.tolist() for v in V.near_pairs(texts, texts, 0.82, once)))) for once in (False, True)]
+    assert got[0] == want and got[1] == {(i, j, d) for i, j, d in want if texts[i] < texts[j]} and len(want) > 100
+
+
 def test_similar_prefixes_against_all_pairs(spark, monkeypatch):
     import random
 
